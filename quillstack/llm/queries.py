@@ -18,6 +18,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "second", "ambiguous")
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import fresh_path
     from .token_orc import token_offsets, write_tokens
@@ -27,6 +33,28 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_offsets(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fresh_path
+    from .warc import normalise, read_records, with_revisits, write_archives
+
+    mono, norm = fresh_path(spark, "warc-mono"), fresh_path(spark, "warc-norm")
+    archives = write_archives(with_revisits(table(spark, sf_dir, "pages")), mono)
+    index = normalise(spark, archives, mono, norm)
+    return read_records(index, norm).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -34,7 +62,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_token_orc": op3_token_orc,
+    "op4_histogram_sharding": op4_histogram_sharding,
+    "op6_decontamination": op6_decontamination,
+    "op8_warc": op8_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
