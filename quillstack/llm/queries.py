@@ -18,6 +18,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -61,13 +67,21 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_token_orc": op3_token_orc,
     "op4_histogram_sharding": op4_histogram_sharding,
     "op6_decontamination": op6_decontamination,
     "op8_warc": op8_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_prefix_forest": op10_prefix_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {}

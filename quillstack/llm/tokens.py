@@ -2,24 +2,30 @@
 
 The tokenizer's vocabulary is a parameter (the path of a ``tokenizers`` JSON file). With ``split_spaces`` a text is cut
 at ASCII white space first and every distinct piece is encoded once: right for tokenizers whose normaliser and
-pre-tokenizer drop white space, so that no token spans two pieces (``word_bpe_49k.json`` is one).
+pre-tokenizer drop white space and keep letters apart from punctuation, so that no token spans two pieces
+(``word_bpe_49k.json`` is one).
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 _LOADED: dict[tuple[str, bool], "Encoder"] = {}
+_MARK = "\x01"
+#: What byte-level tokenizers put for the bytes that aren't printable in Latin-1: code points from 256 on, in order.
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(x for x in range(256) if x <= 0x20 or 0x7F <= x <= 0xA0 or x == 0xAD)}
+_ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
 class Encoder:
     """Texts (UTF-8 bytes) to little-endian unsigned 32-bit ids."""
 
     #: Distinct pieces kept, and the longest piece kept, in bytes.
-    KEPT, LONGEST = 300_000, 48
+    KEPT, LONGEST = 700_000, 48
 
     def __init__(self, path: str, split_spaces: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,33 +34,79 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.split_spaces = split_spaces
         self.seen: dict[bytes, bytes] = {}
-
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        # whether a plain word can go to the model directly, past the normaliser and pre-tokenizer
+        tried = ["The", "Straße", "élève", "ñandú", "Ängstlichkeiten", "x"]
+        self.direct = [self._word(w) for w in tried] == self._each([w.encode() for w in tried])
+
+    def _word(self, word: str) -> bytes:
+        low = word.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(low)]).tobytes()
+
+    @staticmethod
+    def _plain(word: str) -> bool:
+        """Letters alone, of those that have one code point and one lower case."""
+        return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
+
+    def _each(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([p.decode("utf-8") for p in pieces], add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
-        texts = list(texts)
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces without white space: one text of them all, a mark between, costs less than a text each."""
+        if self.mark is None or any(b"\x01" in p for p in pieces):
+            return self._each(pieces)
+        text = f" {_MARK} ".join([p.decode("utf-8") for p in pieces])
+        ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ids == self.mark)
+        if len(cuts) != len(pieces) - 1:
+            return self._each(pieces)
+        raw = ids.tobytes()
+        begins, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(begins, ends, strict=True)]
+
+    def _learn(self, new: set[bytes]) -> list[bytes]:
+        """Encodes pieces that aren't in the cache; returns those too long to stay there."""
+        seen, trimmed, plain = self.seen, [], []
+        for w in new:
+            # a comma or full stop after an ASCII letter or digit is a token of its own
+            (trimmed if w[-1] in b",." and len(w) > 1 and w[-2] in _ALNUM else plain).append(w)
+        todo = set(plain)
+        todo.update(w[:-1] for w in trimmed)
+        todo.update((b",", b"."))
+        todo = todo.difference(seen)
+        if self.direct:
+            for w in todo:
+                if self._plain(word := w.decode("utf-8")):
+                    seen[w] = self._word(word)
+        fresh, todo = todo, [w for w in todo if w not in seen]
+        for at in range(0, len(todo), 20_000):
+            some = todo[at : at + 20_000]
+            seen.update(zip(some, self._ids(some), strict=True))
+        for w in trimmed:
+            seen[w] = seen[w[:-1]] + seen[w[-1:]]
+        return [w for w in (*fresh, *trimmed) if len(w) > self.LONGEST]
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if not self.split_spaces:
-            yield from self._ids(texts)
+            yield from self._each(texts)
             return
         if len(self.seen) > self.KEPT:
             self.seen.clear()
         seen = self.seen
-        for text in texts:
-            words = text.split()
-            if new := [w for w in set(words) if w not in seen]:
-                seen.update(zip(new, self._ids(new), strict=True))
-                if len(text) > 1 << 20 or len(seen) > 2 * self.KEPT:  # a very long text may not fill the cache
-                    yield b"".join([seen[w] for w in words])
-                    seen.clear()
-                    continue
-                long = [w for w in new if len(w) > self.LONGEST]
-                yield b"".join([seen[w] for w in words])
-                for w in long:
-                    del seen[w]
-                continue
-            yield b"".join([seen[w] for w in words])
+        words = [t.split() for t in texts]
+        new: set[bytes] = set()
+        for w in words:
+            new.update(w)
+        new.difference_update(seen)
+        long = self._learn(new) if new else []
+        for w in words:
+            yield b"".join(map(seen.__getitem__, w))
+        for w in long:
+            seen.pop(w, None)
 
 
 def encoder(path: str, split_spaces: bool = True) -> Encoder:
