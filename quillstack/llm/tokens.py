@@ -18,7 +18,7 @@ _LOADED: dict[tuple[str, bool], "Encoder"] = {}
 _MARK = "\x01"
 #: What byte-level tokenizers put for the bytes that aren't printable in Latin-1: code points from 256 on, in order.
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(x for x in range(256) if x <= 0x20 or 0x7F <= x <= 0xA0 or x == 0xAD)}
-_ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
@@ -70,13 +70,15 @@ class Encoder:
 
     def _learn(self, new: set[bytes]) -> list[bytes]:
         """Encodes pieces that aren't in the cache; returns those too long to stay there."""
-        seen, trimmed, plain = self.seen, [], []
+        seen, trimmed, todo = self.seen, [], set()
         for w in new:
-            # a comma or full stop after an ASCII letter or digit is a token of its own
-            (trimmed if w[-1] in b",." and len(w) > 1 and w[-2] in _ALNUM else plain).append(w)
-        todo = set(plain)
-        todo.update(w[:-1] for w in trimmed)
-        todo.update((b",", b"."))
+            # ASCII punctuation after plain letters is apart from them
+            core = w.rstrip(_PUNCTUATION)
+            if core and len(core) < len(w) and self._plain(core.decode("utf-8", "replace")):
+                trimmed.append((w, core, w[len(core) :]))
+                todo.update(trimmed[-1][1:])
+            else:
+                todo.add(w)
         todo = todo.difference(seen)
         if self.direct:
             for w in todo:
@@ -86,9 +88,9 @@ class Encoder:
         for at in range(0, len(todo), 20_000):
             some = todo[at : at + 20_000]
             seen.update(zip(some, self._ids(some), strict=True))
-        for w in trimmed:
-            seen[w] = seen[w[:-1]] + seen[w[-1:]]
-        return [w for w in (*fresh, *trimmed) if len(w) > self.LONGEST]
+        for w, core, tail in trimmed:
+            seen[w] = seen[core] + seen[tail]
+        return [w for w in (*fresh, *(x[0] for x in trimmed)) if len(w) > self.LONGEST]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if not self.split_spaces:
@@ -101,7 +103,7 @@ class Encoder:
         new: set[bytes] = set()
         for w in words:
             new.update(w)
-        new.difference_update(seen)
+        new = new.difference(seen)
         long = self._learn(new) if new else []
         for w in words:
             yield b"".join(map(seen.__getitem__, w))
