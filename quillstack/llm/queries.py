@@ -57,6 +57,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removed, repeated_spans
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return removed(docs, repeated_spans(docs)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import fresh_path
     from .warc import normalise, read_records, with_revisits, write_archives
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_histogram_sharding": op4_histogram_sharding,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_prefix_forest": op10_prefix_forest,
