@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import ALNUM, chunks, hash_words, text_buffers, word_ngrams
 
 SPANS = "spans array<struct<begin:int,end:int>>"
-SCHEMA = f"doc_id long, tie long, n_words long, {SPANS}, items array<string>"
 _END = np.uint64(2**64 - 1)
 _BITS = np.uint64((1 << 22) - 1)
 
@@ -131,18 +130,23 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4, block_bytes: int = 16 << 20) -> DataFrame:
-    """Of ``docs`` (doc_id, text): doc_id, n_words, spans of words that items (item_id, text) hold too, and those items.
+def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4, block_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
+    """Of ``docs`` (doc_id, text): the columns ``keep`` (doc_id, where none are named), n_words, spans of words that items
+    (item_id, text) hold too, and those items.
 
     Needs 1 <= k <= window. A row for each document, with empty arrays where nothing is found.
     """
+    keep = keep or ["doc_id"]
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-int(total) // block_bytes) or 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
 
-    def block_pass(number: int) -> DataFrame:
+    def block_pass(number: int, keep: list[str]) -> DataFrame:
+        tie = F.xxhash64("doc_id", "text").alias("__tie")
+        rows = docs.select(*dict.fromkeys([*keep, "text"]), tie)
+        names = [*keep, "__tie", "n_words", "spans", "items"]
+        schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep) + f", __tie long, n_words long, {SPANS}, items array<string>"
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).collect()
         index = spark.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in part], window, k))
 
@@ -153,31 +157,31 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4, b
                     words, woff = hash_words(data, offs, ALNUM)
                     begin, end, item = found.matches(words, woff)
                     row = np.searchsorted(woff, begin, side="right") - 1
-                    spans, names = [[] for _ in range(j - i)], [[] for _ in range(j - i)]
+                    spans, own_items = [[] for _ in range(j - i)], [[] for _ in range(j - i)]
                     order = np.argsort(row, kind="stable")
                     for own in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(row) else []:
                         r = int(row[own[0]])
                         b, e = merged(begin[own], end[own])
                         spans[r] = [{"begin": x, "end": y} for x, y in zip((b - woff[r]).tolist(), (e - woff[r]).tolist(), strict=True)]
-                        names[r] = sorted({found.names[x] for x in np.unique(item[own]).tolist()})
+                        own_items[r] = sorted({found.names[x] for x in np.unique(item[own]).tolist()})
                     some = batch.slice(i, j - i)
                     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("tie"), pa.array(np.diff(woff).astype(np.int64)), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))], ["doc_id", "tie", "n_words", "spans", "items"])
+                    yield pa.RecordBatch.from_arrays([*(some.column(n) for n in (*keep, "__tie")), pa.array(np.diff(woff).astype(np.int64)), pa.array(spans, kind), pa.array(own_items, pa.list_(pa.string()))], names)
 
-        return rows.mapInArrow(scan, SCHEMA)
+        return rows.mapInArrow(scan, schema)
 
-    first = block_pass(0)
+    first = block_pass(0, keep)
     if blocks > 1:
         # later passes keep only documents with hits; rows that repeat agree, so one of each is enough
         rest = None
         for number in range(1, blocks):
-            part = block_pass(number).where(F.size("items") > 0)
+            part = block_pass(number, ["doc_id"]).where(F.size("items") > 0)
             rest = part if rest is None else rest.unionByName(part)
-        more = rest.groupBy("doc_id", "tie").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("more_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("more_items"))
-        both = first.alias("a").join(more.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.tie").eqNullSafe(F.col("b.tie")), "left")
+        more = rest.groupBy("__tie").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("more_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("more_items"))
+        both = first.join(more, "__tie", "left")
         joined = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise(F.array_sort(F.array_union(a, b)))
-        first = both.select("a.doc_id", "a.tie", "n_words", joined("spans", "more_spans").alias("spans"), joined("items", "more_items").alias("items"))
-    return first.select("doc_id", "n_words", "spans", "items")
+        first = both.select(*keep, "n_words", joined("spans", "more_spans").alias("spans"), joined("items", "more_items").alias("items"))
+    return first.select(*keep, "n_words", "spans", "items")
 
 
 def hit_words(spans: str = "spans"):

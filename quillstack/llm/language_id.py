@@ -152,9 +152,12 @@ def train(docs: DataFrame, train_rows: int = 20_000) -> Model | None:
     return Model(languages, counts.reshape(FEATURES, width))
 
 
-def predict(docs: DataFrame, model: Model | None, near: float = 0.6) -> DataFrame:
-    """doc_id, lang_pred, score, second (language) and ambiguous (score below ``near``) of each of ``docs`` (doc_id, text)."""
+def predict(docs: DataFrame, model: Model | None, near: float = 0.6, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """lang_pred, score, second (language) and ambiguous (score below ``near``) of each of ``docs`` (text), after the
+    columns ``keep`` (doc_id, where none are named); ``prefix`` is put before the new names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = keep or ["doc_id"]
+    names = [*keep, *(prefix + n for n in ("lang_pred", "score", "second", "ambiguous"))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -171,10 +174,11 @@ def predict(docs: DataFrame, model: Model | None, near: float = 0.6) -> DataFram
                     langs = [own.languages[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
                     seconds = [own.languages[b] if ok else None for b, ok in zip(second.tolist(), lettered.tolist(), strict=True)]
                     score = np.where(lettered, score, 0.0)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(seconds, pa.string()), pa.array((score < near) & lettered)], ["doc_id", "lang_pred", "score", "second", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*(some.column(n) for n in keep), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(seconds, pa.string()), pa.array((score < near) & lettered)], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(scan, "doc_id long, lang_pred string, score double, second string, ambiguous boolean")
+    kinds = [docs.schema[n].dataType.simpleString() for n in keep] + ["string", "double", "string", "boolean"]
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    return rows.mapInArrow(scan, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2):

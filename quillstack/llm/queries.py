@@ -61,7 +61,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import removed, repeated_spans
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return removed(docs, repeated_spans(docs)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return removed(docs, repeated_spans(docs), ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,9 +298,10 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return spans.unionByName(copies).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
-def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with kept (bytes outside ``spans``), n_bytes, n_removed, n_spans and kept_sha256."""
-    names = docs.columns
+def removed(docs: DataFrame, spans: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, where none are named) with text less the bytes within ``spans`` (and less the
+    bytes of characters that were cut through), and n_bytes, n_removed, n_spans and kept_sha256, all of the bytes."""
+    names, keep = docs.columns, docs.columns if keep is None else keep
     keyed = docs.withColumns(dict(zip(("__tk", "__size"), _text_key(), strict=True))).alias("d")
     other = spans.select(F.col("doc_id").alias("__doc"), F.col("tk").alias("__key"), F.col("spans").alias("__spans"))
     joined = keyed.join(other, F.col("d.doc_id").eqNullSafe(F.col("__doc")) & (F.col("d.__tk") == F.col("__key")), "left").select(*[F.col(f"d.`{n}`") for n in names], "__spans")
@@ -324,8 +325,9 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 gone.append(len(text) - len(kept[-1]))
                 runs.append(count)
                 digests.append(hashlib.sha256(kept[-1]).hexdigest())
-            columns = [batch.column(n) for n in names] + [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            texts = pa.array([k.decode("utf-8", "ignore") for k in kept], column.type) if "text" in keep else None
+            columns = [texts if n == "text" else batch.column(n) for n in keep] + [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(strip, f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[n] for n in keep))
+    return joined.mapInArrow(strip, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
