@@ -1,0 +1 @@
+"""Column functions: text, names, paths, levels and tags."""
