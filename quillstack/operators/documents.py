@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 LEVELS = 6
@@ -78,7 +79,7 @@ def splice(base: DataFrame, patch: DataFrame, at: int, doc: str = "doc_id", pos:
 
 def chunk_bins(rows: DataFrame, size: str, limit: int, doc: str = "doc_id", order: str = "ord") -> DataFrame:
     """bin: rows in order, a new bin where the next one would go over ``limit``. Sequential within a document."""
-    schema = rows.schema.add("bin", "int")
+    schema = T.StructType([*rows.schema.fields, T.StructField("bin", T.IntegerType())])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")

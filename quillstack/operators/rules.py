@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def condition_holds(value, operator, pattern):
     """One condition; a null field, or an operator that isn't known, doesn't hold."""
     test = (
-        F.when(operator == "regex_match", value.rlike(pattern))
+        F.when(operator == "regex_match", F.regexp(value, pattern))
         .when(operator == "contains", value.contains(pattern))
         .when(operator == "equals", value == pattern)
         .when(operator == "not_contains", ~value.contains(pattern))

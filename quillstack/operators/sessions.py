@@ -11,7 +11,7 @@ from .quality import latest
 
 def active_time(events: DataFrame, keys: list[str], ts: str, order: list[str], idle_s: int = 300) -> DataFrame:
     """active_s and wall_s of each key: gaps over 0 and under ``idle_s`` seconds count as active."""
-    at = F.unix_micros(ts)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = at - F.lag(at).over(Window.partitionBy(*keys).orderBy(ts, *order))
     counted = events.withColumn("gap", gap)
     return counted.groupBy(*keys).agg(
@@ -49,7 +49,7 @@ def usage(rows: DataFrame, dimensions: list[str], sums: list[str]) -> DataFrame:
     full = (1 << n) - 1
     named = [F.when(F.col("gid") == full - (1 << (n - 1 - i)), F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value"))) for i, d in enumerate(dimensions)]
     key = F.coalesce(*named, F.struct(F.lit("all").alias("dim"), F.lit("").alias("value")))
-    return out.select(key.alias("k"), *sums, "calls").select("k.*", *sums, "calls").where("value is not null")
+    return out.select(key.alias("__key"), *sums, "calls").select("__key.*", *sums, "calls").where("value is not null")
 
 
 def max_per_key(rows: DataFrame, keys: list[str], measure: str, seq: str) -> DataFrame:

@@ -1,4 +1,6 @@
 """Registered queries: every operator applied to the standard tables, with equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import catalog, events, texts
+
+QUERIES: dict = catalog.QUERIES | events.QUERIES | texts.QUERIES
+ORACLE_SQL: dict[str, str] = catalog.ORACLE_SQL | events.ORACLE_SQL | texts.ORACLE_SQL
