@@ -7,8 +7,9 @@ count again, and what is left joins on its rarest n-grams: of two linked documen
 n // 4 + 1 rarest. Candidate pairs are verified by fragments again: the overlap of each fragment is counted apart and
 the parts are summed for the pair. So the result is exact.
 
-A list of documents with a rare n-gram in common isn't expanded into its pairs at once. A few rounds compare the list
-with one leader each and merge what links; then only pairs of documents in different groups are compared.
+A list of documents with a rare n-gram in common isn't expanded into its pairs. First its documents are compared with
+the most central of them and what links is merged; then only pairs in different groups are compared, and only where the
+n-gram comes early enough in both documents for the overlap that their sizes ask for.
 
 N-grams are 64-bit hashes. Fragment messages carry a shorter hash, which may only let a document stay that could go.
 
@@ -154,7 +155,8 @@ def shared_counts(docs: DataFrame, bits: int, k: int) -> DataFrame:
 
 def rare_postings(sets: DataFrame, bits: int) -> DataFrame:
     """From :func:`blocks_of` with whole sets: gram, doc_id, n, pos of the shared ones among each document's n // 4 + 1
-    rarest n-grams; pos is the n-gram's place in the document, rarest first."""
+    rarest n-grams; pos is the n-gram's place in the document, rarest first. shared: how many of all its n-grams others
+    have; central: in how many documents they occur, on average."""
 
     def counts(table: pa.Table) -> pa.Table:
         (rows, many), at, out = _counted(table), 0, []
@@ -176,20 +178,21 @@ def rare_postings(sets: DataFrame, bits: int) -> DataFrame:
         for r in rows:
             if r["kind"] == 1:
                 many[order[cuts[r["frag"]] : cuts[r["frag"] + 1]]] = np.frombuffer(r["entries"], np.uint8)
-        out = [(np.zeros(0, np.uint64), 0, 0, np.zeros(0, np.int64))]
+        out = [(np.zeros(0, np.uint64), 0, 0, np.zeros(0, np.int64), 0, 0.0)]
         for doc, n, end in zip(ids.tolist(), sizes.tolist(), ends.tolist(), strict=True):
             m, g = many[end - n : end], grams[end - n : end]
             if n and 4 * int((m == 1).sum()) <= n:
                 rare = np.lexsort((g, m))[: n // 4 + 1]
                 pos = np.flatnonzero(m[rare] > 1)
-                out.append((g[rare[pos]], doc, n, pos))
+                out.append((g[rare[pos]], doc, n, pos, int((m > 1).sum()), float(m.mean())))
         sizes = [len(x[0]) for x in out]
-        return pa.table({"gram": np.concatenate([x[0] for x in out]).view(np.int64), "doc_id": np.repeat(np.array([x[1] for x in out], np.int64), sizes), "n": np.repeat(np.array([x[2] for x in out], np.int64), sizes), "pos": np.concatenate([x[3] for x in out]).astype(np.int64)})
+        each = lambda i, kind: np.repeat(np.array([x[i] for x in out], kind), sizes)
+        return pa.table({"gram": np.concatenate([x[0] for x in out]).view(np.int64), "doc_id": each(1, np.int64), "n": each(2, np.int64), "pos": np.concatenate([x[3] for x in out]).astype(np.int64), "shared": each(4, np.int64), "central": each(5, np.float64)})
 
     kind = "kind int, frag int, block string, entries binary, ids binary, sizes binary, grams binary"
     answers = sets.where("kind = 1").select("frag", "block", "docs", "counts", "entries").groupBy("frag").applyInArrow(counts, kind)
     own = sets.where("kind = 0").select("kind", "frag", "block", "entries", "ids", "sizes", "grams")
-    return own.unionByName(answers).groupBy("block").applyInArrow(pick, "gram long, doc_id long, n long, pos long")
+    return own.unionByName(answers).groupBy("block").applyInArrow(pick, "gram long, doc_id long, n long, pos long, shared long, central double")
 
 
 def segments(sets: DataFrame, parts: int = PARTS) -> DataFrame:
@@ -226,35 +229,45 @@ def _pair(x: str, y: str) -> list:
     return [a.alias("a"), na.alias("na"), b.alias("b"), nb.alias("nb")]
 
 
-def link_groups(postings: DataFrame, cut: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
-    """node and label (the smallest node of its group) of the linked documents of ``postings`` that aren't their label."""
+def link_groups(postings: DataFrame, cut: DataFrame, percent: int = 75, rounds: int = 1) -> DataFrame:
+    """node and label (the smallest node of its group) of the linked documents of ``postings`` that aren't their label.
+
+    In each of ``rounds`` the documents of a list are compared with its most central one, which in a group of near copies
+    is the one they were made from. The last step compares the documents of each list that are still in different groups.
+    """
     labels = edges = tested = None
-    # sizes of linked documents differ by the threshold at most
-    near = lambda x, y: (F.col(f"{x}.n") * 100 >= percent * F.col(f"{y}.n")) & (F.col(f"{y}.n") * 100 >= percent * F.col(f"{x}.n"))
+    share = percent / (100 + percent)
+
+    def near(x: str, y: str):
+        # sizes of linked documents differ by the threshold at most, and n-grams that no other has are no overlap
+        sizes = (F.col(f"{x}.n") * 100 >= percent * F.col(f"{y}.n")) & (F.col(f"{y}.n") * 100 >= percent * F.col(f"{x}.n"))
+        return sizes & (F.least(f"{x}.shared", f"{y}.shared") * (100 + percent) >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n")))
+
     for step in range(rounds + 1):
         p = postings.withColumn("label", F.col("doc_id"))
         if labels is not None:
             p = postings.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        lead = F.min_by(F.struct("doc_id", "n", "label"), F.xxhash64("doc_id", F.lit(step)))
+        first = F.col("central") if step == 0 else F.xxhash64("doc_id", F.lit(step)).cast("double")
+        lead = F.max_by(F.struct("doc_id", "n", "shared", "label"), F.struct(first, -F.col("doc_id")))
         lists = p.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), lead.alias("y")).where("low < high")
         if step < rounds:
-            x = p.select("gram", F.struct("doc_id", "n", "label").alias("x"))
+            x = p.select("gram", F.struct("doc_id", "n", "shared", "label").alias("x"))
             pairs = x.join(lists.select("gram", "y"), "gram").where((F.col("x.label") != F.col("y.label")) & near("x", "y"))
         else:
-            left = p.join(lists.select("gram"), "gram", "left_semi").select("gram", F.struct("doc_id", "n", "label", "pos").alias("x"))
+            # no partner leaves room for n-grams past these places
+            early = p.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+            left = early.join(lists.select("gram"), "gram", "left_semi").select("gram", F.struct("doc_id", "n", "shared", "label", "pos").alias("x"))
             right = left.select("gram", F.col("x").alias("y"))
-            # a shared n-gram at these places leaves at most so much overlap
-            most = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
-            enough = most * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
-            pairs = left.join(right, "gram").where((F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & near("x", "y") & enough)
+            # of an overlap of ``least`` the rarest n-gram has at most n - least before it on either side
+            least = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(share) - 1e-9)
+            placed = (F.col("x.pos") <= F.col("x.n") - least) & (F.col("y.pos") <= F.col("y.n") - least)
+            pairs = left.join(right, "gram").where((F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & placed & near("x", "y"))
         pairs = pairs.select(*_pair("x", "y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         if pairs.isEmpty():
-            if step < rounds and labels is not None:
-                continue
-            break
+            continue
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         found = staged(verified(pairs, cut, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
