@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one round of vectorised work takes; a longer document is taken alone.
 CHUNK_BYTES = 1 << 20
@@ -36,6 +37,35 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrowed(rows: DataFrame, keys: DataFrame, key: str, bits: int = 25) -> DataFrame:
+    """``rows`` less most of those whose ``key`` isn't in ``keys``; none that is there gets lost.
+
+    A bitmap of ``2 ** bits`` places (4 MB) holds the hashes of the keys; its size is fixed, so the more keys there are,
+    the more rows pass, and a join has to follow. It spares the shuffle of texts that few keys ask for.
+    """
+    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << bits))
+    spots = keys.select((slot + 1).alias("n")).where(F.col(key).isNotNull())
+    parts = spots.groupBy(F.bitmap_bucket_number("n").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits")).collect()
+    places = np.zeros(1 << bits >> 3, np.uint8)
+    for r in parts:
+        at = (r["part"] - 1) * 4096
+        places[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(places)
+    names, extra = rows.columns, "__slot"
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            n = batch.column(extra).to_numpy()
+            held = (known[n >> 3] >> (n & 7).astype(np.uint8)) & 1
+            kept = batch.select(names).filter(pa.array(held.astype(bool)))
+            if kept.num_rows:
+                yield kept
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.where(F.col(key).isNotNull()).withColumn(extra, slot).mapInArrow(keep, fields)
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array and the n + 1 offsets of its rows (nulls are empty)."""
     if isinstance(texts, pa.ChunkedArray):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, chunks, hash_words, mix, staged, word_ngrams
+from .common import NOT_SPACE, chunks, hash_words, mix, narrowed, staged, word_ngrams
 from .components import connected_components
 
 #: n-grams of a block of documents whose messages go together, and n-grams aimed at for a fragment.
@@ -290,7 +290,8 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     maybe = facts.where("n > 0 and doc_id is not null and 4 * alone <= n")
     classes = staged(maybe.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     bits = bits_of(classes.agg(F.sum("n")).first()[0] or 0)
-    kept = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = classes.select(F.col("rep").alias("doc_id"))
+    kept = narrowed(docs, reps, "doc_id").join(reps, "doc_id", "left_semi")
     sets = staged(blocks_of(kept, bits, False, True, k, 200_000), "sets")
     postings = staged(rare_postings(sets, bits), "postings")
     held = postings.select("doc_id").distinct()
