@@ -104,7 +104,7 @@ class Forest:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 32, share: float = 0.62, block_rows: int = 16_384, query_batch: int = 32_768, seed: int = 5) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 40, share: float = 0.66, block_rows: int = 16_384, query_batch: int = 32_768, seed: int = 5) -> DataFrame:
     """For each of ``rows`` (vec_id, embedding) that ``is_query`` picks, its k nearest found others: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
     rows = usable(rows)
