@@ -1,6 +1,6 @@
 """Registered queries: every operator applied to the standard tables, with equivalent SQL."""
 
-from . import catalog, events, outlines, texts
+from . import blocks, catalog, events, outlines, texts
 
-QUERIES: dict = catalog.QUERIES | events.QUERIES | texts.QUERIES | outlines.QUERIES
-ORACLE_SQL: dict[str, str] = catalog.ORACLE_SQL | events.ORACLE_SQL | texts.ORACLE_SQL | outlines.ORACLE_SQL
+QUERIES: dict = catalog.QUERIES | events.QUERIES | texts.QUERIES | outlines.QUERIES | blocks.QUERIES
+ORACLE_SQL: dict[str, str] = catalog.ORACLE_SQL | events.ORACLE_SQL | texts.ORACLE_SQL | outlines.ORACLE_SQL | blocks.ORACLE_SQL
