@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,18 @@ from pyspark.sql import functions as F
 #: Bytes of text that one round of vectorised work takes; a longer document is taken alone.
 CHUNK_BYTES = 1 << 20
 
+#: What operators keep in a Python worker between tasks. Workers live on when another operator begins.
+WORKER_CACHES: list[dict] = []
+
+
+def fresh_worker() -> None:
+    """Gives back the memory that other operators have left in this Python worker."""
+    if any(WORKER_CACHES):
+        for cache in WORKER_CACHES:
+            cache.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
@@ -24,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows in this session: texts are long, and a task holds a few batches at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, chunks, hash_words, text_buffers, word_ngrams
+from .common import ALNUM, chunks, fresh_worker, hash_words, small_batches, text_buffers, word_ngrams
 
 SPANS = "spans array<struct<begin:int,end:int>>"
 _END = np.uint64(2**64 - 1)
@@ -138,6 +138,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4, b
     """
     keep = keep or ["doc_id"]
     spark = docs.sparkSession
+    small_batches(spark)
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-int(total) // block_bytes) or 1
@@ -151,6 +152,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4, b
         index = spark.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in part], window, k))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fresh_worker()
             found = index.value
             for batch in batches:
                 for i, j, data, offs in chunks(batch.column("text")):

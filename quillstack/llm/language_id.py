@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, fresh_worker, small_batches
 
 BITS = 16
 FEATURES = 1 << BITS
@@ -121,6 +121,7 @@ class Model:
 
 def train(docs: DataFrame, train_rows: int = 20_000) -> Model | None:
     """A model from ``docs`` (doc_id, text, lang); rows without a text or label are left out."""
+    small_batches(docs.sparkSession)
     labelled = docs.where("lang is not null and text is not null")
     by_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not by_lang:
@@ -132,6 +133,7 @@ def train(docs: DataFrame, train_rows: int = 20_000) -> Model | None:
     width = len(languages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         counts = np.zeros(((FEATURES + 1) * width), np.int64)
         for batch in batches:
             texts, langs = pc.utf8_lower(batch.column("text")), batch.column("lang").to_pylist()
@@ -155,11 +157,13 @@ def train(docs: DataFrame, train_rows: int = 20_000) -> Model | None:
 def predict(docs: DataFrame, model: Model | None, near: float = 0.6, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """lang_pred, score, second (language) and ambiguous (score below ``near``) of each of ``docs`` (text), after the
     columns ``keep`` (doc_id, where none are named); ``prefix`` is put before the new names."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
     names = [*keep, *(prefix + n for n in ("lang_pred", "score", "second", "ambiguous"))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         own = shared.value
         for batch in batches:
             texts = pc.utf8_lower(batch.column("text"))

@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, chunks, hash_words, mix, narrowed, staged, word_ngrams
+from .common import NOT_SPACE, chunks, fresh_worker, hash_words, mix, narrowed, small_batches, staged, word_ngrams
 from .components import connected_components
 
 #: n-grams of a block of documents whose messages go together, and n-grams aimed at for a fragment.
-BLOCK_GRAMS, FRAGMENT_GRAMS = 1_500_000, 2_000_000
+BLOCK_GRAMS, FRAGMENT_GRAMS = 800_000, 1_000_000
 #: Fragments by which pairs are verified.
 PARTS = 8
 _MESSAGE = "kind int, frag int, block string, docs binary, counts binary, entries binary, ids binary, sizes binary, grams binary"
@@ -87,6 +87,7 @@ def blocks_of(docs: DataFrame, bits: int, keys: bool, own: bool, k: int, limit:
     """Messages (kind 1) and block rows (kind 0) of ``docs`` (doc_id, text); block rows carry set hashes or whole sets."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         part, serial, ids, sets, held = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
             for i, j, data, offs in chunks(batch.column("text")):
@@ -282,6 +283,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """
     if percent < 75:
         raise ValueError("percent must be at least 75")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits_of = lambda n: max(4, int(np.ceil(np.log2(max(1, n / FRAGMENT_GRAMS)))))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 from .tokens import encoder, text_bytes
 
 #: Items that one best-fit run takes at most.
@@ -56,6 +56,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
 
     ``slack``: a bin with so few tokens left is nearly full.
     """
+    small_batches(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
     width = 4 * capacity
 

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, staged
+from .common import chunks, fresh_worker, mix, small_batches, staged
 
 #: Bytes of a k-gram (a power of two), bytes of contexts aimed at for a bucket, contexts of an anchor that make it hot.
-GRAM, BUCKET_BYTES, HOT = 32, 1_500_000, 1500
+GRAM, BUCKET_BYTES, HOT = 32, 800_000, 1000
 _RNG = np.random.Generator(np.random.PCG64(97))
 _BYTES = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -196,6 +196,7 @@ def _text_key() -> list:
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             for i, _, data, offs in chunks(batch.column("text")):
                 row, anchor, context, begin, end, again = anchor_runs(data, offs, length)
@@ -237,6 +238,7 @@ def _indexed(bodies: DataFrame, length: int) -> DataFrame:
     """h, c and the window starts, as first and last place in the context, that some other place of the bucket has too."""
 
     def mark(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         columns = ("h", "c", "at")
         h, c, at = (table.column(x).to_numpy() for x in columns)
         bodies = table.column("body").to_pylist()
@@ -267,6 +269,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     of ``docs`` (doc_id, text) that hold a string of ``length`` bytes that also starts elsewhere."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *_text_key()).where(F.col("size") >= length)
     runs = staged(_runs(docs.drop("size"), length), "runs")
 
@@ -301,6 +304,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 def removed(docs: DataFrame, spans: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all, where none are named) with text less the bytes within ``spans`` (and less the
     bytes of characters that were cut through), and n_bytes, n_removed, n_spans and kept_sha256, all of the bytes."""
+    small_batches(docs.sparkSession)
     names, keep = docs.columns, docs.columns if keep is None else keep
     keyed = docs.withColumns(dict(zip(("__tk", "__size"), _text_key(), strict=True))).alias("d")
     other = spans.select(F.col("doc_id").alias("__doc"), F.col("tk").alias("__key"), F.col("spans").alias("__spans"))

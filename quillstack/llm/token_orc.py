@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small_batches
 from .tokens import encoder, text_bytes
 
 SCHEMA = "doc_id long, part int, seq long, n_tokens int, ids array<int>"
@@ -29,6 +30,7 @@ STEP = 256
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, stripe_mb: int = 16, stride: int = 1000, split_spaces: bool = True) -> None:
     """Encodes ``docs`` (doc_id, text) with the tokenizer file ``vocabulary`` and writes ORC files to ``path``."""
+    small_batches(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .common import WORKER_CACHES, fresh_worker
+
 _LOADED: dict[tuple[str, bool], "Encoder"] = {}
+WORKER_CACHES.append(_LOADED)
 _MARK = "\x01"
 #: What byte-level tokenizers put for the bytes that aren't printable in Latin-1: code points from 256 on, in order.
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(x for x in range(256) if x <= 0x20 or 0x7F <= x <= 0xA0 or x == 0xAD)}
@@ -115,6 +118,7 @@ def encoder(path: str, split_spaces: bool = True) -> Encoder:
     """One encoder a Python worker."""
     key = (path, split_spaces)
     if key not in _LOADED:
+        fresh_worker()
         _LOADED[key] = Encoder(path, split_spaces)
     return _LOADED[key]
 
