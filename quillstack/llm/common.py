@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -26,6 +28,8 @@ def fresh_worker() -> None:
             cache.clear()
         gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can trim its heap
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -61,7 +61,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     width = 4 * capacity
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, enc = TaskContext.get().partitionId() << 36, encoder(vocabulary, split_spaces)
+        first, enc = TaskContext.get().partitionId() << 36, encoder(vocabulary, split_spaces, 400_000)
         rows: list[tuple[int, int, int, int, int]] = []
 
         def packed() -> pa.RecordBatch:

@@ -16,7 +16,7 @@ import numpy as np
 
 from .common import WORKER_CACHES, fresh_worker
 
-_LOADED: dict[tuple[str, bool], "Encoder"] = {}
+_LOADED: dict[tuple[str, bool, int], "Encoder"] = {}
 WORKER_CACHES.append(_LOADED)
 _MARK = "\x01"
 #: What byte-level tokenizers put for the bytes that aren't printable in Latin-1: code points from 256 on, in order.
@@ -27,15 +27,16 @@ _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 class Encoder:
     """Texts (UTF-8 bytes) to little-endian unsigned 32-bit ids."""
 
-    #: Distinct pieces kept, and the longest piece kept, in bytes.
-    KEPT, LONGEST = 700_000, 48
+    #: The longest piece kept, in bytes.
+    LONGEST = 48
 
-    def __init__(self, path: str, split_spaces: bool = True):
+    def __init__(self, path: str, split_spaces: bool = True, kept: int = 650_000):
+        """``kept``: about how many distinct pieces are kept; fewer take less memory and more time."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split_spaces = split_spaces
+        self.split_spaces, self.kept = split_spaces, kept
         self.seen: dict[bytes, bytes] = {}
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -99,7 +100,7 @@ class Encoder:
         if not self.split_spaces:
             yield from self._each(texts)
             return
-        if len(self.seen) > self.KEPT:
+        if len(self.seen) > self.kept:
             self.seen.clear()
         seen = self.seen
         words = [t.split() for t in texts]
@@ -114,12 +115,12 @@ class Encoder:
             seen.pop(w, None)
 
 
-def encoder(path: str, split_spaces: bool = True) -> Encoder:
+def encoder(path: str, split_spaces: bool = True, kept: int = 650_000) -> Encoder:
     """One encoder a Python worker."""
-    key = (path, split_spaces)
+    key = (path, split_spaces, kept)
     if key not in _LOADED:
         fresh_worker()
-        _LOADED[key] = Encoder(path, split_spaces)
+        _LOADED[key] = Encoder(path, split_spaces, kept)
     return _LOADED[key]
 
 
