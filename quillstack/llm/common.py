@@ -155,8 +155,9 @@ def hash_words(data: np.ndarray, offs: np.ndarray, in_word: np.ndarray) -> tuple
     pos = at - starts[np.cumsum(begins) - 1]
     parts = _TABLE[((pos & 63) << 8) | low[at]]
     if (deep := int(pos.max()) >> 6) > 0:
-        powers = np.cumprod(np.concatenate([[1], np.full(deep, 0x9E3779B97F4A7C15, np.uint64)]).astype(np.uint64))
-        parts *= powers[pos >> 6]
+        powers = np.full(deep + 1, 0x9E3779B97F4A7C15, np.uint64)
+        powers[0] = 1
+        parts *= np.cumprod(powers, dtype=np.uint64)[pos >> 6]
     return mix(np.add.reduceat(parts, np.flatnonzero(begins))), np.searchsorted(starts, offs)
 
 

@@ -221,6 +221,33 @@ def test_decontamination_of_empty_tables(spark, docs, nothing):
     assert decontaminate.decontaminate(docs, none).where("contaminated or n_items > 0").count() == 0
 
 
+def long_words():
+    """Words of 300 to 5,000 bytes in pairs that differ at the end only, and copies of some."""
+    rng = np.random.default_rng(17)
+    words = []
+    for n in [300] * 60 + [320, 321, 400, 1000, 5000]:
+        w = "".join(rng.choice(list("abcdefghij"), n - 2))
+        words += [w + "ab", w + "ba", w + "abc"]
+    return words + words[:3] + words[-3:]
+
+
+def test_ngram_join_of_long_words(spark):
+    words = long_words()
+    texts = dict(enumerate([*words, *(" ".join(words[i : i + 3]) for i in range(0, 30, 3)), *(" ".join(words[i : i + 3][::-1]) for i in range(0, 30, 3))]))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    _, label = linked_groups(texts)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_groups(rows).collect()} == label
+
+
+def test_decontamination_of_long_words(spark):
+    words = long_words()
+    items = [(i, w) for i, w in enumerate(words) if i % 3 == 0] + [(1000, " ".join(words[:30])), (1001, "日本語、" * 200 + "甲"), (1002, "日本語、" * 60 + "甲")]
+    texts = [*words, " ".join(words[:30]), " ".join(words[1:31]), "日本語、" * 200 + "乙", "日本語、" * 60 + "甲", "日本語、" * 60 + "乙"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = taken(decontaminate.decontaminate(rows, spark.createDataFrame(items, "item_id long, text string")))
+    assert list(map(tuple, got)) == [(i, *hits_of(t, items)) for i, t in enumerate(texts)]
+
+
 # tokens and packing
 
 
