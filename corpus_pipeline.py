@@ -6,6 +6,8 @@ stage keeps is written as Parquet and read again by the next one.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,11 @@ from quillstack.llm.language_id import held_out, predict, train
 from quillstack.llm.ngram_join import jaccard_groups
 from quillstack.llm.packing import pack_documents
 from quillstack.llm.queries import table, word_vocabulary
-from quillstack.llm.suffix_dedup import removed, repeated_spans
+from quillstack.llm.suffix_dedup import passages, removed, repeated_spans
+
+#: A repeated passage has more than PASSAGE_WORDS words and PASSAGE_BYTES at least, which 51 words of prose have, or LONG_BYTES,
+#: however few its words are.
+PASSAGE_WORDS, PASSAGE_BYTES, LONG_BYTES = 50, 200, 400
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of strings that occur elsewhere too; those of which nothing is left go."""
-    cut = removed(docs, repeated_spans(docs))
+    """Documents without the bytes of passages that occur elsewhere too; those of which nothing is left go."""
+    chosen = partial(passages, length=PASSAGE_BYTES, words=PASSAGE_WORDS, size=LONG_BYTES)
+    cut = removed(docs, repeated_spans(docs, PASSAGE_BYTES), chosen=chosen)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"\S")
     text = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return cut.where(left).withColumns(text).select(*docs.columns)

@@ -23,7 +23,7 @@ empty table gives an empty table; other columns are kept by :func:`removed` and
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -301,9 +301,27 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return spans.unionByName(copies).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
-def removed(docs: DataFrame, spans: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def passages(text: bytes, spans: list[tuple[int, int]], length: int, words: int, size: int) -> list[tuple[int, int]]:
+    """Of ascending ``spans`` of windows of ``length`` bytes: those whose windows start at successive bytes made one, where
+    it holds more than ``words`` whole words or at least ``size`` bytes."""
+    out = []
+    for begin, end in spans:
+        if out and begin <= out[-1][1] - length + 1:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([begin, end])
+
+    def whole_words(begin: int, end: int) -> int:
+        edges = [text[at - 1 : at + 1] for at in (begin, end) if 0 < at < len(text)]
+        return len(text[begin:end].split()) - sum(not any(x in b" \t\n\r\x0b\x0c" for x in edge) for edge in edges)
+
+    return [(b, e) for b, e in out if e - b >= size or whole_words(b, e) > words]
+
+
+def removed(docs: DataFrame, spans: DataFrame, keep: list[str] | None = None, chosen: Callable[[bytes, list[tuple[int, int]]], list[tuple[int, int]]] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all, where none are named) with text less the bytes within ``spans`` (and less the
-    bytes of characters that were cut through), and n_bytes, n_removed, n_spans and kept_sha256, all of the bytes."""
+    bytes of characters that were cut through), and n_bytes, n_removed, n_spans and kept_sha256, all of the bytes. Where
+    ``chosen`` is given, it takes a text and its ascending spans and returns those that count."""
     small_batches(docs.sparkSession)
     names, keep = docs.columns, docs.columns if keep is None else keep
     keyed = docs.withColumns(dict(zip(("__tk", "__size"), _text_key(), strict=True))).alias("d")
@@ -318,7 +336,8 @@ def removed(docs: DataFrame, spans: DataFrame, keep: list[str] | None = None) ->
             for i, spans in enumerate(batch.column("__spans").to_pylist()):
                 text, rest, at, count = texts[i].as_py() or b"", [], 0, 0
                 last = -1
-                for s in sorted((s["begin"], s["end"]) for s in spans or ()):
+                found = sorted((s["begin"], s["end"]) for s in spans or ())
+                for s in chosen(text, found) if chosen else found:
                     if s[0] > last:  # spans that touch are one
                         rest.append(text[at : s[0]])
                         count += 1

@@ -506,3 +506,19 @@ def test_pipeline(spark, sf_dir):
     assert set(kept["benchmark_passages"]) == {i for i, t in kept["repeated_passages"].items() if not hits_of(t, items)[4]}
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(kept["benchmark_passages"])
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    shared = {n: prose(n, 200 + n) for n in (50, 51, 55, 60)}
+    shared[1] = "".join(np.random.default_rng(8).choice(list("abcdef"), 450))  # one long word
+    assert all(len(shared[n]) < 400 for n in (50, 51, 55, 60))
+    texts, want = {}, {}
+    for k, (n, x) in enumerate(shared.items()):
+        for i in (10 * k, 10 * k + 1):
+            before, after = prose(30, 300 + i) + f" first{i}", f"{i % 10}last " + prose(30, 400 + i)
+            texts[i] = f"{before} {x} {after}"
+            want[i] = texts[i] if n == 50 else before + after
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, rows, "").collect()}
+    assert {i: t.replace(" ", "") for i, t in got.items()} == {i: t.replace(" ", "") for i, t in want.items()}
