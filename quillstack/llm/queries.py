@@ -58,10 +58,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_dedup import removed, repeated_spans
+    from .suffix_dedup import passages_and_spans, removed
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return removed(docs, repeated_spans(docs), ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = removed(docs, passages_and_spans(docs), ["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("passages", F.lit(0)).cast("long").alias("n_passages"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

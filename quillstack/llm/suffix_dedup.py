@@ -12,12 +12,16 @@
    further by the anchors of a second hash.
 4. The marked windows of each document are merged to spans.
 
-Every step is a join or aggregation by hash; a bucket has a bounded size. Exact copies of a text are found first, by
-hash and length, and are repeated whole.
+Every step is a join or aggregation by hash. Texts and contexts count as equal where their 64-bit hashes (of texts also
+the lengths, of contexts also the anchors) are. Exact copies of a text are repeated whole.
+
+:func:`passages_and_spans` looks for shorter strings first, from which come the passages of many words; the longer strings
+of the contract lie within those passages, so only the text of passages is searched for them.
 
 Defined cases: a null text is empty; texts shorter than ``length`` have no spans; rows of equal doc_id and different text
 are different documents; rows that repeat are copies of each other; overlapping repeats within a document count; an
-empty table gives an empty table; other columns are kept by :func:`removed` and not read by the rest.
+empty table gives an empty table; other columns are kept by :func:`removed` and not read by the rest. A very long text is
+taken by one task, which needs about 70 times its bytes; so does a context, which is long where a text repeats itself.
 """
 
 from __future__ import annotations
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import chunks, fresh_worker, mix, small_batches, staged
 
 #: Bytes of a k-gram (a power of two), bytes of contexts aimed at for a bucket, contexts of an anchor that make it hot.
-GRAM, BUCKET_BYTES, HOT = 32, 800_000, 1000
+GRAM, BUCKET_BYTES, HOT = 32, 250_000, 1000
+#: Parts into which the contexts of each anchor are dealt where they meet the list of hot anchors.
+SALTS = 32
 _RNG = np.random.Generator(np.random.PCG64(97))
 _BYTES = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -106,33 +112,55 @@ def anchor_runs(data: np.ndarray, offs: np.ndarray, length: int, salt: int = 0)
 
 
 def suffix_array(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Suffixes of concatenated texts in order; a text ends with code 0 at ``ends``. Ties go by place."""
+    """Suffixes of concatenated texts in order; a text ends with code 0 at ``ends``. Ties go by place.
+
+    Prefix doubling. The keys and the place of a suffix are packed in one integer, as sorting integers is some times as
+    fast as sorting their places by them; the first key holds as many codes as fit, counted by those that occur.
+    """
     n = len(codes)
-    place = np.arange(n)
-    key = np.zeros(n, np.int64)
-    for j in range(4):
-        key = (key << 9) | codes[np.minimum(place + j, ends)]
-    order = np.argsort(key)
-    new = np.concatenate([[True], np.diff(key[order]) != 0])
-    start = np.maximum.accumulate(np.where(new, place, 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = start
-    width, active = 4, np.flatnonzero(~new | ~np.append(new[1:], True))
+    bits = n.bit_length()
+    low = (1 << bits) - 1
+    place = np.arange(n, dtype=np.int32)
+    present = np.zeros(257, bool)
+    present[codes] = True
+    small = (np.cumsum(present) - 1).astype(np.int64)[codes]
+    each = max(1, int(present.sum() - 1).bit_length())
+    width = max(1, (63 - bits) // each)
+    packed = np.zeros(n, np.int64)
+    for j in range(width):
+        packed <<= each
+        packed |= small[np.minimum(place + j, ends)]
+    packed <<= bits
+    packed |= place
+    packed.sort()
+    order = (packed & low).astype(np.int32)
+    packed >>= bits
+    new = np.concatenate([[True], packed[1:] != packed[:-1]])
+    del packed, small
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    active = np.flatnonzero(~new | ~np.append(new[1:], True)).astype(np.int32)
     while len(active):
         own = order[active]
         more = own + width <= ends[own]  # the others are equal to their ends
         active, own = active[more], own[more]
         if not len(active):
             break
-        both = (rank[own] << 32) | rank[np.minimum(own + width, ends[own])]
-        by = np.argsort(both)
-        own, both = own[by], both[by]
+        both = (rank[own].astype(np.int64) << bits) | rank[own + width]
+        if 3 * bits <= 63:
+            both = (both << bits) | own
+            both.sort()
+            own = (both & low).astype(np.int32)
+            both >>= bits
+        else:
+            by = np.lexsort((own, both))
+            own, both = own[by], both[by]
         order[active] = own
         new = np.concatenate([[True], both[1:] != both[:-1]])
         rank[own] = np.maximum.accumulate(np.where(new, active, 0))
         active = active[~new | ~np.append(new[1:], True)]
         width *= 2
-    return np.sort((rank << 32) | place) & 0xFFFFFFFF
+    return order
 
 
 class RunLengthIndex:
@@ -142,11 +170,11 @@ class RunLengthIndex:
         """``data``: texts without separators; ``sizes``: their lengths."""
         tops = np.cumsum(sizes + 1)
         self.n = int(tops[-1])
-        ends = np.repeat(tops - 1, sizes + 1)
+        ends = np.repeat((tops - 1).astype(np.int32), sizes + 1)
         inside = np.ones(self.n, bool)
         inside[tops - 1] = False
-        codes = np.zeros(self.n, np.int64)
-        codes[inside] = data.astype(np.int64) + 1
+        codes = np.zeros(self.n, np.uint16)
+        codes[inside] = data.astype(np.uint16) + 1
         order = suffix_array(codes, ends)
         before = codes[order - 1]  # the transform; 0 before a text
         before[order == 0] = 0
@@ -155,30 +183,32 @@ class RunLengthIndex:
         at = self.run_begins[1:]
         # samples: the last suffix of a run and the first of the next, with the length of their match
         self.last, self.first = order[at - 1], order[at]
-        self.match = self._matches(np.append(codes.astype(np.uint16), np.zeros(8, np.uint16)), ends)
+        del order, before, head
+        raw = np.zeros(self.n + 8, np.uint8)
+        raw[: self.n][inside] = data
+        self.match = self._matches(raw, ends)
 
-    def _matches(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = np.ascontiguousarray(codes)
-        words = np.ndarray((self.n + 4,), np.uint64, raw, 0, (2,))  # four codes from each place
+    def _matches(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        words = np.ndarray((self.n + 1,), np.uint64, raw, 0, (1,))  # eight bytes from each place
         p, q = self.first.copy(), self.last.copy()
         most = np.minimum(ends[p] - p, ends[q] - q)
-        out, active = np.zeros(len(p), np.int64), np.arange(len(p))
+        out, active = np.zeros(len(p), np.int32), np.flatnonzero(most > 0)
         while len(active):
             apart = words[p[active]] ^ words[q[active]]
             same = apart == 0
-            low = apart & (~apart + np.uint64(1))
-            out[active] += np.where(same, 4, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) >> 4)
+            lowest = apart & (~apart + np.uint64(1))
+            out[active] += np.where(same, 8, np.log2(np.maximum(lowest, np.uint64(1)).astype(np.float64)).astype(np.int32) >> 3)
             active = active[same & (out[active] < most[active])]
-            p[active] += 4
-            q[active] += 4
+            p[active] += 8
+            q[active] += 8
         return np.minimum(out, most)
 
     def statistics(self) -> np.ndarray:
         """For each place the longest match with a suffix elsewhere: samples, less a byte for each step since."""
-        place, found = np.arange(self.n), np.zeros(self.n, np.int64)
-        for side in (self.first, self.last):
-            reach = np.zeros(self.n, np.int64)
-            np.maximum.at(reach, side, self.match + side)
+        place, found = np.arange(self.n, dtype=np.int32), np.zeros(self.n, np.int32)
+        for side in (self.first, self.last):  # no suffix stands twice in a side
+            reach = np.zeros(self.n, np.int32)
+            reach[side] = self.match + side
             np.maximum(found, np.maximum.accumulate(reach) - place, out=found)
         return found
 
@@ -190,7 +220,7 @@ def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _text_key() -> list:
-    text = F.coalesce("text", F.lit(""))
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     return [F.xxhash64(text).alias("tk"), F.octet_length(text).alias("size")]
 
 
@@ -206,30 +236,32 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, tk long, h long, c long, a int, b int, again boolean")
 
 
-def _bodies(docs: DataFrame, picked: DataFrame, length: int, hot: bool) -> DataFrame:
+def _bodies(docs: DataFrame, picked: DataFrame, length: int) -> DataFrame:
     """The contexts of ``picked`` (doc_id, tk, h, c, a, b, bucket), cut from the texts: bucket, h, c, at (the first window's
-    place in the context of h and c), body. With ``hot`` a context is cut into those of the second hash's anchors, which
-    are dealt to ``bucket`` buckets more by that anchor."""
+    place in the context of h and c), body. A context of a negative bucket -n is cut into those of the second hash's
+    anchors, which are dealt to n more buckets by that anchor."""
     wanted = picked.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "c", "a", "b", "bucket")).alias("runs"))
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["tk"] == wanted["tk"])
+    schema = pa.schema([("bucket", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("at", pa.int32()), ("body", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("at", pa.int32()), ("body", pa.binary())])
         for batch in batches:
-            kind = pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary()
-            texts, runs = batch.column("text").cast(kind), batch.column("runs")
+            texts, runs, out, held = batch.column("text"), batch.column("runs"), [], 0
             for i in range(batch.num_rows):
-                text, out = texts[i].as_py(), []
+                text = texts[i].as_py()
                 for r in runs[i].as_py():
                     body = text[r["a"] : r["b"] + length]
-                    if not hot:
+                    if r["bucket"] >= 0:
                         out.append((r["bucket"], r["h"], r["c"], 0, body))
+                        held += len(body)
                         continue
                     _, anchor, _, begin, end, _ = anchor_runs(np.frombuffer(body, np.uint8), np.array([0, len(body)]), length, 1)
                     for h2, x, y in zip(anchor.tolist(), begin.tolist(), end.tolist(), strict=True):
-                        out.append((-1 - (h2 ^ (r["h"] & (2**64 - 1))) % r["bucket"], r["h"], r["c"], x, body[x : y + length]))
-                if out:
+                        out.append((-1 - (h2 ^ (r["h"] & (2**64 - 1))) % -r["bucket"], r["h"], r["c"], x, body[x : y + length]))
+                        held += y + length - x
+                if held > BUCKET_BYTES or (out and i == batch.num_rows - 1):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out, held = [], 0
 
     return docs.join(wanted, same).select("text", "runs").mapInArrow(cut, "bucket long, h long, c long, at int, body binary")
 
@@ -270,7 +302,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *_text_key()).where(F.col("size") >= length)
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), *_text_key()).where(F.col("size") >= length)
     runs = staged(_runs(docs.drop("size"), length), "runs")
 
     spot = F.struct("tk", "a")
@@ -281,16 +313,14 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     whole = contexts.where("s0 <> s1").select("h", "c", F.lit(0).alias("x"), F.lit(None).cast("int").alias("y"))
 
     several = contexts.where("mixed").select("h", "c", "one.*")
-    by_anchor = several.groupBy("h").agg(F.count(F.lit(1)).alias("many"))
     size = several.agg(F.sum(F.col("b") - F.col("a") + length)).first()[0] or 0
     buckets = max(1, -(-int(size) // BUCKET_BYTES))
-    hot_anchors = by_anchor.where(F.col("many") > HOT)
-    plain = several.join(hot_anchors, "h", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    text = docs.select("doc_id", "tk", "text")
-    bodies = _bodies(text, plain, length, False)
-    hot = several.join(hot_anchors, "h").withColumn("bucket", F.lit(buckets) + F.floor(F.col("many") / 64)).drop("many")
-    if not hot.isEmpty():
-        bodies = bodies.unionByName(_bodies(text, hot, length, True))
+    salt = F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int").alias("salt")
+    hot = several.groupBy("h", salt).agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("many")).where(F.col("many") > HOT)
+    hot = hot.select("h", "many", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    bucket = F.when(F.col("many").isNull(), F.pmod(F.xxhash64("h"), F.lit(buckets))).otherwise(-(F.lit(buckets) + F.floor(F.col("many") / 64)))
+    dealt = several.select("*", salt).join(hot, ["h", "salt"], "left").select("doc_id", "tk", "h", "c", "a", "b", bucket.cast("long").alias("bucket"))
+    bodies = _bodies(docs.select("doc_id", "tk", "text"), dealt, length)
     marks = staged(_indexed(bodies, length), "marks")
 
     found = runs.join(whole.unionByName(marks), ["h", "c"])
@@ -301,32 +331,74 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return spans.unionByName(copies).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
-def passages(text: bytes, spans: list[tuple[int, int]], length: int, words: int, size: int) -> list[tuple[int, int]]:
-    """Of ascending ``spans`` of windows of ``length`` bytes: those whose windows start at successive bytes made one, where
-    it holds more than ``words`` whole words or at least ``size`` bytes."""
-    out = []
+def joined_windows(spans: list[tuple[int, int]], length: int) -> list[list[int]]:
+    """Ascending ``spans`` of windows of ``length`` bytes, those whose windows start at successive bytes made one."""
+    out: list[list[int]] = []
     for begin, end in spans:
         if out and begin <= out[-1][1] - length + 1:
             out[-1][1] = max(out[-1][1], end)
         else:
             out.append([begin, end])
+    return out
+
+
+def whole_words(text: bytes, begin: int, end: int) -> int:
+    """The words of ``text`` that lie whole between ``begin`` and ``end``."""
+    edges = [text[at - 1 : at + 1] for at in (begin, end) if 0 < at < len(text)]
+    return len(text[begin:end].split()) - sum(not any(x in b" \t\n\r\x0b\x0c" for x in edge) for edge in edges)
+
 
-    def whole_words(begin: int, end: int) -> int:
-        edges = [text[at - 1 : at + 1] for at in (begin, end) if 0 < at < len(text)]
-        return len(text[begin:end].split()) - sum(not any(x in b" \t\n\r\x0b\x0c" for x in edge) for edge in edges)
+def passages(text: bytes, spans: list[tuple[int, int]], length: int, words: int, size: int) -> list[tuple[int, int]]:
+    """Of ascending ``spans`` of windows of ``length`` bytes, joined: those that hold more than ``words`` whole words or at
+    least ``size`` bytes."""
+    return [(b, e) for b, e in joined_windows(spans, length) if e - b >= size or whole_words(text, b, e) > words]
+
+
+def passages_and_spans(docs: DataFrame, length: int = 400, least: int = 200, words: int = 50) -> DataFrame:
+    """doc_id, tk, spans (as :func:`repeated_spans` gives them for ``length``) and passages (how many passages of more than
+    ``words`` words repeat, each in windows of ``least`` bytes that all stand elsewhere too)."""
+    wide = staged(repeated_spans(docs, least), "wide-spans")
+    keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), _text_key()[0])
+    other = wide.select(F.col("doc_id").alias("d"), F.col("tk").alias("k"), "spans")
+    same = keyed["doc_id"].eqNullSafe(other["d"]) & (keyed["tk"] == other["k"])
+    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("begin", pa.int32()), ("passages", pa.int32()), ("text", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, held = [], 0
+            for i, (doc, key, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tk", "spans")), strict=True)):
+                text = batch.column("text")[i].as_py()
+                found = joined_windows(sorted((s["begin"], s["end"]) for s in spans), least)
+                out.append((doc, key, -1, sum(whole_words(text, b, e) > words for b, e in found), None))
+                out += [(doc, key, b, None, text[b:e]) for b, e in found if e - b >= length]
+                held += sum(e - b for b, e in found)
+                if held > BUCKET_BYTES or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out, held = [], 0
 
-    return [(b, e) for b, e in out if e - b >= size or whole_words(b, e) > words]
+    parts = staged(keyed.join(other, same).select("doc_id", "tk", "text", "spans").mapInArrow(cut, "doc_id long, tk long, begin int, passages int, text binary"), "passages")
+    # a piece is known by a hash of its place; two of one hash and one text would have the same spans
+    place = F.xxhash64("doc_id", "tk", "begin")
+    pieces = parts.where("begin >= 0").select("doc_id", "tk", "begin", place.alias("piece"), "text", _text_key()[0].alias("own"))
+    exact = repeated_spans(pieces.select(F.col("piece").alias("doc_id"), "text"), length).select(F.col("doc_id").alias("piece"), F.col("tk").alias("own"), "spans")
+    moved = F.transform("spans", lambda x: F.struct((x["begin"] + F.col("begin")).alias("begin"), (x["end"] + F.col("begin")).alias("end")))
+    found = pieces.drop("text").join(exact, ["piece", "own"]).select("doc_id", "tk", moved.alias("spans"), F.lit(0).alias("passages"))
+    counts = parts.where("begin < 0").select("doc_id", "tk", F.array().cast("array<struct<begin:int,end:int>>").alias("spans"), "passages")
+    # repeated rows have the same spans and the same count
+    return counts.unionByName(found).groupBy("doc_id", "tk").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.max("passages").alias("passages"))
 
 
 def removed(docs: DataFrame, spans: DataFrame, keep: list[str] | None = None, chosen: Callable[[bytes, list[tuple[int, int]]], list[tuple[int, int]]] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all, where none are named) with text less the bytes within ``spans`` (and less the
-    bytes of characters that were cut through), and n_bytes, n_removed, n_spans and kept_sha256, all of the bytes. Where
-    ``chosen`` is given, it takes a text and its ascending spans and returns those that count."""
+    bytes of characters that were cut through), and n_bytes, n_removed, n_spans and kept_sha256, all of the bytes, and the
+    further columns of ``spans``. Where ``chosen`` is given, it takes a text and its ascending spans and returns those that
+    count."""
     small_batches(docs.sparkSession)
     names, keep = docs.columns, docs.columns if keep is None else keep
     keyed = docs.withColumns(dict(zip(("__tk", "__size"), _text_key(), strict=True))).alias("d")
-    other = spans.select(F.col("doc_id").alias("__doc"), F.col("tk").alias("__key"), F.col("spans").alias("__spans"))
-    joined = keyed.join(other, F.col("d.doc_id").eqNullSafe(F.col("__doc")) & (F.col("d.__tk") == F.col("__key")), "left").select(*[F.col(f"d.`{n}`") for n in names], "__spans")
+    more = [c for c in spans.columns if c not in ("doc_id", "tk", "spans")]
+    other = spans.select(F.col("doc_id").alias("__doc"), F.col("tk").alias("__key"), F.col("spans").alias("__spans"), *[F.col(c).alias(f"__{c}") for c in more])
+    joined = keyed.join(other, F.col("d.doc_id").eqNullSafe(F.col("__doc")) & (F.col("d.__tk") == F.col("__key")), "left").select(*[F.col(f"d.`{n}`") for n in names], "__spans", *[f"__{c}" for c in more])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +422,9 @@ def removed(docs: DataFrame, spans: DataFrame, keep: list[str] | None = None, ch
                 digests.append(hashlib.sha256(kept[-1]).hexdigest())
             texts = pa.array([k.decode("utf-8", "ignore") for k in kept], column.type) if "text" in keep else None
             columns = [texts if n == "text" else batch.column(n) for n in keep] + [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            columns += [batch.column(f"__{c}") for c in more]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *more])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[n] for n in keep))
-    return joined.mapInArrow(strip, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    extra = "".join(f", `{c}` {spans.schema[c].dataType.simpleString()}" for c in more)
+    return joined.mapInArrow(strip, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
