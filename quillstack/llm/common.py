@@ -139,15 +139,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_words(data: np.ndarray, offs: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of concatenated rows (A-Z lower-cased first), and the word offsets of the rows."""
-    low = _LOWER[data]
+def word_starts(low: np.ndarray, offs: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of concatenated rows: which bytes are of words, which of those begin one, and the places where words begin."""
     inside = in_word[low]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    edges = offs[:-1][offs[:-1] < len(data)]
+    edges = offs[:-1][offs[:-1] < len(low)]
     first[edges] = inside[edges]
-    starts = np.flatnonzero(first)
+    return inside, first, np.flatnonzero(first)
+
+
+def hash_words(data: np.ndarray, offs: np.ndarray, in_word: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of concatenated rows (A-Z lower-cased first, unless told not to), and the word offsets of
+    the rows."""
+    low = _LOWER[data] if lower else data
+    inside, first, starts = word_starts(low, offs, in_word)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
     at = np.flatnonzero(inside)

@@ -20,12 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged
-from .tokens import encoder, text_bytes
+from .tokens import encoder, with_end
 
 #: Items that one best-fit run takes at most.
 MOST = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
-STEP = 256
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,11 +56,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     ``slack``: a bin with so few tokens left is nearly full.
     """
     small_batches(docs.sparkSession)
-    end = np.asarray([end_id], "<u4").tobytes()
     width = 4 * capacity
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, enc = TaskContext.get().partitionId() << 36, encoder(vocabulary, split_spaces, 400_000)
+        first, enc = TaskContext.get().partitionId() << 36, encoder(vocabulary, split_spaces)
         rows: list[tuple[int, int, int, int, int]] = []
 
         def packed() -> pa.RecordBatch:
@@ -75,13 +73,13 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                some = batch.slice(at, STEP)
-                for doc, ids in zip(some.column("doc_id").to_pylist(), enc.encode(text_bytes(some.column("text"))), strict=True):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), width)):
-                        cut = ids[a : a + width]
-                        rows.append((doc, k, a // 4, len(cut) // 4, zlib.crc32(cut)))
+            for i, j, ids, offs in enc.encode(batch.column("text")):
+                ids, offs = with_end(ids, offs, end_id)
+                raw, edges = memoryview(ids.tobytes()), (offs * 4).tolist()
+                for doc, begin, end in zip(batch.column("doc_id").slice(i, j - i).to_pylist(), edges, edges[1:]):
+                    for k, a in enumerate(range(begin, end, width)):
+                        cut = raw[a : min(a + width, end)]
+                        rows.append((doc, k, (a - begin) // 4, len(cut) // 4, zlib.crc32(cut)))
                 if len(rows) >= MOST:
                     yield packed()
         yield packed()

@@ -22,28 +22,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import small_batches
-from .tokens import encoder, text_bytes
+from .tokens import encoder, with_end
 
 SCHEMA = "doc_id long, part int, seq long, n_tokens int, ids array<int>"
-STEP = 256
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, stripe_mb: int = 16, stride: int = 1000, split_spaces: bool = True) -> None:
     """Encodes ``docs`` (doc_id, text) with the tokenizer file ``vocabulary`` and writes ORC files to ``path``."""
     small_batches(docs.sparkSession)
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, enc = TaskContext.get().partitionId(), 0, encoder(vocabulary, split_spaces)
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                rows = batch.slice(at, STEP)
-                ids = [x + end for x in enc.encode(text_bytes(rows.column("text")))]
-                sizes = np.array([len(x) // 4 for x in ids], np.int32)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), pa.array(sizes), lists], ["doc_id", "part", "seq", "n_tokens", "ids"])
+            for i, j, ids, offs in enc.encode(batch.column("text")):
+                ids, offs = with_end(ids, offs, end_id)
+                lists = pa.ListArray.from_arrays(offs.astype(np.int32), pa.array(ids.view(np.int32)))
+                n = j - i
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), pa.array(np.diff(offs).astype(np.int32)), lists], ["doc_id", "part", "seq", "n_tokens", "ids"])
                 seq += n
 
     tie = F.xxhash64("text")

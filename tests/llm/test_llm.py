@@ -103,6 +103,11 @@ def test_ngram_join_of_near_copies_and_a_common_passage(spark):
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_groups(rows).collect()} == label
 
 
+def test_steps_give_back_ascending_numbers():
+    for x in ([], [0], [0, 0, 3, 254, 254, 255, 510, 4000, 4000, 70_000], list(range(0, 3000, 7))):
+        assert ngram_join.stepped(ngram_join.steps(np.array(x, np.uint32))).tolist() == x
+
+
 def test_ngram_join_edges(spark, nothing):
     assert ngram_join.jaccard_groups(nothing).count() == 0
     rows = spark.createDataFrame([(None, BASE), (5, BASE), (5, "other words here and there now"), (9, BASE)], "doc_id long, text string")
@@ -145,6 +150,34 @@ def test_suffix_dedup(docs):
     assert any(r[2] and r[2] < r[1] for r in got)
 
 
+def test_passages_and_spans(docs, nothing):
+    ids, texts = zip(*sorted(all_rows(), key=lambda r: r[0]), strict=True)
+    want = sorted(zip(ids, *zip(*cut_of(texts), strict=True), strict=True))
+    got = suffix_dedup.removed(docs, suffix_dedup.passages_and_spans(docs), ["doc_id"]).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    counts = {r["doc_id"]: r["passages"] or 0 for r in got}
+    assert all(counts[TEXTS.index(t)] for t in TEXTS if t and PASSAGE in t) and counts[TEXTS.index(BASE)]
+    assert not any(counts[i] for i, t in enumerate(TEXTS) if t in (prose(6000, 11), edited(BASE, 12, 3), "x" * 5000) or len(t or "") < 200)
+    assert suffix_dedup.passages_and_spans(nothing).count() == 0
+
+
+def test_passages_of_51_words_count_and_shorter_ones_do_not(spark):
+    shared = {n: prose(n, 900 + n) for n in (45, 51, 58)}
+    texts = [prose(40, 1000 + 2 * k + i) + f" first{k}{i} " + x + f" {i}last{k} " + prose(40, 1100 + 2 * k + i) for k, x in enumerate(shared.values()) for i in (0, 1)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["passages"] or 0, r["n_removed"]) for r in suffix_dedup.removed(rows, suffix_dedup.passages_and_spans(rows), ["doc_id"]).collect()}
+    assert got == {i: (i >= 2, 0) for i in range(6)}
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    long = prose(300_000, 71)
+    assert len(long) > 1 << 20
+    texts = [long, prose(20, 72) + long[500_000:500_600] + prose(20, 73), "ab" * 600_000, long[:1500] + "!" + long[1500:3000]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = taken(suffix_dedup.removed(rows, suffix_dedup.passages_and_spans(rows), ["doc_id"]))
+    assert [tuple(r)[1:5] for r in got] == cut_of(texts)
+
+
 def test_suffix_dedup_of_a_hot_anchor(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
     texts = [prose(30, i) + " " + PASSAGE + " " + prose(30, 100 + i) for i in range(25)] + [BASE, edited(BASE, 100, 1)]
@@ -263,6 +296,35 @@ def crc(x):
     return zlib.crc32(np.asarray(x, "<u4").tobytes())
 
 
+def test_encoder_shortcut_over_all_code_points():
+    """Words of every code point that goes past the normaliser and pre-tokenizer get the ids of the whole way."""
+    from quillstack.llm.tokens import Encoder
+
+    enc = Encoder(word_vocabulary())
+    assert enc.direct
+    admitted = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and enc._plain(c)]
+    assert len(admitted) > 400 and max(admitted) < "\u0250"
+    words = [w for c in admitted for w in (c, f"a{c}", f"{c}e", f"re{c}S", f"{c}{c}")]
+    words += ["".join(np.random.default_rng(i).choice(admitted, 6)) for i in range(3000)]
+    assert all(map(enc._plain, words))
+    assert [enc._word(w.lower()) for w in words] == enc._each(words)
+    marked = [w + t for w in words[::7] for t in (".", "'", "'s", "!!", "###", "'ll,", "-", "<|")]
+    assert enc._learned(marked) == enc._each(marked)
+
+
+def test_encoder_forgets_and_takes_long_texts():
+    import pyarrow as pa
+    from quillstack.llm.tokens import Encoder
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcdeé.'Z1"), 7)) for _ in range(900)) for _ in range(20)] + [prose(260_000, 5), None, "", " \x0b\x1c ", "\x85a\u3000b", "日本" * 4000, "y" * 70_000]
+    column = pa.array(texts)
+    for kept in (50, 1_500_000):
+        enc = Encoder(word_vocabulary(), kept=kept)
+        got = [ids[a:b].tolist() for _, _, ids, offs in enc.encode(column) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        assert got == enc._each([t or "" for t in texts])
+
+
 def test_token_orc(spark, docs, ids):
     path = fresh_path(spark, "orc")
     token_orc.write_tokens(docs, path, word_vocabulary())
