@@ -22,6 +22,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,12 @@ from .common import NOT_SPACE, chunks, fresh_worker, hash_words, mix, narrowed,
 from .components import connected_components
 
 #: n-grams of a block of documents whose messages go together, and n-grams aimed at for a fragment.
-BLOCK_GRAMS, FRAGMENT_GRAMS = 800_000, 1_000_000
+BLOCK_GRAMS, FRAGMENT_GRAMS = 800_000, 2_000_000
 #: Fragments by which pairs are verified.
 PARTS = 8
-_MESSAGE = "kind int, frag int, block string, docs binary, counts binary, entries binary, ids binary, sizes binary, grams binary"
-_NAMES = ["kind", "frag", "block", "docs", "counts", "entries", "ids", "sizes", "grams"]
-_KINDS = [pa.int32(), pa.int32(), pa.string()] + [pa.binary()] * 6
+_MESSAGE = "kind int, frag int, block string, docs binary, entries binary, ids binary, sizes binary, grams binary"
+_NAMES = ["kind", "frag", "block", "docs", "entries", "ids", "sizes", "grams"]
+_KINDS = [pa.int32(), pa.int32(), pa.string()] + [pa.binary()] * 5
 _NO_ID = -(2**63)
 
 
@@ -66,25 +67,39 @@ def _cut(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.
     return grams, docs, frags, order, np.searchsorted(frags[order], np.arange((1 << bits) + 1))
 
 
-def _messages(block: str, ids: np.ndarray, sets: list[np.ndarray], bits: int, keys: bool, own: bool) -> pa.RecordBatch:
-    """A message to each fragment with n-grams of the block, and a row of kind 0 for the block itself."""
+def steps(docs: np.ndarray) -> bytes:
+    """Ascending numbers as a byte each: the step from the one before; 255 is a step that no number follows."""
+    apart = np.diff(docs.astype(np.int64), prepend=0)
+    far = apart // 255
+    out = np.full(len(docs) + int(far.sum()), 255, np.uint8)
+    out[np.cumsum(far + 1) - 1] = apart % 255
+    return out.tobytes()
+
+
+def stepped(data: bytes) -> np.ndarray:
+    """The numbers that :func:`steps` has put."""
+    by = np.frombuffer(data, np.uint8)
+    return np.cumsum(by, dtype=np.int64)[by != 255]
+
+
+def _messages(block: str, ids: np.ndarray, sets: list[np.ndarray], bits: int, facts: bool) -> pa.RecordBatch:
+    """A message to each fragment with n-grams of the block, and a row of kind 0 for the block itself. With ``facts``
+    messages name the documents of their entries and the block row has hashes of its sets, else it has the sets."""
     grams, docs, _, order, cuts = _cut([s if i != _NO_ID else s[:0] for i, s in zip(ids.tolist(), sets, strict=True)], bits)
     short = ((grams >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")[order]
     docs = docs[order]
-    sums = np.zeros(0, np.uint64)
-    if keys:  # two independent hashes of the whole set
-        sums = np.array([[s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1)
+    if facts:  # two independent hashes of the whole set
+        grams = np.array([[s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1)
     sizes = np.array([len(s) for s in sets], "<u4")
-    rows = [(0, -1, block, None, None, None, ids.astype("<i8").tobytes(), sizes.tobytes(), (sums if keys else grams if own else sums).astype("<u8").tobytes())]
+    rows = [(0, crc32(block.encode()) % (1 << bits), block, None, None, ids.astype("<i8").tobytes(), sizes.tobytes(), grams.astype("<u8").tobytes())]
     for f in np.flatnonzero(np.diff(cuts)).tolist():
         a, b = int(cuts[f]), int(cuts[f + 1])
-        first = np.concatenate([[0], np.flatnonzero(np.diff(docs[a:b])) + 1])
-        rows.append((1, f, block, docs[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype("<u4").tobytes(), short[a:b].tobytes(), None, None, None))
+        rows.append((1, f, block, steps(docs[a:b]) if facts else None, short[a:b].tobytes(), None, None, None))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
 
-def blocks_of(docs: DataFrame, bits: int, keys: bool, own: bool, k: int, limit: int = BLOCK_GRAMS) -> DataFrame:
-    """Messages (kind 1) and block rows (kind 0) of ``docs`` (doc_id, text); block rows carry set hashes or whole sets."""
+def blocks_of(docs: DataFrame, bits: int, facts: bool, k: int, limit: int = BLOCK_GRAMS) -> DataFrame:
+    """Messages (kind 1) and block rows (kind 0) of ``docs`` (doc_id, text), as :func:`_messages` makes them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
@@ -96,39 +111,39 @@ def blocks_of(docs: DataFrame, bits: int, keys: bool, own: bool, k: int, limit:
                 sets += found
                 held += sum(map(len, found))
                 if held >= limit:
-                    yield _messages(f"{part}-{serial}", np.concatenate(ids), sets, bits, keys, own)
+                    yield _messages(f"{part}-{serial}", np.concatenate(ids), sets, bits, facts)
                     serial, ids, sets, held = serial + 1, [], [], 0
         if ids:
-            yield _messages(f"{part}-{serial}", np.concatenate(ids), sets, bits, keys, own)
+            yield _messages(f"{part}-{serial}", np.concatenate(ids), sets, bits, facts)
 
     return docs.mapInArrow(emit, _MESSAGE)
 
 
-def _counted(table: pa.Table) -> tuple[list[tuple[dict, np.ndarray]], np.ndarray]:
-    """The messages of a fragment with the entries of each, and in how many documents each entry occurs (255 at most)."""
-    rows = table.select(["block", "docs", "counts", "entries"]).to_pylist()
-    entries = [np.frombuffer(r["entries"], "<u4") for r in rows]
+def _counted(entries: list[np.ndarray]) -> np.ndarray:
+    """In how many documents each of the entries of a fragment's messages occurs (255 at most), one after another."""
     joined = np.concatenate(entries)
     ordered = np.sort(joined)
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     at = np.flatnonzero(first)
     many = np.minimum(np.diff(np.append(at, len(ordered))), 255).astype(np.uint8)
-    return list(zip(rows, entries, strict=True)), many[np.searchsorted(ordered[at], joined)]
+    return many[np.searchsorted(ordered[at], joined)]
+
+
+_ANSWER = "kind int, block string, docs binary, ids binary, sizes binary, grams binary"
 
 
 def _unshared(table: pa.Table) -> pa.Table:
-    """For each block that has sent a message, its documents with n-grams that no other has, and how many."""
-    (rows, many), at, out = _counted(table), 0, []
-    for row, entries in rows:
-        alone = many[at : at + len(entries)] == 1
-        at += len(entries)
-        counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
-        per_doc = np.add.reduceat(alone.astype(np.int64), np.cumsum(counts) - counts)
-        some = per_doc > 0
-        out.append((row["block"], np.frombuffer(row["docs"], "<u4")[some].tobytes(), per_doc[some].astype("<u4").tobytes()))
-    names, docs, counts = zip(*out, strict=True)
-    n = len(out)
-    return pa.table({"kind": pa.array([1] * n, pa.int32()), "block": pa.array(names, pa.string()), "docs": pa.array(docs, pa.binary()), "counts": pa.array(counts, pa.binary()), **{c: pa.nulls(n, pa.binary()) for c in ("ids", "sizes", "grams")}})
+    """For each block that has sent a message, the documents of n-grams that no other has; block rows as they are."""
+    rows = table.to_pylist()
+    sent = [r for r in rows if r["kind"] == 1]
+    out = [{k: r[k] for k in ("kind", "block", "docs", "ids", "sizes", "grams")} for r in rows if r["kind"] == 0]
+    if sent:
+        entries, at = [np.frombuffer(r["entries"], "<u4") for r in sent], 0
+        many = _counted(entries)
+        for r, e in zip(sent, entries, strict=True):
+            out.append({"kind": 1, "block": r["block"], "docs": steps(stepped(r["docs"])[many[at : at + len(e)] == 1]), "ids": None, "sizes": None, "grams": None})
+            at += len(e)
+    return pa.Table.from_pylist(out, pa.schema([("kind", pa.int32()), ("block", pa.string())] + [(n, pa.binary()) for n in ("docs", "ids", "sizes", "grams")]))
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -140,18 +155,14 @@ def _summed(table: pa.Table) -> pa.Table:
     alone = np.zeros(len(ids), np.int64)
     for r in rows:
         if r["kind"] == 1:
-            alone[np.frombuffer(r["docs"], "<u4")] += np.frombuffer(r["counts"], "<u4")
+            alone += np.bincount(stepped(r["docs"]), minlength=len(ids))
     return pa.table({"doc_id": pa.array(ids, mask=ids == _NO_ID), "n": sizes, "k1": keys[:, 0], "k2": keys[:, 1], "alone": alone})
 
 
 def shared_counts(docs: DataFrame, bits: int, k: int) -> DataFrame:
     """doc_id, n (distinct n-grams), k1, k2 (hashes of the set) and alone (n-grams of no other row) of each document."""
-    sent = blocks_of(docs, bits, True, False, k)
-    sent = staged(sent, "messages")
-    kind = "kind int, block string, docs binary, counts binary, ids binary, sizes binary, grams binary"
-    answers = sent.where("kind = 1").select("frag", "block", "docs", "counts", "entries").groupBy("frag").applyInArrow(_unshared, kind)
-    own = sent.where("kind = 0").select("kind", "block", "docs", "counts", "ids", "sizes", "grams")
-    return own.unionByName(answers).groupBy("block").applyInArrow(_summed, "doc_id long, n long, k1 long, k2 long, alone long")
+    answers = blocks_of(docs, bits, True, k).groupBy("frag").applyInArrow(_unshared, _ANSWER)
+    return answers.groupBy("block").applyInArrow(_summed, "doc_id long, n long, k1 long, k2 long, alone long")
 
 
 def rare_postings(sets: DataFrame, bits: int) -> DataFrame:
@@ -160,10 +171,11 @@ def rare_postings(sets: DataFrame, bits: int) -> DataFrame:
     have; central: in how many documents they occur, on average."""
 
     def counts(table: pa.Table) -> pa.Table:
-        (rows, many), at, out = _counted(table), 0, []
-        for row, entries in rows:
-            out.append((row["block"], many[at : at + len(entries)].tobytes()))
-            at += len(entries)
+        entries, at, out = [np.frombuffer(e, "<u4") for e in table.column("entries").to_pylist()], 0, []
+        many = _counted(entries)
+        for block, e in zip(table.column("block").to_pylist(), entries, strict=True):
+            out.append((block, many[at : at + len(e)].tobytes()))
+            at += len(e)
         names, data = zip(*out, strict=True)
         n = len(out)
         return pa.table({"kind": pa.array([1] * n, pa.int32()), "frag": table.column("frag"), "block": pa.array(names, pa.string()), "entries": pa.array(data, pa.binary()), **{c: pa.nulls(n, pa.binary()) for c in ("ids", "sizes", "grams")}})
@@ -191,7 +203,7 @@ def rare_postings(sets: DataFrame, bits: int) -> DataFrame:
         return pa.table({"gram": np.concatenate([x[0] for x in out]).view(np.int64), "doc_id": each(1, np.int64), "n": each(2, np.int64), "pos": np.concatenate([x[3] for x in out]).astype(np.int64), "shared": each(4, np.int64), "central": each(5, np.float64)})
 
     kind = "kind int, frag int, block string, entries binary, ids binary, sizes binary, grams binary"
-    answers = sets.where("kind = 1").select("frag", "block", "docs", "counts", "entries").groupBy("frag").applyInArrow(counts, kind)
+    answers = sets.where("kind = 1").select("frag", "block", "entries").groupBy("frag").applyInArrow(counts, kind)
     own = sets.where("kind = 0").select("kind", "frag", "block", "entries", "ids", "sizes", "grams")
     return own.unionByName(answers).groupBy("block").applyInArrow(pick, "gram long, doc_id long, n long, pos long, shared long, central double")
 
@@ -294,7 +306,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     bits = bits_of(classes.agg(F.sum("n")).first()[0] or 0)
     reps = classes.select(F.col("rep").alias("doc_id"))
     kept = narrowed(docs, reps, "doc_id").join(reps, "doc_id", "left_semi")
-    sets = staged(blocks_of(kept, bits, False, True, k, 200_000), "sets")
+    sets = staged(blocks_of(kept, bits, False, k, 200_000), "sets")
     postings = staged(rare_postings(sets, bits), "postings")
     held = postings.select("doc_id").distinct()
     cut = staged(segments(sets).join(held, "doc_id", "left_semi"), "segments")
