@@ -95,30 +95,36 @@ def normal_series(series: Column, aliases: dict[str, str] | None = None) -> Colu
     return F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[s], s)
 
 
+def _levels(lo: Column, hi: Column) -> Column:
+    """Both bounds, the smaller first, where both lie in 1 to 30."""
+    return F.when(lo.between(1, 30) & hi.between(1, 30), F.struct(F.least(lo, hi).alias("min_level"), F.greatest(lo, hi).alias("max_level")))
+
+
 def level_range(description: Column) -> Column:
     """A struct of min_level and max_level from prose: ordinal words, ``3rd-5th level``, ``levels 3-5``, ``level 3``, tier.
 
-    The first pattern that matches decides; bounds out of 1 to 30 give nulls.
+    Of ordinal words the one that comes first in their own order decides, as a range where another follows it before
+    ``level``, else alone; then numbers, then tiers. Bounds out of 1 to 30 give nulls.
     """
     d = F.lower(description)
-    span = lambda lo, hi: F.when(lo.between(1, 30) & hi.between(1, 30), F.struct(F.least(lo, hi).alias("min_level"), F.greatest(lo, hi).alias("max_level")))
-    none = F.struct(F.lit(None).cast("int").alias("min_level"), F.lit(None).cast("int").alias("max_level"))
-    rules: list[tuple[Column, Column]] = []
-    # the earliest ordinal of the list that begins a range, or stands alone, is taken first
-    for i, w in enumerate(ORDINALS):
-        for x in ORDINALS:
-            if x != w:
-                rules.append((d.rlike(rf"\b{w}[-\s]*(to[-\s]*)?{x}[-\s]*level"), span(F.lit(i + 1), F.lit(ORDINALS.index(x) + 1))))
-        rules.append((d.rlike(rf"\b{w}[-\s]level"), span(F.lit(i + 1), F.lit(i + 1))))
+    ordinal = "|".join(ORDINALS)
+    place = F.create_map(*[F.lit(x) for i, w in enumerate(ORDINALS) for x in (w, i + 1)])
+    # every mention as a struct, sorted by its first word; a range before a single level of the same word
+    starts = F.regexp_extract_all(d, F.lit(rf"\b({ordinal})(?=[-\s]*(?:to[-\s]*)?(?:{ordinal})[-\s]*level)"), 1)
+    stops = F.regexp_extract_all(d, F.lit(rf"\b(?:{ordinal})(?=[-\s]*(?:to[-\s]*)?({ordinal})[-\s]*level)"), 1)
+    pairs = F.filter(F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda x: F.struct(place[x["a"]].alias("lo"), F.lit(0).alias("alone"), place[x["b"]].alias("hi"))), lambda x: x["lo"] != x["hi"])
+    alone = F.transform(F.regexp_extract_all(d, F.lit(rf"\b({ordinal})[-\s]level"), 1), lambda w: F.struct(place[w].alias("lo"), F.lit(1).alias("alone"), place[w].alias("hi")))
+    first = F.array_min(F.concat(pairs, alone))
     number = lambda p, g: extract(d, p, g).try_cast("int")
-    for p, last in ((r"(\d+)(?:st|nd|rd|th)?\s*[-–]\s*(\d+)(?:st|nd|rd|th)?\s+level", False), (r"levels?\s+(\d+)(?:\s*[-–]\s*(\d+))?", True), (r"\blevel\s+(\d+)(?:\s*[-–]\s*(\d+))?", True)):
-        lo, hi = number(p, 1), number(p, 2)
-        rules.append((d.rlike(p), span(lo, F.coalesce(hi, lo) if last else hi)))
+    suffix, dash = "(?:st|nd|rd|th)?", r"\s*[-–]\s*"
+    forms = [rf"(\d+){suffix}{dash}(\d+){suffix}\s+level", rf"levels?\s+(\d+)(?:{dash}(\d+))?"]
+    found = F.when(first.isNotNull(), _levels(first["lo"], first["hi"]))
+    for p in forms:
+        found = found.when(d.rlike(p), _levels(number(p, 1), F.coalesce(number(p, 2), number(p, 1))))
     tier = extract(d, r"\btier\s+([1-4])\b").cast("int")
-    for t, (lo, hi) in TIERS.items():
-        rules.append((tier == t, span(F.lit(lo), F.lit(hi))))
-    (test, value), *rest = rules
-    return F.coalesce(reduce(lambda c, x: c.when(*x), rest, F.when(test, value)), none)
+    bounds = F.array(*[F.struct(F.lit(lo).alias("min_level"), F.lit(hi).alias("max_level")) for lo, hi in TIERS.values()])
+    found = found.when(tier.isNotNull(), F.try_element_at(bounds, tier))
+    return F.coalesce(found, F.struct(F.lit(None).cast("int").alias("min_level"), F.lit(None).cast("int").alias("max_level")))
 
 
 def keywords(question: Column, most: int = 12) -> Column:
@@ -163,6 +169,61 @@ def token_overlap(a: Column, b: Column, stopwords: list[str]) -> Column:
     return F.when(either > 0, F.size(F.array_intersect(words(a), words(b))) / most).otherwise(F.lit(0.0))
 
 
+def number_cell(cell: Column) -> Column:
+    """A whole number, null for anything else."""
+    return strip(cell.cast("string")).try_cast("int")
+
+
+def right_of_slash(cell: Column) -> Column:
+    """The number right of the first slash of a cell such as ``15 / 18``, or the number it is without one."""
+    s = cell.cast("string")
+    at = F.instr(s, "/")
+    return number_cell(F.when(at > 0, F.substring(s, at + 1, F.length(s))).otherwise(s))
+
+
+def compressed(label: Column) -> Column:
+    """Lower case without spaces, underscores and hyphens; null for an empty label."""
+    return F.nullif(F.regexp_replace(F.lower(strip(label.cast("string"))), r"[ _-]", ""), F.lit(""))
+
+
+def canonical_label(label: Column, aliases: dict[str, str]) -> Column:
+    """The name that ``aliases`` (compressed label to name) gives, null for labels that it hasn't."""
+    return F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[compressed(label)]
+
+
+def display_name(key: Column, names: dict[str, str]) -> Column:
+    """The name shown for a key, the key itself where none is given, empty for null."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[key], key, F.lit(""))
+
+
+def season(name: Column) -> Column:
+    """The season number in a file's name: two digits after one product code (4 to 11), else one or two after an older one
+    (1 to 3); null without either."""
+    late = extract(name, r"(?i)ddal[\s_-]*(\d{2})").try_cast("int")
+    early = extract(name, r"(?i)ddex[\s_-]*0?(\d)").try_cast("int")
+    return F.coalesce(F.when(late.between(4, 11), late), F.when(early.between(1, 3), early))
+
+
+def wikilink(text: Column) -> Column:
+    """A link to the page of that name, by the name that the file has."""
+    return F.concat(F.lit("[["), safe_name(text), F.lit("]]"))
+
+
+def document_id(url: Column) -> Column:
+    """The id of a document in an address: what follows ``/d/``, an ``id`` parameter, or the address itself if it is one."""
+    return F.coalesce(extract(url, r"/d/([A-Za-z0-9_-]{10,})"), extract(url, r"[?&]id=([A-Za-z0-9_-]{10,})"), extract(url, r"^([A-Za-z0-9_-]{10,})$"))
+
+
+def escaped_markdown(text: Column) -> Column:
+    """With backslashes before the characters that Markdown would read as marks."""
+    return F.regexp_replace(text, r"([\\`*_{}\[\]<>#|])", r"\\$1")
+
+
+def without_fence(text: Column) -> Column:
+    """The inside of a fenced code block; other texts as they are, white space at the ends dropped."""
+    return F.trim(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\n?|\n?```$", ""))
+
+
 def range_cell(cell: Column) -> Column:
     """A struct lo, hi of a cell such as ``01-30`` or ``45``; 0 is 100; dashes, n/a and blanks are null."""
     s = F.regexp_replace(strip(cell.cast("string")), "[–—]", "-")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from ..functions.text import extract
+from . import trees
 
 
 def stat_line(text: Column) -> Column:
@@ -33,20 +34,10 @@ def sniffed_table(text: Column) -> Column:
     return F.transform(rows, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))), 1, width))
 
 
-def named_ancestor(rows: DataFrame, name: Column, doc: str = "doc_id", order: str = "ord", depth: str = "depth", deepest: int = 8) -> DataFrame:
+def named_ancestor(rows: DataFrame, name: Column, doc: str = "doc_id", order: str = "ord", depth: str = "depth") -> DataFrame:
     """owner: the place of the nearest ancestor that has a name. Rows are in reading order; of each depth the last row
     before is an ancestor if no shallower one came after it."""
-    before = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.struct(F.col(order).alias("o"), name.isNotNull().alias("named"))
-    seen = {k: F.last(F.when(F.col(depth) == k, mark), ignorenulls=True).over(before) for k in range(deepest)}
-    rows = rows.withColumns({f"__at{k}": s for k, s in seen.items()})
-    at = lambda k: F.coalesce(F.col(f"__at{k}.o"), F.lit(-1))
-    owner = F.lit(None).cast("long")
-    for k in range(deepest):
-        chain = F.greatest(F.lit(-1).cast("long"), F.lit(-1).cast("long"), *[at(j) for j in range(k)])
-        ok = (F.col(depth) > k) & F.col(f"__at{k}.named") & (at(k) > chain)
-        owner = F.when(F.coalesce(ok, F.lit(False)), at(k)).otherwise(owner)
-    return rows.withColumn("owner", owner).drop(*[f"__at{k}" for k in range(deepest)])
+    return trees.nearest_named(rows.withColumn("__named", name.isNotNull()), doc, order, depth, "__named").drop("__named")
 
 
 def leaf_owners(nodes: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
@@ -60,13 +51,36 @@ def leaf_owners(nodes: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
 # edits of (doc_id, ord, parent, level); each gives the new table
 
 
-def delete_subtrees(nodes: DataFrame, gone: DataFrame, levels: int = 8) -> DataFrame:
-    """Without the nodes of ``gone`` (doc_id, ord) and all below them."""
-    left, cut = nodes, gone
-    for _ in range(levels):
-        left = left.join(cut, ["doc_id", "ord"], "left_anti")
-        cut = left.join(cut.withColumnRenamed("ord", "parent"), ["doc_id", "parent"], "left_semi").select("doc_id", "ord")
-    return left.join(cut, ["doc_id", "ord"], "left_anti")
+def delete_subtrees(nodes: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the nodes of ``gone`` (doc_id, ord) and all below them, however deep; a parent comes before its children."""
+    marked = nodes.join(gone.select("doc_id", "ord").distinct().withColumn("__gone", F.lit(True)), ["doc_id", "ord"], "left")
+    return trees.inherited(marked, "doc_id", "ord", "parent", "__gone", "__lost").where("not __lost").select(*nodes.columns)
+
+
+def move_under(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """``nodes`` after ``moves`` (doc_id, ord, to): the parent of each moved node is ``to`` and its level that of ``to`` and 1;
+    what is below it keeps its distance. A move below the own subtree, or to a node that isn't there, is left out."""
+    asked = nodes.join(moves.groupBy("doc_id", "ord").agg(F.min("to").alias("to")), ["doc_id", "ord"], "left")
+    places = nodes.select("doc_id", F.col("ord").alias("to"), F.col("level").alias("to_level"))
+    aimed = asked.join(places, ["doc_id", "to"], "left")
+
+    up = aimed.withColumn("aim", F.when(F.col("to_level").isNotNull(), F.col("to")))
+    # whether the target lies in the node's own subtree: rows are in reading order, so a subtree is a run of rows
+    ends = trees.next_as_shallow(up, "doc_id", "ord", "level", "ord", "__end")
+    inside = (F.col("aim") >= F.col("ord")) & (F.col("__end").isNull() | (F.col("aim") < F.col("__end")))
+    chosen = ends.withColumn("aim", F.when(~inside, F.col("aim"))).withColumn("__shift", F.when(F.col("aim").isNotNull(), F.col("to_level") + 1 - F.col("level")))
+
+    def shifts():
+        own: dict = {}
+
+        def step(at, parent, shift):
+            own[at] = shift if shift is not None else own.get(parent, 0)
+            return own[at]
+
+        return step
+
+    moved = trees.walk(chosen, "doc_id", "ord", ["parent", "__shift"], "__by", T.LongType(), shifts)
+    return moved.select("doc_id", "ord", F.coalesce("aim", "parent").alias("parent"), (F.col("level") + F.col("__by")).alias("level"))
 
 
 def dissolve(nodes: DataFrame, gone: DataFrame) -> DataFrame:
@@ -77,8 +91,11 @@ def dissolve(nodes: DataFrame, gone: DataFrame) -> DataFrame:
     return kept.select("doc_id", "ord", F.when(moved, F.col("above")).otherwise(F.col("parent")).alias("parent"), (F.col("level") - moved.cast("int")).alias("level"))
 
 
-def shift_levels(nodes: DataFrame, chosen: DataFrame, by: int, deepest: int = 6) -> DataFrame:
-    """Promotes (``by`` below 0) or demotes the nodes of ``chosen`` (doc_id, ord) within levels 1 to ``deepest``."""
+def shift_levels(nodes: DataFrame, chosen: DataFrame, by: int, deepest: int | None = None) -> DataFrame:
+    """Promotes (``by`` below 0) or demotes the nodes of ``chosen`` (doc_id, ord), not above level 1 and, where ``deepest``
+    is given, not below that; a node that lies deeper already stays there."""
     marked = nodes.join(chosen.withColumn("chosen", F.lit(True)), ["doc_id", "ord"], "left")
-    level = F.greatest(F.lit(1), F.least(F.lit(deepest), F.col("level") + by))
+    level = F.greatest(F.lit(1), F.col("level") + by)
+    if deepest is not None:
+        level = F.least(level, F.greatest(F.lit(deepest), F.col("level")))
     return marked.withColumn("level", F.when(F.col("chosen"), level).otherwise(F.col("level"))).drop("chosen")

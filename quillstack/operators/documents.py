@@ -11,27 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-LEVELS = 6
+from . import trees
 
 
 def _by(doc: str, order: str):
     return Window.partitionBy(doc).orderBy(order)
 
 
-def parents(headings: DataFrame, doc: str = "doc_id", order: str = "ord", level: str = "level", levels: int = LEVELS) -> DataFrame:
-    """parent: the nearest earlier heading that is shallower. A running maximum for each level, no self-join."""
-    before = _by(doc, order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = [F.max(F.when(F.col(level) == k, F.col(order))).over(before) for k in range(1, levels)]
-    best = F.coalesce(*[F.when(F.col(level) == k, F.greatest(F.lit(None).cast("long"), *[s.cast("long") for s in seen[: k - 1]])) for k in range(2, levels + 1)])
-    return headings.withColumn("parent", best)
+def parents(headings: DataFrame, doc: str = "doc_id", order: str = "ord", level: str = "level") -> DataFrame:
+    """parent: the nearest earlier heading that is shallower, whatever the levels are."""
+    return trees.nearest_shallower(headings, doc, order, level)
 
 
-def section_ends(headings: DataFrame, last: Column, doc: str = "doc_id", order: str = "ord", level: str = "level", page: str = "page", levels: int = LEVELS) -> DataFrame:
+def section_ends(headings: DataFrame, last: Column, doc: str = "doc_id", order: str = "ord", level: str = "level", page: str = "page") -> DataFrame:
     """end_page: the page before the next heading that is as shallow or shallower, not before the own page; else ``last``."""
-    after = _by(doc, order).rowsBetween(1, Window.unboundedFollowing)
-    nxt = [F.min(F.when(F.col(level) == k, F.struct(F.col(order).alias("o"), F.col(page).alias("p")))).over(after) for k in range(1, levels + 1)]
-    best = F.coalesce(*[F.when(F.col(level) == k, F.least(F.lit(None).cast("struct<o:bigint,p:bigint>"), *[n.cast("struct<o:bigint,p:bigint>") for n in nxt[:k]])) for k in range(1, levels + 1)])
-    return headings.withColumn("end_page", F.greatest(F.col(page), F.coalesce(best["p"] - 1, last)))
+    seen = trees.next_as_shallow(headings, doc, order, level, page, "next_page")
+    return seen.withColumn("end_page", F.greatest(F.col(page), F.coalesce(F.col("next_page") - 1, last))).drop("next_page")
 
 
 def fold_sections(rows: DataFrame, is_section: Column, doc: str = "doc_id", order: str = "ord") -> DataFrame:
@@ -53,6 +48,33 @@ def dedupe_toc(rows: DataFrame, doc: str = "doc_id", order: str = "ord", title:
     return once.withColumns({"many": F.count(F.lit(1)).over(on_page), "nth": F.row_number().over(on_page.orderBy(order))}).where((F.col("many") < crowd) | (F.col("nth") == 1)).drop("many", "nth")
 
 
+def without_references(rows: DataFrame, doc: str = "doc_id", order: str = "ord", title: str = "title") -> DataFrame:
+    """Without entries such as ``Name (12)`` that refer to an entry before: one of that name, with or without a number
+    (``3. Name``) before it or in parentheses after it."""
+    name = F.lower(F.trim(F.regexp_replace(F.regexp_replace(title, r"\s*\(\d+\)\s*$", ""), r"^\s*\d+[.:;)]\s*", "")))
+    own = Window.partitionBy(doc, "__name").orderBy(order)
+    named = rows.withColumn("__name", name).withColumn("__nth", F.row_number().over(own))
+    return named.where((F.col("__nth") == 1) | ~F.col(title).rlike(r"\(\d+\)\s*$")).drop("__name", "__nth")
+
+
+def found_titles(entries: DataFrame, heads: DataFrame, radii: tuple[int, ...] = (5, 15, 30, 60), shortest: int = 6) -> DataFrame:
+    """``entries`` (doc_id, ord, title, page) with ``actual``: the page near the claimed one whose head (doc_id, page, head)
+    holds the title; the smallest radius in which one does decides, then the earlier page; null where none does.
+
+    A title meets at most the pages within the largest radius: pages are joined by band, not with all of a document.
+    """
+    clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    width = 2 * max(radii) + 1
+    asked = entries.select("doc_id", "ord", "page", clean(F.col("title")).alias("t")).where(F.length("t") >= shortest)
+    band = F.explode(F.sequence(F.floor((F.col("page") - max(radii)) / width), F.floor((F.col("page") + max(radii)) / width)))
+    pages = heads.select("doc_id", F.col("page").alias("at"), clean(F.col("head")).alias("h")).withColumn("band", F.floor(F.col("at") / width))
+    off = F.abs(F.col("at") - F.col("page"))
+    ring = F.coalesce(*[F.when(off <= r, r) for r in radii])
+    hits = asked.withColumn("band", band).join(pages, ["doc_id", "band"]).where((off <= max(radii)) & F.col("h").contains(F.col("t")))
+    best = hits.groupBy("doc_id", "ord").agg(F.min(F.struct(ring.alias("ring"), "at")).alias("b")).select("doc_id", "ord", F.col("b.at").alias("actual"))
+    return entries.join(best, ["doc_id", "ord"], "left")
+
+
 def nearest_offset(rows: DataFrame, offset: Column, doc: str = "doc_id", order: str = "ord", place: str = "page") -> DataFrame:
     """used_offset: the own offset, or that of the entry nearest by place that has one (ties: the one before)."""
     known = F.when(offset.isNotNull(), F.struct(F.col(place).alias("p"), offset.alias("o")))
@@ -98,13 +120,14 @@ def greedy_pairs(scores: DataFrame, doc: str = "doc_id", left: str = "left_ord",
     """One-to-one: each left entry, in order, takes the unused right entry that scores best (ties: the earlier)."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        keep = []
-        for i, row in pdf.sort_values([left, score, right], ascending=[True, False, True]).iterrows():
-            if row[left] not in {pdf.at[k, left] for k in keep} and row[right] not in used:
-                used.add(row[right])
+        used, done, keep = set(), set(), []
+        ordered = pdf.sort_values([left, score, right], ascending=[True, False, True])
+        for i, (a, b) in enumerate(zip(ordered[left].tolist(), ordered[right].tolist(), strict=True)):
+            if a not in done and b not in used:
+                done.add(a)
+                used.add(b)
                 keep.append(i)
-        return pdf.loc[keep]
+        return ordered.iloc[keep]
 
     return scores.where(F.col(score) >= least).groupBy(doc).applyInPandas(pick, scores.schema)
 

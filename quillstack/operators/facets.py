@@ -42,6 +42,24 @@ def library_stats(books: DataFrame) -> DataFrame:
     )
 
 
+def stats_by(books: DataFrame, columns: tuple[str, ...] = ("source", "product_type")) -> DataFrame:
+    """dim, value and n of the current rows by each of the columns, rows without a value left out."""
+    return facets(books.where(current()), columns).where(F.col("dim") != "tag")
+
+
+def vocabulary_counts(books: DataFrame, words: DataFrame) -> DataFrame:
+    """The ``words`` (tag) that visible books have, and how many have them."""
+    live = books.where(visible()).select("id", F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("tag").distinct().join(live, "tag")
+
+
+def tag_systems(books: DataFrame, most: int = 5, column: str = "game_system") -> DataFrame:
+    """For each tag the systems with most visible rows that have it: tag, topic, n, place."""
+    rows = books.where(visible() & F.col(column).isNotNull()).select(F.col(column).alias("topic"), F.explode(F.array_distinct("tags")).alias("tag"))
+    counts = rows.groupBy("tag", "topic").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("n"), "topic"))).where(F.col("place") <= most)
+
+
 def topic_stats(books: DataFrame, topic: str, name: str, most: int = 10, tags: int = 15) -> DataFrame:
     """The breakdown of a topic's visible rows; its own dimension is left out; dim ``total`` and ``enriched`` have counts."""
     test = F.array_contains("tags", name) if topic == "tag" else F.col(topic) == name

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,21 +23,45 @@ def matching(index: DataFrame, terms: list[str]) -> DataFrame:
     return index.where(F.col("term").isin(wanted)).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("doc")
 
 
-def bm25(index: DataFrame, terms: list[str], most: int | None = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """doc and score of the documents that have all terms, best first; ties by doc."""
+def bm25(index: DataFrame, terms: list[str], most: int | None = 30, k1: float = 1.2, b: float = 0.75, within: DataFrame | None = None) -> DataFrame:
+    """doc and score of the documents that have all terms, best first; ties by doc. ``within`` (doc): only those are ranked;
+    the statistics stay those of all documents.
+
+    One pass over the index gives each document's length and its counts of the terms; the rest works on that.
+    """
     wanted = sorted(set(terms))
-    dl = lengths(index)
-    facts = dl.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"))
-    hits = index.where(F.col("term").isin(wanted))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    all_terms = matching(index, wanted)
-    rows = hits.join(all_terms, "doc", "left_semi").join(F.broadcast(df), "term").join(dl, "doc").crossJoin(F.broadcast(facts))  # one row of facts
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    scored = rows.groupBy("doc").agg(F.sum(part).alias("score"))
+    tf = [F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(wanted)]
+    docs = index.groupBy("doc").agg(F.sum("tf").alias("dl"), *tf)
+    facts = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"), *[F.count(f"tf{i}").alias(f"df{i}") for i in range(len(wanted))])
+    have = F.lit(True)
+    for i in range(len(wanted)):
+        have &= F.col(f"tf{i}").isNotNull()
+    rows = docs.where(have)
+    if within is not None:
+        rows = rows.join(within.select("doc"), "doc", "left_semi")
+    rows = rows.crossJoin(F.broadcast(facts))  # one row of facts
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        n = F.col(f"tf{i}")
+        idf = F.log((F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
+        score += idf * n * (k1 + 1) / (n + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
+    scored = rows.select("doc", score.alias("score"))
     return scored if most is None else scored.orderBy(F.desc("score"), "doc").limit(most)
 
 
+def search_text(books: DataFrame, index: DataFrame, terms: list[str], test: Column, most: int = 30, key: str = "id") -> DataFrame:
+    """``books`` that have all terms and pass ``test`` (structured filters), the ``most`` best by BM25, with their score."""
+    found = books.where(test)
+    ranked = bm25(index, terms, most, within=found.select(F.col(key).alias("doc")))
+    return found.join(ranked, found[key] == ranked["doc"]).drop("doc")
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Keeps an index as a table, so that searches don't build it again: rows of a term lie together and files know their
+    first and last term."""
+    index.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(path)
+
+
 def like_fallback(docs: DataFrame, words: str, columns: list[str]) -> DataFrame:
     test = F.lit(False)
     for c in columns:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import container, near_name
+from . import trees
 
 
 def under(path, prefix: str):
@@ -23,29 +24,32 @@ def without(rows: DataFrame, path: str, excluded: list[str]) -> DataFrame:
     return rows.where(~test)
 
 
-def folder_paths(nodes: DataFrame, most: int = 50) -> DataFrame:
-    """id and path of each of ``nodes`` (id, name, parent): names from the root down; a missing parent is the root.
-
-    The paths of a level come from those of the level above, a join a level, ``most`` levels at most.
-    """
-    spark = nodes.sparkSession
-    view = "folder_nodes"
-    nodes.select("id", "name", "parent").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE paths(id, path, depth) MAX RECURSION LEVEL {most} AS (
-            SELECT n.id, n.name, 1 FROM {view} n LEFT ANTI JOIN {view} p ON n.parent = p.id
-            UNION ALL
-            SELECT n.id, concat(paths.path, '/', n.name), depth + 1 FROM paths JOIN {view} n ON n.parent = paths.id
-        ) SELECT id, path, depth FROM paths""")
+def folder_paths(nodes: DataFrame) -> DataFrame:
+    """id, path and depth of each of ``nodes`` (id, name, parent): names from the root down; a missing parent is the root."""
+    return trees.root_paths(nodes)
 
 
 def roll_up(files: DataFrame, depth: int = 2) -> DataFrame:
-    """bucket, files, bytes and deepest of each folder down to ``depth``, with a TOTAL row, of ``files`` (path, size)."""
+    """bucket, files, folders, bytes and deepest of each folder down to ``depth``, with a TOTAL row, of ``files`` (path,
+    size). folders: how many different folders hold the files, each counted by its whole path."""
     bucket, _ = container(F.col("path"), depth)
-    level = F.size(F.filter(F.split("path", "/"), lambda p: p != ""))
-    rows = files.select(bucket, F.col("size"), level.alias("level"))
-    out = rows.rollup("bucket").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("level").alias("deepest"), F.grouping_id().alias("gid"))
-    return out.select(F.when(F.col("gid") == 1, "TOTAL").otherwise(F.col("bucket")).alias("bucket"), "files", "bytes", "deepest")
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    rows = files.select(bucket, F.col("size"), F.size(parts).alias("level"), F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/").alias("folder"))
+    # a row a folder first, so that the files of a large folder are summed where they are
+    folders = rows.groupBy("bucket", "folder").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max("level").alias("level"))
+    out = folders.rollup("bucket").agg(F.sum("n").alias("files"), F.count(F.lit(1)).alias("folders"), F.sum("bytes").alias("bytes"), F.max("level").alias("deepest"), F.grouping_id().alias("gid"))
+    return out.select(F.when(F.col("gid") == 1, "TOTAL").otherwise(F.col("bucket")).alias("bucket"), "files", "folders", "bytes", "deepest")
+
+
+def without_tops(files: DataFrame, excluded: list[str], path: str = "path") -> DataFrame:
+    """skipped (bool) of each row: whether its first folder is one of those excluded, whatever the case."""
+    top = F.lower(F.try_element_at(F.filter(F.split(path, "/"), lambda p: p != ""), F.lit(1)))
+    return files.withColumn("skipped", F.coalesce(top.isin([x.lower() for x in excluded]), F.lit(False)))
+
+
+def already_there(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Files of ``ours`` (path, name, size) that stand at the same path of ``theirs`` with the same name and size."""
+    return ours.join(theirs.select("path", "name", "size").distinct(), ["path", "name", "size"], "left_semi")
 
 
 def near_name_groups(files: DataFrame, least: int = 2) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import extract, strip
+from . import trees
 
-#: A keyed room is a letter and number, letters and a number apart, or a single letter.
+#: A keyed room is a letter and number, letters and a number apart, or a single letter; leaders of printed
+#: tables of contents are dots, ellipses or dots apart.
 ROOM_PATTERNS = (r"^([A-Z]\d+)(?:[.\-)\s]|$)", r"^([A-Z]+\s+\d+)(?:[.\-)\s]|$)", r"^([A-Z])(?:[.\-)\s]|$)")
 LEADER = r"(?:\.{3,}|[…]{2,}|(?:\s\.){3,})"
 TOC_PATTERNS = (rf"^\s*(.+?){LEADER}\s*(\d{{1,4}})\s*$", r"^\s*(.+?\S)\s{3,}(\d{1,4})\s*$", r"^\s*(\d+[.:;]\s+\S.*?\S)\s+(\d{1,4})\s*$")
@@ -90,20 +92,15 @@ def build_toc(nodes: DataFrame) -> DataFrame:
     return both.groupBy("doc_id", "at", "chapter").agg(F.transform(F.array_sort(F.collect_list(header)), lambda h: h["name"]).alias("headers"))
 
 
-def split_oversized(nodes: DataFrame, limit: int, levels: int = 8) -> DataFrame:
+def split_oversized(nodes: DataFrame, limit: int) -> DataFrame:
     """From nodes (doc_id, ord, parent, size, own): the chunks of each document, as ord and is_stub.
 
     A node within ``limit``, or without children, is a chunk; a larger one gives its own text (if any) as a stub and
-    leaves the rest to its children.
+    leaves the rest to its children, however deep. A parent comes before its children.
     """
     parents = nodes.where("parent is not null").select("doc_id", F.col("parent").alias("ord")).distinct().withColumn("inner", F.lit(True))
     known = nodes.join(parents, ["doc_id", "ord"], "left").withColumn("open", (F.col("size") > limit) & F.coalesce("inner", F.lit(False)))
-    reached = known.where("parent is null")
-    out = reached
-    for _ in range(levels):
-        opened = reached.where("open").select("doc_id", F.col("ord").alias("parent"))
-        reached = known.join(opened, ["doc_id", "parent"], "left_semi").select(*known.columns)
-        out = out.unionByName(reached)
+    out = trees.reached(known, "doc_id", "ord", "parent", "open").where("reached")
     return out.where("not open or own > 0").select("doc_id", "ord", F.col("open").alias("is_stub"))
 
 

@@ -28,10 +28,20 @@ def coverage(prints: DataFrame) -> DataFrame:
     return prints.groupBy("method").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("fingerprint")).alias("collisions"))
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The last row of each key."""
-    own = Window.partitionBy(*keys).orderBy(*[F.desc(o) if isinstance(o, str) else o for o in order])
-    return rows.withColumn("nth", F.row_number().over(own)).where("nth = 1").drop("nth")
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key; a null key is a key. Each task keeps its last rows before they are dealt out by key."""
+    return _one_of(rows, keys, order, F.max_by)
+
+
+def earliest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key, as :func:`latest` finds the last."""
+    return _one_of(rows, keys, order, F.min_by)
+
+
+def _one_of(rows: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(pick(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*order)).alias("__one"))
+    return one.select(*keys, "__one.*").select(*rows.columns)
 
 
 def restore(prints: DataFrame, saved: DataFrame, enriched: DataFrame) -> DataFrame:
@@ -92,3 +102,39 @@ def fuzzy_enum(value: Column, allowed: list[str]) -> Column:
     exact = F.coalesce(*[F.when(low == a.lower(), a) for a in allowed])
     part = F.coalesce(*[F.when((low != "") & (low.contains(a.lower()) | F.lit(a.lower()).contains(low)), a) for a in allowed])
     return F.coalesce(exact, part)
+
+
+def validated(rows: DataFrame, kinds: list[str], fallback: str = "sourcebook", leveled: str = "adventure", doubtful: DataFrame | None = None) -> DataFrame:
+    """Records (id, game_system, product_type, tags, description, min_level, max_level) made valid.
+
+    Rows without one of the first five are left out. The type is one of ``kinds``: the one given, the first in order that
+    the lower-cased type holds, or ``fallback``. Null tags become the type. Levels stay for the type ``leveled`` alone, each
+    within 1 to 30; the upper one defaults to the lower. Rows of ``doubtful`` (id) get the tag low_confidence.
+    """
+    given = F.replace(F.lower("product_type"), F.lit(" "), F.lit("_"))
+    kind = F.coalesce(*[F.when(F.col("product_type") == k, F.lit(k)) for k in kinds], *[F.when(given.contains(k), F.lit(k)) for k in kinds], F.lit(fallback))
+    whole = rows.where("id is not null and game_system is not null and product_type is not null and description is not null").withColumn("product_type", kind)
+    tags = F.coalesce("tags", F.array("product_type"))
+    if doubtful is not None:
+        whole = whole.join(doubtful.select("id").distinct().withColumn("__doubt", F.lit(True)), "id", "left")
+        tags = F.when(F.col("__doubt"), F.array_union(tags, F.array(F.lit("low_confidence")))).otherwise(tags)
+    lo, hi = F.col("min_level").try_cast("int"), F.coalesce("max_level", "min_level").try_cast("int")
+    bound = lambda x: F.when((F.col("product_type") == leveled) & lo.isNotNull() & hi.isNotNull() & x.between(1, 30), x)
+    return whole.withColumn("tags", tags).withColumns({"min_level": bound(lo), "max_level": bound(hi)}).select(*rows.columns)
+
+
+def error_kinds(rows: DataFrame, message: str, markers: list[str]) -> DataFrame:
+    """``known``: whether the message holds one of the markers; the two halves of a list of errors."""
+    hit = F.lit(False)
+    for m in markers:
+        hit |= F.coalesce(F.col(message).contains(m), F.lit(False))
+    return rows.withColumn("known", hit)
+
+
+def numbers_added(state: DataFrame, new: DataFrame, key: str = "name", column: str = "numbers") -> DataFrame:
+    """key and column of the rows of ``state`` (sorted lists of numbers) that ``new`` (key, number) changes or adds: the
+    sorted union of both. Rows that stay as they are aren't written again."""
+    more = new.groupBy(key).agg(F.collect_set("number").alias("__more"))
+    both = more.join(state.select(key, F.col(column).alias("__old")), key, "left")
+    union = F.array_sort(F.array_union(F.coalesce("__old", F.array().cast(state.schema[column].dataType)), "__more"))
+    return both.select(key, "__old", union.alias(column)).where(F.col("__old").isNull() | (F.col("__old") != F.col(column))).drop("__old")

@@ -87,13 +87,16 @@ def search(books: DataFrame, spec: SearchSpec) -> DataFrame:
 
 
 def search_grouped(books: DataFrame, spec: SearchSpec) -> DataFrame:
-    """A page of groups of variants: the first row of each group in order, variant_count and variant_ids in order."""
+    """A page of groups of variants: the first row of each group in order, variant_count and variant_ids in order.
+
+    Heads and counts are found for all groups, the ids of variants are gathered for those of the page alone.
+    """
     keyed = books.where(predicate(spec)).withColumn("group_key", group_key(F.col("publisher"), F.col("collection"), F.col("id")))
     own = Window.partitionBy("group_key").orderBy(*order_of(spec))
     ranked = keyed.withColumn("place", F.row_number().over(own))
-    groups = ranked.groupBy("group_key").agg(F.count(F.lit(1)).alias("variant_count"), F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("variant_ids"))
-    heads = ranked.where("place = 1").drop("place").join(groups, "group_key")
-    return heads.orderBy(*order_of(spec)).offset((spec.page - 1) * spec.per_page).limit(spec.per_page)
+    page = ranked.where("place = 1").drop("place").orderBy(*order_of(spec)).offset((spec.page - 1) * spec.per_page).limit(spec.per_page)
+    groups = ranked.join(page.select("group_key"), "group_key", "left_semi").groupBy("group_key").agg(F.count(F.lit(1)).alias("variant_count"), F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("variant_ids"))
+    return page.join(groups, "group_key").orderBy(*order_of(spec))
 
 
 def page_count(books: DataFrame, spec: SearchSpec) -> DataFrame:
@@ -111,10 +114,27 @@ def only_favorites(books: DataFrame, favorites: DataFrame) -> DataFrame:
     return books.join(favorites.select(F.col("book_id").alias("id")), "id", "left_semi")
 
 
-def by_ids(books: DataFrame, ids: list[int]) -> DataFrame:
+def by_ids(books: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
+    """Books of a list of ids, or of a table of them (id)."""
+    if isinstance(ids, DataFrame):
+        return books.join(ids.select("id"), "id", "left_semi")
     return books.where(F.col("id").isin(ids))
 
 
+def summaries(books: DataFrame, longest: int = 300) -> DataFrame:
+    """The compact form of catalog rows: title (else the file name), tags decoded, description cut and empty as null, flags
+    as booleans. Columns that the catalog hasn't are null."""
+    have = set(books.columns)
+    col = lambda c: F.col(c) if c in have else F.lit(None)
+    tags = books.schema["tags"].dataType.simpleString() if "tags" in have else "void"
+    decoded = F.from_json("tags", "array<string>") if tags == "string" else col("tags").cast("array<string>")
+    text = F.nullif(F.substring(F.coalesce(col("description").cast("string"), F.lit("")), 1, longest), F.lit(""))
+    plain = [col(c).alias(c) for c in ("publisher", "game_system", "product_type", "series", "page_count")]
+    flags = [F.coalesce(col(c).cast("boolean"), F.lit(False)).alias(c) for c in ("has_bookmarks", "is_favorite")]
+    title = F.coalesce(F.nullif(col("display_title").cast("string"), F.lit("")), col("filename").cast("string"))
+    return books.select("id", title.alias("title"), *plain, F.coalesce(decoded, F.array().cast("array<string>")).alias("tags"), text.alias("description"), *[col(c).alias(c) for c in ("min_level", "max_level")], *flags)
+
+
 def tier_labels(books: DataFrame) -> DataFrame:
     """A row for each tier that the levels of a book overlap."""
     tiers = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for t, (lo, hi) in TIERS.items()])
@@ -140,14 +160,42 @@ def delete(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(gone, keys, "left_anti")
 
 
-def work_queue(books: DataFrame, publisher: str = "", force: bool = False) -> DataFrame:
-    """Visible rows that haven't been enriched, or all with ``force``."""
+def work_queue(books: DataFrame, publisher: str = "", force: bool = False, bookmarks: DataFrame | None = None, most: int | None = None, marks: int = 50) -> DataFrame:
+    """Visible rows that haven't been enriched, or all with ``force``; the first ``most`` by publisher, collection and title,
+    where that is given; with the first ``marks`` of their bookmarks (book_id, ord, level, title), where those are given."""
     test = visible()
     if not force:
         test &= F.col("date_enriched").isNull()
     if publisher:
         test &= F.col("publisher") == publisher
-    return books.where(test)
+    found = books.where(test)
+    if most is not None:
+        found = found.orderBy("publisher", "collection", "display_title", "id").limit(most)
+    if bookmarks is None:
+        return found
+    first = F.row_number().over(Window.partitionBy("book_id").orderBy("ord", "level", "title"))
+    own = bookmarks.withColumn("nth", first).where(F.col("nth") <= marks).groupBy(F.col("book_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("nth", "level", "title"))).alias("bookmarks"))
+    return found.join(own, "id", "left")
+
+
+def insert_with_children(parents: DataFrame, children: DataFrame, errors: DataFrame, new: DataFrame, new_children: DataFrame, key: str = "path") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables after ``new`` rows and their children came in: what stood at their ``key`` is replaced, and the errors
+    noted there are cleared."""
+    same = new.select(key).distinct()
+    renewed = lambda old, more: old.join(same, key, "left_anti").unionByName(more, allowMissingColumns=True)
+    return renewed(parents, new), renewed(children, new_children), errors.join(same, key, "left_anti")
+
+
+def flagged(rows: DataFrame, ids: DataFrame, flag: str, key: str = "id") -> DataFrame:
+    """``rows`` with ``flag`` set for those of ``ids``; others keep theirs."""
+    marks = ids.select(key).distinct().withColumn("__set", F.lit(True))
+    return rows.join(marks, key, "left").withColumn(flag, F.coalesce("__set", F.col(flag))).drop("__set")
+
+
+def facet_list(counts: DataFrame, text: str = "", by: str = "n", value: str = "value") -> DataFrame:
+    """Values that hold ``text``, whatever the case, by falling count or by name."""
+    found = counts.where(F.contains(F.lower(value), F.lit(text.lower()))) if text else counts
+    return found.orderBy(F.desc("n"), value) if by == "n" else found.orderBy(F.lower(value), value)
 
 
 def not_done(candidates: DataFrame, *done: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Registered queries: every operator applied to the standard tables, with equivalent SQL."""
 
-from . import blocks, catalog, events, outlines, texts
+from . import blocks, catalog, events, labels, outlines, texts, transcripts, trees
 
-QUERIES: dict = catalog.QUERIES | events.QUERIES | texts.QUERIES | outlines.QUERIES | blocks.QUERIES
-ORACLE_SQL: dict[str, str] = catalog.ORACLE_SQL | events.ORACLE_SQL | texts.ORACLE_SQL | outlines.ORACLE_SQL | blocks.ORACLE_SQL
+_MODULES = (catalog, events, texts, outlines, blocks, labels, transcripts, trees)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -40,7 +40,7 @@ def sniffed_tables(spark, d):
 @query(f"WITH {HEADINGS} SELECT h.doc_id, h.ord, (SELECT max(b.ord) FROM headings b WHERE b.doc_id = h.doc_id AND b.ord < h.ord AND b.level < h.level AND length(b.title) % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM headings c WHERE c.doc_id = h.doc_id AND c.ord > b.ord AND c.ord < h.ord AND c.level <= b.level)) AS owner FROM headings h")
 def named_ancestors(spark, d):
     name = F.when(F.length("title") % 3 != 0, F.col("title"))
-    return blocks.named_ancestor(headings(spark, d), name, depth="level", deepest=5).select("doc_id", "ord", "owner")
+    return blocks.named_ancestor(headings(spark, d), name, depth="level").select("doc_id", "ord", "owner")
 
 
 PARENTS = f"{HEADINGS}, p AS (SELECT h.doc_id, h.ord, h.level, (SELECT max(b.ord) FROM headings b WHERE b.doc_id = h.doc_id AND b.ord < h.ord AND b.level < h.level) AS parent FROM headings h)"
@@ -59,7 +59,7 @@ def dissolved_nodes(spark, d):
 @query(f"WITH RECURSIVE {PARENTS}, g AS (SELECT doc_id, ord FROM p WHERE level = 2 AND ord % 2 = 0 UNION SELECT p.doc_id, p.ord FROM g JOIN p ON p.doc_id = g.doc_id AND p.parent = g.ord) SELECT p.doc_id, p.ord, p.parent, p.level FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = p.doc_id AND g.ord = p.ord)")
 def deleted_subtrees(spark, d):
     t = _tree(spark, d)
-    return blocks.delete_subtrees(t, t.where("level = 2 and ord % 2 = 0").select("doc_id", "ord"), levels=3)
+    return blocks.delete_subtrees(t, t.where("level = 2 and ord % 2 = 0").select("doc_id", "ord"))
 
 
 @query(f"WITH {HEADINGS} SELECT doc_id, ord, CASE WHEN ord % 3 = 0 THEN greatest(1, level - 1) ELSE level END AS level FROM headings")

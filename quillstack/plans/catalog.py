@@ -70,9 +70,10 @@ def search_only_favorites(spark, d):
     return search.only_favorites(catalog(spark, d).where(search.visible()), favorites(spark, d)).select("id", "display_title")
 
 
-@query(BOOKS + "SELECT id, display_title, page_count FROM books WHERE id IN (1, 5, 8, 13, 150)")
+@query(BOOKS + "SELECT id, display_title, page_count FROM books WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
 def books_by_ids(spark, d):
-    return search.by_ids(catalog(spark, d), [1, 5, 8, 13, 150]).select("id", "display_title", "page_count")
+    asked = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("id"))
+    return search.by_ids(catalog(spark, d), asked).select("id", "display_title", "page_count")
 
 
 @query(BOOKS + "SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM visible WHERE publisher = 'Brand#7'")
@@ -197,13 +198,15 @@ def related_precomputed(spark, d):
 
 @query(
     BOOKS
-    + """, chosen AS (SELECT * FROM books WHERE id IN (5, 10, 42)), w AS (SELECT l.id AS a, r.id AS b, 1 AS w FROM (SELECT id, unnest(list_distinct(tags)) AS tag FROM chosen) l JOIN (SELECT id, unnest(list_distinct(tags)) AS tag FROM visible) r USING (tag) WHERE l.id <> r.id
+    + RELATIONS
+    + """, chosen AS (SELECT * FROM books WHERE id NOT IN (SELECT a FROM relations)), w AS (SELECT l.id AS a, r.id AS b, 1 AS w FROM (SELECT id, unnest(list_distinct(tags)) AS tag FROM chosen) l JOIN (SELECT id, unnest(list_distinct(tags)) AS tag FROM visible) r USING (tag) WHERE l.id <> r.id
 UNION ALL SELECT c.id, v.id, 10 FROM chosen c JOIN visible v ON c.series = v.series WHERE c.id <> v.id), s AS (SELECT a, b, CAST(sum(w) AS BIGINT) AS weight FROM w GROUP BY a, b)
 SELECT a, b, weight, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS nth FROM s) WHERE nth <= 6"""
 )
 def related_fallback(spark, d):
     books = catalog(spark, d)
-    return relations.related_by_tags(books, search.by_ids(books, [5, 10, 42]))
+    alone = books.join(relations.jaccard_relations(books).select(F.col("a").alias("id")), "id", "left_anti")
+    return relations.related_by_tags(books, alone)
 
 
 GRAPH = """, best AS (SELECT a, b, score FROM relations WHERE a < b AND score >= 0.25 ORDER BY score DESC, a, b LIMIT 900), nodes AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM best UNION ALL SELECT b FROM best) GROUP BY id ORDER BY degree DESC, id LIMIT 300) """
@@ -216,6 +219,13 @@ def similarity_graph(spark, d):
     return edges.select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query(BOOKS + RELATIONS + ", best AS (SELECT a, b, score FROM relations WHERE a < b AND score >= 0.25 AND a IN (SELECT id FROM books WHERE game_system IN ('PROMO', 'SMALL')) AND b IN (SELECT id FROM books WHERE game_system IN ('PROMO', 'SMALL')) ORDER BY score DESC, a, b LIMIT 900), nodes AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM best UNION ALL SELECT b FROM best) GROUP BY id ORDER BY degree DESC, id LIMIT 300) SELECT a, b, round(score, 6) AS score FROM best WHERE a IN (SELECT id FROM nodes) AND b IN (SELECT id FROM nodes)")
+def similarity_graph_of_systems(spark, d):
+    books = catalog(spark, d)
+    _, edges = relations.graph(relations.jaccard_relations(books), books, systems=["PROMO", "SMALL"])
+    return edges.select("a", "b", F.round("score", 6).alias("score"))
+
+
 @query(BOOKS + RELATIONS + GRAPH + "SELECT id, degree FROM nodes")
 def similarity_graph_nodes(spark, d):
     books = catalog(spark, d)

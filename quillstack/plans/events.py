@@ -131,22 +131,25 @@ def linked_prompts(spark, d):
 # inventories
 
 
-@query(f"WITH f AS {FILES}, b AS (SELECT array_to_string(list_slice(p, 1, least(2, greatest(len(p) - 1, 0))), '/') AS k, size, len(p) AS level FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM f)) SELECT '/' || k AS bucket, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, max(level) AS deepest FROM b GROUP BY k UNION ALL SELECT 'TOTAL', count(*), CAST(sum(size) AS BIGINT), max(level) FROM b")
+@query(f"WITH f AS {FILES}, b AS (SELECT array_to_string(list_slice(p, 1, least(2, greatest(len(p) - 1, 0))), '/') AS k, array_to_string(p[1 : len(p) - 1], '/') AS folder, size, len(p) AS level FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM f)) SELECT '/' || k AS bucket, count(*) AS files, count(DISTINCT folder) AS folders, CAST(sum(size) AS BIGINT) AS bytes, max(level) AS deepest FROM b GROUP BY k UNION ALL SELECT 'TOTAL', count(*), count(DISTINCT folder), CAST(sum(size) AS BIGINT), max(level) FROM b")
 def path_rollup(spark, d):
     return inventory.roll_up(files(spark, d), 2).withColumn("deepest", F.col("deepest").cast("long"))
 
 
-@query(f"WITH f AS {FILES}, o AS (SELECT * FROM f WHERE id % 2 = 0), t AS (SELECT * FROM f WHERE id % 3 = 0) SELECT string_split(path, '/')[2] AS host, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM o WHERE NOT EXISTS (SELECT 1 FROM t WHERE lower(t.name) = lower(o.name) AND t.size = o.size) GROUP BY 1")
+@query(f"WITH f AS {FILES}, o AS (SELECT * FROM f WHERE starts_with(path, '/m.')), t AS (SELECT * FROM f WHERE NOT starts_with(path, '/m.')) SELECT string_split(path, '/')[2] AS host, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM o WHERE NOT EXISTS (SELECT 1 FROM t WHERE lower(t.name) = lower(o.name) AND t.size = o.size) GROUP BY 1")
 def unmatched_rollup(spark, d):
     f = files(spark, d)
-    left = inventory.unmatched(f.where("id % 2 = 0"), f.where("id % 3 = 0"))
+    # the mobile pages as one inventory, all others as another
+    mobile = F.startswith(F.col("path"), F.lit("/m."))
+    left = inventory.unmatched(f.where(mobile), f.where(~mobile))
     return left.groupBy(F.split("path", "/")[1].alias("host")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
-@query(f"WITH f AS {FILES} SELECT count(*) AS files FROM f o WHERE id % 2 = 0 AND EXISTS (SELECT 1 FROM f t WHERE t.id % 3 = 0 AND lower(t.name) = lower(o.name) AND t.size = o.size)")
+@query(f"WITH f AS {FILES} SELECT count(*) AS files FROM f o WHERE starts_with(path, '/m.') AND EXISTS (SELECT 1 FROM f t WHERE NOT starts_with(t.path, '/m.') AND lower(t.name) = lower(o.name) AND t.size = o.size)")
 def matched_files(spark, d):
     f = files(spark, d)
-    return inventory.matched(f.where("id % 2 = 0"), f.where("id % 3 = 0")).agg(F.count(F.lit(1)).alias("files"))
+    mobile = F.startswith(F.col("path"), F.lit("/m."))
+    return inventory.matched(f.where(mobile), f.where(~mobile)).agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("WITH n AS (SELECT p_partkey AS id, lower(p_name) AS base FROM part), g AS (SELECT base || '.pdf' AS near_key, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY lpad(CAST(id AS VARCHAR), 9, '0')) AS members FROM n GROUP BY base HAVING count(*) >= 2) SELECT * FROM g")
@@ -167,16 +170,18 @@ def folder_paths(spark, d):
     return inventory.folder_paths(regions.union(nations).union(suppliers)).select("id", "path")
 
 
-@query(f"WITH f AS {FILES} SELECT id, path FROM f WHERE string_split(path, '/')[3] = 'en' AND string_split(path, '/')[2] LIKE 'm.%' AND NOT contains(lower(path), 'spam') AND NOT contains(lower(path), 'farm')")
+@query(f"WITH f AS {FILES} SELECT id, path FROM f WHERE (string_split(path, '/')[3] = 'en' AND len(string_split(path, '/')) > 3) AND NOT contains(lower(path), 'spam') AND NOT contains(lower(path), 'farm')")
 def files_under(spark, d):
     rows = inventory.without(files(spark, d), "path", ["SPAM", "farm"])
-    return rows.where(F.split("path", "/")[1].startswith("m.") & (F.split("path", "/")[2] == "en")).select("id", "path")
+    # the path below the host
+    below = F.regexp_replace("path", "^/[^/]+", "")
+    return rows.where(inventory.under(below, "/en")).select("id", "path")
 
 
-@query(f"WITH f AS {FILES}, p AS (SELECT list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM f) SELECT DISTINCT folder FROM (SELECT '/' || array_to_string(p[1:i], '/') AS folder FROM (SELECT p, unnest(range(1, len(p))) AS i FROM p)) WHERE folder NOT IN (SELECT '/' || string_split(path, '/')[2] FROM f WHERE id % 2 = 0)")
+@query(f"WITH f AS {FILES}, p AS (SELECT list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM f) SELECT DISTINCT folder FROM (SELECT '/' || array_to_string(p[1:i], '/') AS folder FROM (SELECT p, unnest(range(1, len(p))) AS i FROM p)) WHERE folder NOT IN (SELECT '/' || string_split(path, '/')[2] FROM f WHERE starts_with(path, '/m.'))")
 def missing_folders(spark, d):
     f = files(spark, d)
-    return inventory.missing_folders(f, f.where("id % 2 = 0").select(F.concat(F.lit("/"), F.split("path", "/")[1]).alias("folder")))
+    return inventory.missing_folders(f, f.where(F.startswith(F.col("path"), F.lit("/m."))).select(F.concat(F.lit("/"), F.split("path", "/")[1]).alias("folder")))
 
 
 @query("SELECT id, CASE WHEN size >= 1024 THEN printf('%.1f', size / 1024.0) || ' KB' ELSE size || ' B' END AS human FROM (SELECT page_id AS id, length(html) AS size FROM pages)")

@@ -101,7 +101,7 @@ def oversize_split(spark, d):
     total = summed.withColumn("total", at_end)
     marks = total.select("doc_id", F.col("ord").alias("end_page"), F.col("upto").alias("end_sum"))
     sized = total.join(marks, ["doc_id", "end_page"], "left").withColumn("size", F.coalesce("end_sum", "total") - F.col("upto") + F.col("own"))
-    return outline.split_oversized(sized.select("doc_id", "ord", "parent", "size", "own"), 600, levels=3)
+    return outline.split_oversized(sized.select("doc_id", "ord", "parent", "size", "own"), 600)
 
 
 @query(f"WITH {HEADINGS}, p AS (SELECT h.doc_id, h.ord, length(h.title) AS size, (SELECT max(b.ord) FROM headings b WHERE b.doc_id = h.doc_id AND b.ord < h.ord AND b.level < h.level) AS parent FROM headings h) SELECT doc_id, parent, string_agg(CAST(size AS VARCHAR), ',' ORDER BY ord) AS children FROM p GROUP BY doc_id, parent")
@@ -128,11 +128,11 @@ def same_shape(spark, d):
     return outline.same_shape(rows.where("l_partkey % 2 = 0"), rows.where("l_partkey % 2 = 1"), "doc", "l_linenumber", "l_returnflag")
 
 
-@query(f"WITH {HEADINGS} SELECT coalesce(b.doc_id, p.doc_id) AS doc_id, coalesce(b.ord, p.ord) AS ord, coalesce(p.size, b.size) AS size FROM (SELECT doc_id, ord, length(title) AS size FROM headings WHERE ord < 6) b FULL OUTER JOIN (SELECT doc_id, ord, -ord AS size FROM headings WHERE ord % 3 = 0) p ON b.doc_id = p.doc_id AND b.ord = p.ord")
+@query(f"WITH {HEADINGS} SELECT coalesce(b.doc_id, p.doc_id) AS doc_id, coalesce(b.ord, p.ord) AS ord, coalesce(p.size, b.size) AS size FROM (SELECT doc_id, ord, length(title) AS size FROM headings WHERE level <> 1) b FULL OUTER JOIN (SELECT doc_id, ord, -ord AS size FROM headings WHERE level IN (1, 3)) p ON b.doc_id = p.doc_id AND b.ord = p.ord")
 def replaced_places(spark, d):
     h = headings(spark, d)
-    base = h.where("ord < 6").select("doc_id", "ord", F.length("title").cast("long").alias("size"))
-    return outline.replace_places(base, h.where("ord % 3 = 0").select("doc_id", "ord", (-F.col("ord")).alias("size")), "doc_id", "ord", ["size"])
+    base = h.where("level <> 1").select("doc_id", "ord", F.length("title").cast("long").alias("size"))
+    return outline.replace_places(base, h.where("level in (1, 3)").select("doc_id", "ord", (-F.col("ord")).alias("size")), "doc_id", "ord", ["size"])
 
 
 @query("SELECT p_brand AS stem, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS numbers FROM part GROUP BY p_brand")

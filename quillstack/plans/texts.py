@@ -55,9 +55,9 @@ def fts_fallback(spark, d):
     return fulltext.like_fallback(table(spark, d, "documents"), "MIT license", ["text", "source"]).select("doc_id")
 
 
-@query("SELECT conv_id, turn, array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), 1, 12), ' ') AS keywords FROM conversations WHERE role = 'user' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("SELECT conv_id, turn, array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), 1, 12), ' ') AS keywords FROM conversations WHERE role = 'user'")
 def query_keywords(spark, d):
-    rows = table(spark, d, "conversations").where("role = 'user'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    rows = table(spark, d, "conversations").where("role = 'user'")
     return rows.select("conv_id", "turn", fn.keywords(F.col("text")).alias("keywords"))
 
 
