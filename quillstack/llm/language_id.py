@@ -4,17 +4,18 @@ Each language has a binary codeword; for each bit a naive Bayes classifier over
 letters says on which side a text lies. Loss-weighted decoding takes the codeword of least summed logistic loss, each
 bit weighted by how well it separates its own training rows, and flags texts whose two best codewords are close.
 
-Training takes a bounded sample of labelled rows (``train_rows``, expected size), chosen by a hash of doc_id; its counts
-are summed by Spark. Prediction reads every whole text, in chunks of bounded size.
-
-Defined cases: a null text or one without a letter is ``und`` with score 0 and not ambiguous; repeated rows get a row
-each; with one learned language that one is always predicted; with none all are ``und``; ties go to the language that
-sorts first; an empty table gives an empty table; other columns are not read.
+Training takes a bounded sample of labelled rows (``train_rows``, expected size, and ``least`` rows of a rarer language,
+or all it has), chosen by a hash of doc_id; its counts are summed by Spark. Prediction reads every whole text, in chunks
+of bounded size; a text longer than a chunk is one chunk, which takes about 100 times its bytes in memory.
+
+Defined cases: a null text or one without a letter (a character of the Unicode categories L*) is ``und`` with score 0 and
+not ambiguous; repeated rows get a row each; with one learned language that one is always predicted; a language whose
+sample has no n-gram isn't learned; with none all are ``und``; ties go to the language that sorts first; a null doc_id is
+not held out; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,6 @@ from .common import chunks, fresh_worker, small_batches
 BITS = 16
 FEATURES = 1 << BITS
 SIZES = (1, 2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
 _SLICES = 64
 #: Bytes kept as they are: lower-case ASCII letters and all of multi-byte characters; others become a space.
 _KEEP = np.full(256, 32, np.uint8)
@@ -119,7 +119,7 @@ class Model:
         return best, second, likely.max(1) / likely.sum(1)
 
 
-def train(docs: DataFrame, train_rows: int = 20_000) -> Model | None:
+def train(docs: DataFrame, train_rows: int = 20_000, least: int = 1_000) -> Model | None:
     """A model from ``docs`` (doc_id, text, lang); rows without a text or label are left out."""
     small_batches(docs.sparkSession)
     labelled = docs.where("lang is not null and text is not null")
@@ -127,8 +127,10 @@ def train(docs: DataFrame, train_rows: int = 20_000) -> Model | None:
     if not by_lang:
         return None
     languages, grain = sorted(by_lang), 1_000_000
-    share = min(grain, -(-grain * train_rows // sum(by_lang.values())))
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(grain)) < share).select("text", "lang")
+    # of each language an equal share, or what gives ``least`` rows
+    share = {x: min(grain, -(-grain * max(train_rows * n // sum(by_lang.values()), least) // n)) for x, n in by_lang.items()}
+    shares = F.create_map(*[F.lit(v) for pair in share.items() for v in pair])
+    sample = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(grain)) < shares[F.col("lang")]).select("text", "lang")
     place = {x: i for i, x in enumerate(languages)}
     width = len(languages)
 
@@ -151,7 +153,9 @@ def train(docs: DataFrame, train_rows: int = 20_000) -> Model | None:
     kind = "slice int, counts binary"
     parts = sample.mapInArrow(count, kind).groupBy("slice").applyInArrow(add, kind).collect()
     counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(parts, key=lambda r: r["slice"])])
-    return Model(languages, counts.reshape(FEATURES, width))
+    counts = counts.reshape(FEATURES, width)
+    some = np.flatnonzero(counts.sum(0))
+    return Model([languages[i] for i in some], counts[:, some]) if len(some) else None
 
 
 def predict(docs: DataFrame, model: Model | None, near: float = 0.6, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
@@ -169,7 +173,7 @@ def predict(docs: DataFrame, model: Model | None, near: float = 0.6, keep: list[
             texts = pc.utf8_lower(batch.column("text"))
             for i, j, data, offs in chunks(texts):
                 some = batch.slice(i, j - i)
-                lettered = np.array([bool(t and _LETTER.search(t)) for t in some.column("text").to_pylist()])
+                lettered = np.array([any(map(str.isalpha, t or "")) for t in some.column("text").to_pylist()])
                 if own is None:
                     lettered[:] = False
                     langs, seconds, score = ["und"] * (j - i), [None] * (j - i), np.zeros(j - i)
