@@ -5,7 +5,8 @@ equal texts lie together and a large group of them can still be cut. Round by ro
 between probes (key prefixes); only cells that hold a splitter further off than the tolerance, or too many rows, get
 finer probes. Then one exchange, by cell, numbers the rows. Law: shard sizes in bytes are near equal.
 
-Only DataFrame functions are used. The driver sees counts of cells: at most ``16 ** digits`` a refined cell.
+Only DataFrame functions are used. The driver sees counts of cells: ``16 ** digits`` for each splitter and round, and 16
+for each 4 million rows at most.
 
 Defined cases: a null text has no bytes (size 8, checksum 0); rows that agree in all of doc_id and text have one key and
 stay in one shard; an empty table gives an empty table; other columns are dropped by :func:`document_sizes`.
@@ -35,11 +36,12 @@ def document_sizes(docs: DataFrame, overhead: int = 8) -> DataFrame:
 
 
 class Cells:
-    """Counted cells of the key space: prefix to (bytes, rows), in key order; ``split`` holds refined prefixes."""
+    """Counted cells of the key space: prefix to (bytes, rows), in key order; ``split`` holds refined prefixes: of one
+    length, by so many digits."""
 
     def __init__(self):
         self.found: dict[str, tuple[int, int]] = {}
-        self.split: list[tuple[int, list[str]]] = []
+        self.split: list[tuple[int, int, list[str]]] = []
 
     def edges(self, shards: int) -> tuple[list[tuple[str, float]], int]:
         """For each splitter the first prefix above it and its distance to the target in bytes; the bytes in all."""
@@ -58,13 +60,17 @@ class Cells:
 def leaf_of(key: Column, cells: Cells, digits: int) -> Column:
     """The prefix of ``key`` that is a leaf cell."""
     leaf = F.substring(key, 1, digits)
-    for length, split in cells.split:
-        leaf = F.when(F.substring(key, 1, length).isin(split), F.substring(key, 1, length + digits)).otherwise(leaf)
+    for length, more, split in cells.split:
+        leaf = F.when(F.substring(key, 1, length).isin(split), F.substring(key, 1, length + more)).otherwise(leaf)
     return leaf
 
 
 def find_splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, most_rows: int = 4_000_000, digits: int = 3) -> tuple[list[str], Cells]:
-    """Splitters for ``rows`` (key, size): shard s + 1 begins at splitter s. ``tolerance`` is a share of a shard."""
+    """Splitters for ``rows`` (key, size): shard s + 1 begins at splitter s. ``tolerance`` is a share of a shard.
+
+    Cells that hold a splitter are refined by ``digits``, at most ``shards`` of them in a round; cells of more than
+    ``most_rows`` rows, which one task would number, by one digit: 16 cells for each.
+    """
     cells = Cells()
 
     def count(part: DataFrame, length: int) -> None:
@@ -72,32 +78,35 @@ def find_splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, most_
         cells.found.update({r["cell"]: (int(r["bytes"]), int(r["rows"])) for r in counted.collect()})
 
     count(rows, digits)
-    length = digits
     while True:
         edges, total = cells.edges(shards)
-        coarse = {p.rstrip("~") for p, off in edges if off > tolerance * total / shards} | {p for p, (_, n) in cells.found.items() if n > most_rows}
-        coarse = sorted(p for p in coarse if len(p) == length)
-        if not coarse or length + digits > KEY_DIGITS:
+        more = {p: 1 for p, (_, n) in cells.found.items() if n > most_rows}
+        more |= {p.rstrip("~"): digits for p, off in edges if off > tolerance * total / shards}
+        kinds: dict[tuple[int, int], list[str]] = {}
+        for p, n in more.items():
+            if len(p) < KEY_DIGITS:
+                kinds.setdefault((len(p), min(n, KEY_DIGITS - len(p))), []).append(p)
+        if not kinds:
             return [p for p, _ in edges], cells
-        cells.split.append((length, coarse))
-        for p in coarse:
-            del cells.found[p]
-        count(rows.where(F.substring("key", 1, length).isin(coarse)), length + digits)
-        length += digits
+        for (length, n), split in sorted(kinds.items()):
+            cells.split.append((length, n, sorted(split)))
+            for p in split:
+                del cells.found[p]
+            count(rows.where(F.substring("key", 1, length).isin(split)), length + n)
 
 
-def shard_rows(rows: DataFrame, shards: int = 24, tolerance: float = 0.001, digits: int = 3) -> DataFrame:
+def shard_rows(rows: DataFrame, shards: int = 24, tolerance: float = 0.001, digits: int = 3, most_rows: int = 4_000_000) -> DataFrame:
     """``rows`` (key, size and any others) with ``shard`` and ``slot``, gapless from 0 in a shard in key order."""
-    splitters, cells = find_splitters(rows, shards, tolerance, digits=digits)
+    splitters, cells = find_splitters(rows, shards, tolerance, most_rows, digits)
     shard = sum(((F.col("key") >= F.lit(s)).cast("int") for s in splitters), F.lit(0))
     placed = rows.withColumn("leaf", leaf_of(F.col("key"), cells, digits)).withColumn("shard", shard)
-    # one row a leaf cell and shard: at most 16 ** digits a refined cell, as the driver has counted
+    # one row a leaf cell and shard
     leaves = placed.groupBy("shard", "leaf").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
     bases = leaves.select("shard", "leaf", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("shard", "leaf").orderBy("key")
     numbered = placed.withColumn("nth", F.row_number().over(order))
-    return numbered.join(F.broadcast(bases), ["shard", "leaf"]).withColumn("slot", F.col("base") + F.col("nth") - 1).drop("leaf", "nth", "base")
+    return numbered.join(bases, ["shard", "leaf"]).withColumn("slot", F.col("base") + F.col("nth") - 1).drop("leaf", "nth", "base")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.001) -> DataFrame:
