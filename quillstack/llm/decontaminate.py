@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, chunks, fresh_worker, hash_words, small_batches, text_buffers, word_ngrams
+from .common import ALNUM, chunks, fresh_worker, hash_words, small_batches, staged, text_buffers, word_ngrams
 
 SPANS = "spans array<struct<begin:int,end:int>>"
 _END = np.uint64(2**64 - 1)
@@ -178,6 +178,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4, b
         rest = None
         for number in range(1, blocks):
             part = block_pass(number, ["doc_id"]).where(F.size("items") > 0)
+            part = staged(part, "hits")  # one block's index at a time
             rest = part if rest is None else rest.unionByName(part)
         more = rest.groupBy("__tie").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("more_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("more_items"))
         both = first.join(more, "__tie", "left")
