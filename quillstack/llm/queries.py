@@ -67,12 +67,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import fresh_path
-    from .warc import normalise, read_records, with_revisits, write_archives
+    from .warc import normalise, read_index, read_records, with_revisits, write_archives
 
     mono, norm = fresh_path(spark, "warc-mono"), fresh_path(spark, "warc-norm")
     archives = write_archives(with_revisits(table(spark, sf_dir, "pages")), mono)
-    index = normalise(spark, archives, mono, norm)
-    return read_records(index, norm).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    normalise(spark, archives, mono, norm)
+    return read_records(read_index(spark, norm), norm).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

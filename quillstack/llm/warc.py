@@ -7,8 +7,9 @@ writes under a temporary name and renames, so that a task that runs again leaves
 
 Pages of equal payload: that of the smallest page_id is a ``response``, the others are ``revisit`` records without a
 payload that name its digest and length. Defined cases: a null html is an empty payload; a null url an empty target; a
-null page_id sorts first; of rows that agree in page_id and payload one is the response; an empty table writes no file;
-other columns are not read; a very long page is one record.
+null page_id sorts first, and a revisit of such a response has a null refers_to; of rows that agree in payload and page_id
+the one of the smallest url is the response, of rows that agree in all three one, the others revisit it; an empty table
+writes no file; other columns are not read; a very long page is one record, which a task holds whole.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def digest_of(payload: bytes) -> str:
 
 def record(page_id: int, url: str, kind: str, payload: bytes | None, digest: str, size: int, refers_to: int | None) -> bytes:
     """A WARC/1.1 record; a revisit has the headers alone."""
-    block = _HTTP + payload if kind == "response" else _HTTP
+    block = _HTTP + (payload if kind == "response" else b"")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
@@ -121,14 +122,23 @@ class _Writer:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and refers_to: the page of the response with the same payload, null for a response."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.encode("html", "utf-8")))
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    return rows.join(firsts, "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    """page_id, url, html, sha, size, revisit and refers_to of each page; html is null and refers_to set for a revisit.
+
+    A payload moves once for each task that holds it, however many pages have it; of the pages only ids and urls move.
+    """
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("sha"), F.octet_length(html).cast("long").alias("size"))
+    firsts = rows.groupBy("sha", "size").agg(F.min(F.struct("page_id", "url")).alias("f"), F.first("html").alias("html"))
+    responses = firsts.select("f.page_id", "f.url", "html", "sha", "size", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers_to"))
+    named = rows.groupBy("sha", "size", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    heads = named.groupBy("sha").agg(F.min(F.struct("page_id", "url")).alias("f"), F.sum("n").alias("all")).where(F.col("all") > 1).select("sha", "f")
+    again = F.col("n") - F.when(F.struct("page_id", "url").eqNullSafe(F.col("f")), 1).otherwise(0)
+    others = named.join(heads, "sha").withColumn("again", again).where(F.col("again") > 0).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("again"))))
+    return responses.unionByName(others.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha", "size", F.lit(True).alias("revisit"), F.col("f.page_id").alias("refers_to")))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes monolithic archives of ``pages`` (page_id, url, html, refers_to) to ``folder``: name and records of each."""
+    """Writes monolithic archives of ``pages`` (as :func:`with_revisits` gives them) to ``folder``: name and records of each."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial, out, engine, count, held = TaskContext.get().partitionId(), 0, None, None, 0, 0
@@ -147,8 +157,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     if out is None:
                         out, engine, count, held = _Writer(folder, f"mono-{part:05d}-{serial:04d}.warc.gz"), zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
                         serial += 1
-                    payload, kind = row["html"].encode(), "response" if row["refers_to"] is None else "revisit"
-                    raw = record(row["page_id"], row["url"], kind, payload, digest_of(payload), len(payload), row["refers_to"])
+                    kind, digest = "revisit" if row["revisit"] else "response", base64.b32encode(bytes.fromhex(row["sha"])).decode()
+                    raw = record(row["page_id"], row["url"], kind, (row["html"] or "").encode(), digest, row["size"], row["refers_to"])
                     out.write(engine.compress(raw))
                     count, held = count + 1, held + len(raw)
                     if held >= ARCHIVE_BYTES:
@@ -162,7 +172,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 def normalise(spark: SparkSession, archives: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrites ``archives`` (name) of folder ``source`` with a gzip member a record, in ``target``, and a sidecar of each.
 
-    Returns the index: name, record_id, offset, length. An archive is one task's work, streamed.
+    Returns the names of the new files. An archive is one task's work, streamed.
     """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,12 +192,20 @@ def normalise(spark: SparkSession, archives: DataFrame, source: str, target: str
                 side = _Writer(target, f"{new}.idx")
                 side.write("".join(f"{a}\t{b}\t{c}\n" for a, b, c in index).encode())
                 side.close()
-                ids, offsets, lengths = zip(*index, strict=True) if index else ((), (), ())
-                yield pa.RecordBatch.from_pydict({"name": pa.array([new] * len(ids), pa.string()), "record_id": pa.array(ids, pa.string()), "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"name": [new], "records": pa.array([len(index)], pa.int64())})
 
     tasks = max(1, archives.count())
     spread = archives.select("name").repartition(tasks, "name")
-    return staged(spread.mapInArrow(rewrite, "name string, record_id string, offset long, length long"), "warc-index")
+    return staged(spread.mapInArrow(rewrite, "name string, records long"), "normalised")
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The sidecar indexes of ``folder``: name, record_id, offset, length."""
+    store, base = _store(folder)
+    store.create_dir(base, recursive=True)
+    lines = spark.read.schema("value string").option("pathGlobFilter", "*.warc.gz.idx").text(folder)
+    parts = F.split("value", "\t")
+    return lines.select(F.regexp_replace("_metadata.file_name", r"\.idx$", "").alias("name"), parts[0].alias("record_id"), parts[1].cast("long").alias("offset"), parts[2].cast("long").alias("length"))
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
