@@ -7,14 +7,16 @@ rows are scored exactly. Vectors are first given one more component that makes t
 a query orders them as the inner product does.
 
 Rows are indexed where they lie, a forest a block; a stated query set visits all blocks and the block results are
-merged. Queries are broadcast in batches of at most ``query_batch``, a proven bound; more queries take more passes.
+merged. Queries are broadcast in batches of about ``query_batch``, each after the one before is done; more queries take
+more passes.
 
 ``share`` is the least part of a block's rows that the ascent gathers. Vectors without structure need about half of the
 rows for a recall of 0.9, in any hash family; clustered ones need few.
 
-Defined cases: vectors that are null, zero, of another length than most, or that hold null or non-finite components take
-no part, as queries or candidates; neither do rows with a null id; ties go to the smaller id; repeated rows of one id
-count once; an empty table gives an empty table; other columns are not read.
+Defined cases: vectors that are null, zero, of another length than most (which have no inner product with the others), or
+that hold null or non-finite components take no part, as queries or candidates; neither do rows with a null id; ties go to
+the smaller id; an id of several vectors counts by the best of them, as a query and as a candidate, so repeated rows count
+once; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ _ONE = np.uint64(1)
 
 
 def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and embedding (doubles) of the vectors that take part, one row an id."""
+    """vec_id and embedding (doubles) of the vectors that take part."""
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
@@ -51,6 +53,7 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, planes: np.ndarray, norm: float):
         self.ids, self.vectors, self.planes = ids, vectors, planes
+        self.most = int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else 1  # vectors of one id
         rest = np.sqrt(np.maximum(0.0, norm * norm - (vectors * vectors).sum(1)))
         hashes = self.hashed(np.column_stack([vectors, rest]))
         self.order = np.argsort(hashes, axis=1, kind="stable")
@@ -94,12 +97,15 @@ class Forest:
         for own, query, rows in zip(ids, queries, self.candidates(queries, least), strict=True):
             rows = rows[self.ids[rows] != own]
             near = self.vectors[rows] @ query
-            if len(rows) > k:
+            if len(rows) > k * self.most:
                 # rounding of the product above differs from that of the final scores by far less than the margin
-                keep = np.partition(near, len(near) - k)[-k]
+                keep = np.partition(near, len(near) - k * self.most)[-k * self.most]
                 rows = rows[near >= keep - 1e-9 * max(1.0, abs(keep))]
             score = (self.vectors[rows] * query).sum(1)
-            best = np.lexsort((self.ids[rows], -score))[:k]
+            best = np.lexsort((self.ids[rows], -score))
+            if self.most > 1:
+                best = best[np.sort(np.unique(self.ids[rows[best]], return_index=True)[1])]
+            best = best[:k]
             out.append((np.full(len(best), own), self.ids[rows[best]], score[best]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
@@ -108,7 +114,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 40, sha
     """For each of ``rows`` (vec_id, embedding) that ``is_query`` picks, its k nearest found others: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
     rows = usable(rows)
-    queries = rows.where(is_query).dropDuplicates(["vec_id"])
+    queries = rows.where(is_query).distinct()
     facts = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"), F.max(F.size("embedding")).alias("width"), F.count_if(is_query).alias("queries")).first()
     width, norm = int(facts["width"] or 1), float(facts["norm"] or 1.0)
     passes = -(-int(facts["queries"]) // query_batch) or 1
@@ -127,8 +133,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 40, sha
                 block = pa.Table.from_batches(held).combine_chunks()
                 held.clear()
                 vec = block.column("vec_id").to_numpy()
-                vec, first = np.unique(vec, return_index=True)
-                forest = Forest(vec, matrix(block.column("embedding").combine_chunks(), width)[first], planes, norm)
+                forest = Forest(vec, matrix(block.column("embedding").combine_chunks(), width), planes, norm)
                 q, v, s = forest.search(ids, points, k, max(4 * k, int(share * len(vec))))
                 return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
@@ -140,12 +145,14 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 40, sha
             if any(b.num_rows for b in held):
                 yield found()
 
-        return rows.select("vec_id", "embedding").mapInArrow(scan, "query_id long, vec_id long, score double")
+        # a query has at most k rows from each block
+        done = staged(rows.select("vec_id", "embedding").mapInArrow(scan, "query_id long, vec_id long, score double"), "near")
+        own.unpersist()
+        return done
 
     near = batch_pass(0)
     for number in range(1, passes):
         near = near.unionByName(batch_pass(number))
-    # a query has at most k rows from each block
-    near = staged(near, "near").dropDuplicates(["query_id", "vec_id"])
+    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
