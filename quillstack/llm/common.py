@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one round of vectorised work takes; a longer document is taken alone.
-CHUNK_BYTES = 1 << 20
+from ..staging import fresh_path, shared_dir, staged  # noqa: F401
+
+#: Bytes of text that one round of vectorised work takes, so few that its arrays stay in a core's cache; a longer document is
+#: taken alone.
+CHUNK_BYTES = 1 << 17
 
 #: What operators keep in a Python worker between tasks. Workers live on when another operator begins.
 WORKER_CACHES: list[dict] = []
@@ -32,15 +33,6 @@ def fresh_worker() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quillstack-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows in this session: texts are long, and a task holds a few batches at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -48,19 +40,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage; lost executors don't lose it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def narrowed(rows: DataFrame, keys: DataFrame, key: str, bits: int = 25) -> DataFrame:
     """``rows`` less most of those whose ``key`` isn't in ``keys``; none that is there gets lost.
 
@@ -108,7 +87,11 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Whole rows of a string array, about ``limit`` bytes at a time: first row, end row, bytes, offsets."""
-    buf, offs = text_buffers(texts)
+    yield from row_chunks(*text_buffers(texts), limit)
+
+
+def row_chunks(buf: np.ndarray, offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The same of concatenated rows."""
     n, i = len(offs) - 1, 0
     while i < n:
         j = max(i + 1, min(n, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1))

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .common import NOT_SPACE, WORKER_CACHES, chunks, fresh_worker, hash_words, word_starts
+from .common import NOT_SPACE, WORKER_CACHES, chunks, fresh_worker, hash_words, row_chunks, word_starts
 
 _LOADED: dict[tuple[str, bool, int], "Encoder"] = {}
 WORKER_CACHES.append(_LOADED)
@@ -112,7 +112,12 @@ class Encoder:
 
     def _cut(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of concatenated rows, and the offsets of the rows in them."""
-        hashes, woff = hash_words(data, offs, NOT_SPACE, lower=False)
+        parts, woff = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for _, _, some, own in row_chunks(data, offs):
+            found, at = hash_words(some, own, NOT_SPACE, lower=False)
+            parts.append(found)
+            woff.append(at[1:] + woff[-1][-1])
+        hashes, woff = np.concatenate(parts), np.concatenate(woff)
         if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         order = np.argsort(hashes)
@@ -142,7 +147,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Rows of a string array, some at a time: first row, end row, their ids (unsigned 32-bit) and the rows' offsets."""
-        for i, j, data, offs in chunks(texts):
+        for i, j, data, offs in chunks(texts, 1 << 20):  # the more text at once, the fewer merges of what is known
             if self.split_spaces:
                 ids, ends = self._cut(data, offs)
             else:
