@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. What a
 stage keeps is written as Parquet and read again by the next one.
+
+Defined cases: a null or empty text has no language and goes in the first stage; where a stage meets one it stays (it is
+linked with nothing, holds no passage, and is packed as its end id). Rows that repeat are one document after the second
+stage; for rows of one doc_id and different texts, and for those without an id, see there. A text of which the third
+stage leaves only white space goes. An empty table gives an empty table. Further columns of documents, whatever their
+names, come through to the last stage, which doesn't read them; nulls in them stay.
 """
 
 from __future__ import annotations
@@ -32,10 +38,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group that the n-gram join links, once; documents without an id stay."""
-    others = jaccard_groups(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    """The document of smallest doc_id of each group that the n-gram join links, once.
+
+    Rows without an id stay, as do rows of one id and different texts, which no link can tell apart; of rows that agree in
+    id and text one stays.
+    """
+    text = F.struct(F.xxhash64("text"), F.octet_length("text"))
+    several = docs.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high")
+    others = jaccard_groups(docs).where("component_id <> doc_id").select("doc_id").distinct().join(several, "doc_id", "left_anti")
     kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    named = kept.where("doc_id is not null").withColumn("__text", text).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return named.unionByName(kept.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -398,6 +398,42 @@ def test_sharding_cuts_a_group_of_equal_texts(spark):
     assert all(r["last"] == r["rows"] - 1 for r in got)
 
 
+def placed(rows, shards, tolerance):
+    """Brute force: rows in key order, cut where the bytes before are nearest to the targets, within the tolerance."""
+    rows = sorted(rows, key=lambda r: r["key"])
+    total = sum(r["size"] for r in rows)
+    before, keys = {}, {}
+    run = 0
+    for r in rows:
+        before.setdefault(r["key"], run)
+        run += r["size"]
+    return rows, before, total
+
+
+def test_sharding_against_brute_force(spark):
+    """Every splitter is as near to its target as the rows at it allow, and slots number a shard in key order."""
+    rng = np.random.default_rng(8)
+    texts = [prose(int(n), 500 + i) for i, n in enumerate(rng.integers(0, 60, 900))] + [None, "", "x" * 9_000, "y" * 2_000_000] + ["copy of one text"] * 400
+    table = spark.createDataFrame([(i, t, "clash", 7) for i, t in enumerate(texts)] + [(None, "z", "c", 1), (5, texts[5], "c", 1)], "doc_id long, text string, key string, slot int").repartition(5)
+    sizes = sharding.document_sizes(table)
+    for shards, most in ((4, 4_000_000), (24, 50)):
+        got = sharding.shard_rows(sizes, shards, most_rows=most).collect()
+        rows, before, total = placed(got, shards, 0.001)
+        assert len(got) == len(texts) + 2
+        longest = max(r["size"] for r in rows)
+        ordered = [r["shard"] for r in rows]
+        assert ordered == sorted(ordered) and set(ordered) <= set(range(shards))
+        for s in range(1, shards):
+            at = next((before[r["key"]] for r in rows if r["shard"] >= s), total)
+            near = min(abs(b - total * s / shards) for b in [*before.values(), total])
+            assert abs(at - total * s / shards) <= max(near, 0.001 * total / shards) + 1e-6
+        for s in range(shards):
+            own = [r for r in rows if r["shard"] == s]
+            assert sorted(r["slot"] for r in own) == list(range(len(own)))
+            assert [r["key"] for r in sorted(own, key=lambda r: r["slot"])] == [r["key"] for r in own]
+        assert longest == 2_000_008
+
+
 # language
 
 
@@ -424,6 +460,19 @@ def test_language(spark):
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
 
 
+def test_language_of_texts_without_a_letter_and_of_rare_languages(spark):
+    some = {"xx": "kaka koko kiki kuku keke", "yy": "mnemo snefi plosk truft"}
+    rows = [(i, " ".join(np.random.default_rng(i).choice(some["xx" if i % 50 else "yy"].split(), 20)), "xx" if i % 50 else "yy") for i in range(600)]
+    rows += [(9000, "²½ ⅷ ٣ 12", "xx"), (9001, "12 …", "zz"), (9002, "ª", None), (None, "plosk truft snefi", None), (9003, "kaka " * 300_000, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(table.where("doc_id < 9000"), train_rows=30, least=10)
+    got = {r["doc_id"]: r for r in language_id.predict(table, model).collect()}
+    assert (got[9000]["lang_pred"], got[9000]["score"], got[9001]["lang_pred"]) == ("und", 0.0, "und")
+    assert got[9002]["lang_pred"] in ("xx", "yy") and got[None]["lang_pred"] == "yy" and got[9003]["lang_pred"] == "xx"
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:600])
+    assert language_id.train(table.where("doc_id = 9001")) is None or language_id.train(table.where("doc_id = 9001")).languages == ["zz"]
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     both = language_id.identify(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -476,12 +525,13 @@ def test_license_anchors_lose_nothing():
 
 
 def test_warc(spark):
-    pages = [(3, "http://a/3", "same"), (1, "http://a/1", "same"), (2, None, None), (4, "http://a/\r\n4", ""), (5, "u", "x\r\n\r\ny" * 9), (6, "u", "é" * 70000), (7, "u", "same")]
-    rows = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, refers_to long").drop("refers_to").repartition(2)
+    pages = [(3, "http://a/3", "same"), (1, "http://a/1", "same"), (2, None, None), (4, "http://a/\r\n4", ""), (5, "u", "x\r\n\r\ny" * 9), (6, "u", "é" * 70000), (7, "u", "same"), (8, "u", "0123456789" * 600_000)]
+    rows = spark.createDataFrame([(*p, 1, "s", None) for p in pages], "page_id long, url string, html string, refers_to long, sha string, revisit boolean").repartition(2)
     mono, norm = fresh_path(spark, "mono"), fresh_path(spark, "norm")
     archives = warc.write_archives(warc.with_revisits(rows), mono)
     assert archives.agg(F.sum("records")).first()[0] == len(pages)
-    index = warc.normalise(spark, archives, mono, norm)
+    assert warc.normalise(spark, archives, mono, norm).agg(F.sum("records")).first()[0] == len(pages)
+    index = warc.read_index(spark, norm)
     first, want = {}, {}
     for i, _, html in sorted(pages, key=lambda p: p[0]):
         raw = (html or "").encode()
@@ -499,8 +549,21 @@ def test_warc(spark):
             record, at, size = line.split("\t")
             headers, _ = warc.parsed(zlib.decompress(raw[int(at) : int(at) + int(size)], 31))
             assert headers["warc-record-id"] == record
+    other = fresh_path(spark, "norm")
     none = warc.write_archives(warc.with_revisits(rows.limit(0)), fresh_path(spark, "mono"))
-    assert warc.read_records(warc.normalise(spark, none, mono, norm), norm).count() == 0
+    warc.normalise(spark, none, mono, other)
+    assert warc.read_records(warc.read_index(spark, other), other).count() == 0
+
+
+def test_warc_of_repeated_rows_and_null_ids(spark):
+    pages = [(1, "b", "one")] * 3 + [(1, "a", "one"), (2, "c", "one"), (None, "n", "two"), (None, "n", "two"), (4, "d", "two"), (None, None, None), (5, "e", "five")]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    mono, norm = fresh_path(spark, "mono"), fresh_path(spark, "norm")
+    warc.normalise(spark, warc.write_archives(warc.with_revisits(rows), mono), mono, norm)
+    got = [(r["page_id"], r["url"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_records(warc.read_index(spark, norm), norm).collect()]
+    want = [(1, "a", 3, "response", None)] + [(1, "b", 3, "revisit", 1)] * 3 + [(2, "c", 3, "revisit", 1)]
+    want += [(None, "n", 3, "response", None), (None, "n", 3, "revisit", None), (4, "d", 3, "revisit", None), (None, "", 0, "response", None), (5, "e", 4, "response", None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 # nearest neighbours
@@ -535,6 +598,13 @@ def test_forest(spark):
     assert equal and equal == list(range(5, 5 + 5 * len(equal), 5))
 
 
+def test_forest_of_ids_with_several_vectors(spark):
+    kind = "vec_id long, embedding array<double>, rank int"
+    rows = [(0, [1.0, 0.0], 1), (0, [0.0, 1.0], 1), (1, [0.9, 0.1], 1), (1, [0.1, 0.8], 1), (2, [0.0, 0.7], 1), (3, [0.5, 0.0], 1), (3, [0.5, 0.0], 1)]
+    got = ann_forest.nearest(spark.createDataFrame(rows, kind).repartition(2), F.col("vec_id") % 20 == 0, k=3).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, 0.9), (2, 2, 0.7), (3, 3, 0.5)]
+
+
 def test_forest_edges(spark):
     kind = "vec_id long, embedding array<float>"
     assert ann_forest.nearest(spark.createDataFrame([], kind), F.col("vec_id") % 20 == 0).count() == 0
@@ -570,6 +640,25 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(kept["benchmark_passages"])
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, component_id long, items int, spans string, tk string"
+    near = BASE.replace(" ", "  ")
+    rows = [(1, BASE), (2, near), (3, BASE + " tail"), (5, prose(90, 31)), (5, prose(90, 32)), (5, prose(90, 31)), (None, prose(80, 33)), (7, None), (8, ""), (9, " "), (10, None)]
+    docs = spark.createDataFrame([(*r, "en", None, 3, None, 1, "s", "t") for r in rows], kind).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        assert stage(spark, docs, sf_dir).columns == docs.columns, name
+    got = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(map(str, [(1, BASE), (5, prose(90, 31)), (5, prose(90, 32)), (None, prose(80, 33)), (7, None), (8, ""), (9, " "), (10, None)]))
+    left = corpus_pipeline.repeated_passages(spark, docs, sf_dir).collect()
+    assert {r["doc_id"] for r in left} >= {7, 8, 10} and {r["doc_id"] for r in corpus_pipeline.benchmark_passages(spark, docs, sf_dir).collect()} == {1, 2, 3, 5, None, 7, 8, 9, 10}
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, sf_dir).collect()} == {1, 2, 3, 5, None}
+    packed = corpus_pipeline.packing(spark, docs, sf_dir).collect()
+    assert len(packed) == len(rows) and sum(r["length"] == 1 for r in packed) == 4
+    assert corpus_pipeline.packing(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_pipeline_cuts_passages_of_over_50_words(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     shared = {n: prose(n, 200 + n) for n in (50, 51, 55, 60)}
