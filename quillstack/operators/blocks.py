@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 
 from ..functions.text import extract
 from . import trees
+from .quality import earliest
+
+#: How the lines of a stat block begin.
+STAT_LABELS = ("Armor Class", "Hit Points", "Speed", "Saving Throws", "Skills", "Damage Resistances", "Damage Immunities", "Condition Immunities", "Senses", "Languages", "Challenge")
 
 
 def stat_line(text: Column) -> Column:
@@ -17,6 +21,31 @@ def stat_line(text: Column) -> Column:
     return F.when(ac.isNotNull() | hp.isNotNull(), F.struct(ac.alias("ac"), hp.alias("hp"), cr.alias("cr")))
 
 
+def stat_spans(text: Column) -> Column:
+    """The spans in italics (``*AC 15; HP 22*``) that hold an AC or hit points, each as :func:`stat_line` reads it, with its
+    body."""
+    spans = F.regexp_extract_all(text, F.lit(r"(?<!\*)\*([^*\n]+)\*(?!\*)"), 1)
+    read = F.transform(spans, lambda s: F.struct(s.alias("body"), stat_line(s).alias("stats")))
+    return F.filter(read, lambda x: x["stats"].isNotNull())
+
+
+def unrepeated_stats(rows: DataFrame, name: str, body: str, order: str) -> DataFrame:
+    """Of rows that agree in the name, whatever its case, and the first 60 characters of the body the first."""
+    keyed = rows.withColumns({"__name": F.lower(name), "__body": F.substring(body, 1, 60)})
+    return earliest(keyed, ["__name", "__body"], [order]).drop("__name", "__body").select(*rows.columns)
+
+
+def stat_rows(rows: DataFrame, text: str, order: str = "ord") -> DataFrame:
+    """The lines of stat blocks as rows of kind, key and value: ``stat`` for lines that begin with one of the known labels,
+    ``trait`` for those that begin with a title and a full stop; other lines are left out. ``order`` counts the lines."""
+    lines = rows.select(*[c for c in rows.columns if c != text], F.posexplode(F.split(text, "\n")).alias(order, "line")).withColumn("line", F.trim("line"))
+    label = rf"^({'|'.join(STAT_LABELS)})\s*:?\s+(.+)$"
+    trait = r"^([A-Z][\w'’ ()/–-]{2,60})\.\s+(\S.*)$"
+    kind = F.when(F.col("line").rlike(label), "stat").when(F.col("line").rlike(trait), "trait")
+    part = lambda g: F.when(kind == "stat", F.regexp_extract("line", label, g)).otherwise(F.regexp_extract("line", trait, g))
+    return lines.withColumns({"kind": kind, "key": part(1), "value": part(2)}).where("kind is not null").drop("line")
+
+
 def delimiter(text: Column) -> Column:
     """The first of tab, bar, semicolon and comma that the first line holds; else two spaces or more."""
     first = F.split(text, "\n")[0]

@@ -83,6 +83,14 @@ def toc_preview(rows: DataFrame, doc: str, order: str, level: str, name: str) ->
     return own.groupBy(doc, "chapter").agg(F.min_by(name, order).alias("name"), F.transform(F.array_sort(F.collect_list(header)), lambda h: h["header"]).alias("headers"))
 
 
+def demote_chapters(rows: DataFrame, chosen: Column, doc: str, order: str, level: str) -> DataFrame:
+    """Chapters (rows of level 1) for which ``chosen`` holds become headers of the chapter before; a document's first chapter
+    stays. The rows below them follow, as chapters reach to the next one."""
+    earlier = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    has = F.coalesce(F.max(F.col(level) == 1).over(earlier), F.lit(False))
+    return rows.withColumn(level, F.when((F.col(level) == 1) & F.coalesce(chosen, F.lit(False)) & has, F.lit(2).cast(rows.schema[level].dataType)).otherwise(F.col(level)))
+
+
 def build_toc(nodes: DataFrame) -> DataFrame:
     """From nodes of nested documents: each top section with its named child sections, less those of its own name."""
     tops = nodes.where("depth = 0 and type = 'section'").select("doc_id", F.col("ord").alias("at"), F.col("node_id").alias("top"), F.coalesce("name", F.lit("Untitled")).alias("chapter"))

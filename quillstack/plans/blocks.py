@@ -66,3 +66,22 @@ def deleted_subtrees(spark, d):
 def promoted_nodes(spark, d):
     t = headings(spark, d).select("doc_id", "ord", "level")
     return blocks.shift_levels(t, t.where("ord % 3 = 0").select("doc_id", "ord"), -1)
+
+
+@query("SELECT p_partkey AS id, p_size AS ac, p_size * 2 AS hp FROM part WHERE p_partkey % 4 <> 3")
+def stat_spans(spark, d):
+    s = F.col("p_size").cast("string")
+    text = F.concat(F.col("p_name"), F.lit(" **bold AC 99** and *plain text* then "), F.when(F.col("p_partkey") % 4 != 3, F.concat(F.lit("*AC "), s, F.lit("; HP "), (F.col("p_size") * 2).cast("string"), F.lit("*"))).otherwise("none"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(blocks.stat_spans(text)).alias("x")).select("id", "x.stats.ac", "x.stats.hp")
+
+
+@query("SELECT p_name AS name, min(p_partkey) AS id, p_brand AS body FROM part GROUP BY p_name, p_brand")
+def unrepeated_stats(spark, d):
+    rows = table(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), F.concat(F.rpad("p_brand", 60, "."), F.col("p_partkey").cast("string")).alias("body"), F.col("p_partkey").alias("id"))
+    return blocks.unrepeated_stats(rows, "name", "body", "id").select(F.lower("name").alias("name"), "id", F.rtrim(F.substring("body", 1, 60), F.lit(".")).alias("body"))
+
+
+@query("SELECT p_partkey AS id, 0 AS ord, 'stat' AS kind, 'Armor Class' AS key, p_size || ' (hide)' AS value FROM part UNION ALL SELECT p_partkey, 2, 'trait', 'Keen Sight', 'It sees the ' || p_name || '.' FROM part UNION ALL SELECT p_partkey, 3, 'stat', 'Challenge', '1/2' FROM part WHERE p_partkey % 2 = 0")
+def stat_rows(spark, d):
+    text = F.concat(F.lit("Armor Class: "), F.col("p_size").cast("string"), F.lit(" (hide)\nsmall thing\n Keen Sight. It sees the "), "p_name", F.lit("."), F.when(F.col("p_partkey") % 2 == 0, F.lit("\nChallenge 1/2")).otherwise(""))
+    return blocks.stat_rows(table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text")), "text")

@@ -160,3 +160,8 @@ def heading_matches(spark, d):
     both = left.join(h.where("level > 1").select("doc_id", F.col("ord").alias("right_ord"), F.col("title").alias("r")), ["doc_id", "right_ord"])
     scored = both.select("doc_id", "left_ord", "right_ord", fn.token_overlap(F.col("l"), F.col("r"), ["the", "of"]).alias("score"))
     return documents.greedy_pairs(scored, least=0.05)
+
+
+@query(f"WITH {HEADINGS}, f AS (SELECT *, min(CASE WHEN level = 1 THEN ord END) OVER (PARTITION BY doc_id) AS first FROM headings) SELECT doc_id, ord, CASE WHEN level = 1 AND length(title) % 3 = 0 AND ord > first THEN 2 ELSE level END AS level FROM f")
+def demoted_chapters(spark, d):
+    return outline.demote_chapters(headings(spark, d), F.length("title") % 3 == 0, "doc_id", "ord", "level").select("doc_id", "ord", "level")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import documents, fulltext
-from ..sources import chunked
+from ..sources import chunked, salvaged
 from .tables import HEADINGS, headings, table
 
 QUERIES: dict = {}
@@ -156,3 +156,9 @@ def heading_overlap(spark, d):
     h = headings(spark, d).select("doc_id", "ord", "title")
     nxt = h.select("doc_id", (F.col("ord") - 1).alias("ord"), F.col("title").alias("other"))
     return h.join(nxt, ["doc_id", "ord"]).select("doc_id", "ord", F.round(fn.token_overlap(F.col("title"), F.col("other"), ["the", "of"]), 6).alias("overlap"))
+
+
+@query("SELECT event_id, '[{\"k\": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}]' AS json FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id, NULL FROM events WHERE event_type = 'error'")
+def salvaged_records(spark, d):
+    broken = F.when(F.col("event_type") == "click", F.concat(F.lit("```json\n["), "props", F.lit("]\n```"))).when(F.col("event_type") == "error", F.lit("none")).otherwise(F.concat(F.lit("["), "props", F.lit(', {"k": 1, "l": [')))
+    return table(spark, d, "events").select("event_id", salvaged(broken).alias("json"))

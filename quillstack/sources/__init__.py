@@ -52,13 +52,48 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_front_matter(spark: SparkSession, path: str) -> DataFrame:
-    """path, fields (a map of the simple ``key: value`` lines between the ``---`` lines) and body of Markdown files."""
+    """path, fields (a map of the ``key: value`` lines between the ``---`` lines), lists (a map of the keys whose value is a
+    list, on their line in brackets or below it with hyphens) and body of Markdown files."""
     whole = read_whole(spark, path)
     head = F.regexp_extract("text", r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)", 1)
     body = F.regexp_replace("text", r"(?s)\A---\s*\n.*?\n---\s*(?:\n|\z)", "")
-    lines = F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^[\w-]+\s*:"))
-    entry = lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([\w-]+)\s*:", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_extract(x, r"^[\w-]+\s*:(.*)$", 1)), "^[\"']|[\"']$", "").alias("value"))
-    return whole.select("path", F.map_from_entries(F.transform(lines, entry)).alias("fields"), body.alias("body"))
+    bare = lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")
+    # a key with the lines that follow it and aren't keys themselves
+    blocks = F.regexp_extract_all(head, F.lit(r"(?m)^[\w-]+\s*:.*(?:\n(?![\w-]+\s*:).*)*"), 0)
+    key = lambda x: F.trim(F.regexp_extract(x, r"^([\w-]+)\s*:", 1))
+    inline = lambda x: F.trim(F.regexp_extract(x, r"^[\w-]+\s*:(.*)", 1))
+    items = lambda x: F.when(inline(x).rlike(r"^\[.*\]$"), F.filter(F.transform(F.split(F.regexp_replace(inline(x), r"^\[|\]$", ""), ","), bare), lambda i: i != "")).otherwise(F.transform(F.regexp_extract_all(x, F.lit(r"(?m)^\s*-\s+(.*)$"), 1), bare))
+    is_list = lambda x: inline(x).rlike(r"^\[.*\]$") | ((inline(x) == "") & x.rlike(r"(?m)^\s*-\s+"))
+    fields = F.map_from_entries(F.transform(F.filter("blocks", lambda x: ~is_list(x)), lambda x: F.struct(key(x).alias("key"), bare(inline(x)).alias("value"))))
+    lists = F.map_from_entries(F.transform(F.filter("blocks", is_list), lambda x: F.struct(key(x).alias("key"), items(x).alias("value"))))
+    return whole.select("path", F.array_distinct(blocks).alias("blocks"), body.alias("body")).select("path", fields.alias("fields"), lists.alias("lists"), "body")
+
+
+def read_benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs of a tree ``eval-*/config/run-*/grading.json``: eval, config, run, pass_rate, passed, failed, total,
+    time_seconds, tokens, tool_calls and errors. The time is that of the grading, else of ``timing.json`` beside it, as are
+    the tokens; the eval's id that of ``eval_metadata.json``, else of its folder. Files that aren't JSON give no row."""
+
+    def files(name: str) -> DataFrame:
+        found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder, wholetext=True)
+        return found.select(F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]+$", "").alias("at"), F.col("value").alias("json"))
+
+    number = lambda c, field, kind="double": F.get_json_object(c, f"$.{field}").try_cast(kind)
+    place = r"eval-([^/]+)/([^/]+)/run-(\d+)$"
+    graded = files("grading.json").where(F.try_parse_json("json").isNotNull() & F.col("at").rlike(place))
+    timing = files("timing.json").select("at", number("json", "total_duration_seconds").alias("seconds"), number("json", "total_tokens", "long").alias("counted"))
+    named = files("eval_metadata.json").select(F.col("at").alias("eval_at"), F.get_json_object("json", "$.eval_id").alias("named"))
+    rows = graded.withColumn("eval_at", F.regexp_replace("at", r"/[^/]+/run-\d+$", "")).join(timing, "at", "left").join(named, "eval_at", "left")
+    own = F.coalesce(number("json", "timing.total_duration_seconds"), F.lit(0.0))
+    untimed = own == 0
+    some = lambda c: F.coalesce(c, F.lit(0))
+    counted = F.when(untimed, F.nullif(F.col("counted"), F.lit(0)))
+    return rows.select(
+        F.coalesce("named", F.regexp_extract("at", place, 1)).alias("eval"), F.regexp_extract("at", place, 2).alias("config"), F.regexp_extract("at", place, 3).cast("int").alias("run"),
+        F.coalesce(number("json", "summary.pass_rate"), F.lit(0.0)).alias("pass_rate"), *[some(number("json", f"summary.{f}", "long")).alias(f) for f in ("passed", "failed", "total")],
+        F.when(untimed, F.coalesce("seconds", F.lit(0.0))).otherwise(own).alias("time_seconds"), some(F.coalesce(counted, number("json", "execution_metrics.output_chars", "long"))).alias("tokens"),
+        some(number("json", "execution_metrics.total_tool_calls", "long")).alias("tool_calls"), some(number("json", "execution_metrics.errors_encountered", "long")).alias("errors"),
+    )
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str, header_rows: int = 3) -> DataFrame:
@@ -124,32 +159,47 @@ def chunked(docs: DataFrame, key: str, text: str, limit: int) -> DataFrame:
 
 
 def salvage_json(text: str | None) -> str | None:
-    """A JSON array or object from text that may stand in a code fence or break off; what is incomplete is dropped."""
+    """A JSON array or object from text that may stand in a code fence or break off; what is incomplete is dropped.
+
+    One pass finds the closed values; the longest part that ends with one and parses, with what is open closed, is taken.
+    """
     import json
 
     if not text:
         return None
     body = re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", text)
-    for end in [len(body), *[m.end() for m in re.finditer(r"[}\]]", body)][::-1]]:
-        piece = body[:end]
-        depth, quoted, escaped = [], False, False
-        for c in piece:
-            if quoted:
-                quoted, escaped = escaped or c != '"', c == "\\" and not escaped
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                depth.append("]" if c == "[" else "}")
-            elif c in "]}" and depth:
-                depth.pop()
+    depth: list[str] = []
+    ends: list[tuple[int, str]] = []
+    quoted = escaped = False
+    for i, c in enumerate(body):
+        if quoted:
+            quoted, escaped = escaped or c != '"', c == "\\" and not escaped
+        elif c == '"':
+            quoted = True
+        elif c in "[{":
+            depth.append("]" if c == "[" else "}")
+        elif c in "]}" and depth:
+            depth.pop()
+            ends.append((i + 1, "".join(reversed(depth))))
+    for end, close in [(len(body), ""), *reversed(ends)]:
         try:
-            json.loads(fixed := piece + "".join(reversed(depth)))
+            json.loads(fixed := body[:end] + close)
         except ValueError:
             continue
         return fixed
     return None
 
 
+def salvaged(text: str):
+    """:func:`salvage_json` of a column."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(salvage_json)
+
+    return run(text)
+
+
 def write_replace(df: DataFrame, path: str) -> None:
     """A full refresh; ``df`` may not read ``path`` itself."""
     df.write.mode("overwrite").parquet(path)

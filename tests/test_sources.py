@@ -84,3 +84,45 @@ def test_windowed_counts_of_a_stream_equal_the_batch(spark, sf_dir):
     query.awaitTermination()
     batch = streaming.counted_events(typed(events), "ts", "event_type")
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_front_matter_lists(spark, tmp_path):
+    (tmp_path / "a.md").write_text("---\nname: x\ntags: [a, 'b c', d]\nsources:\n  - one\n  - 2\nempty:\nlast: y # z\n---\nbody: not a key\n")
+    r = sources.read_front_matter(spark, str(tmp_path)).first()
+    assert r["lists"] == {"tags": ["a", "b c", "d"], "sources": ["one", "2"]} and r["fields"] == {"name": "x", "empty": "", "last": "y # z"} and r["body"] == "body: not a key\n"
+
+
+def test_benchmark_tree(spark, tmp_path):
+    def put(path, text):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text if isinstance(text, str) else json.dumps(text))
+
+    put("eval-1/with/run-1/grading.json", {"summary": {"pass_rate": 0.5, "passed": 1, "failed": 1, "total": 2}, "execution_metrics": {"total_tool_calls": 3, "output_chars": 9}})
+    put("eval-1/with/run-1/timing.json", {"total_duration_seconds": 4.5, "total_tokens": 70})
+    put("eval-1/without/run-2/grading.json", {"timing": {"total_duration_seconds": 2}, "execution_metrics": {"output_chars": 9, "errors_encountered": 1}})
+    put("eval-1/without/run-2/timing.json", {"total_duration_seconds": 4.5, "total_tokens": 70})
+    put("eval-x/with/run-3/grading.json", "broken")
+    put("eval-2/with/run-1/grading.json", {})
+    put("eval-2/eval_metadata.json", {"eval_id": "two"})
+    got = {(r["eval"], r["config"], r["run"]): (r["pass_rate"], r["passed"], r["time_seconds"], r["tokens"], r["tool_calls"], r["errors"]) for r in sources.read_benchmark(spark, str(tmp_path)).collect()}
+    assert got == {("1", "with", 1): (0.5, 1, 4.5, 70, 3, 0), ("1", "without", 2): (0.0, 0, 2.0, 9, 0, 1), ("two", "with", 1): (0.0, 0, 0.0, 0, 0, 0)}
+
+
+def test_deltas_bases_and_a_cold_rescan(spark, tmp_path):
+    feed, schema = tmp_path / "feed", "id string, v long"
+    feed.mkdir()
+    state, point = str(tmp_path / "state"), str(tmp_path / "checkpoint")
+    want = {}
+    for n in range(5):
+        rows = [{"id": f"k{n}", "v": n, "seq": 2 * n, "op": "upsert"}, {"id": "k0", "v": 10 * n, "seq": 2 * n + 1, "op": "delete" if n == 3 else "upsert"}]
+        (feed / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        want |= {f"k{n}": n, "k0": 10 * n}
+        streaming.sync_changes(streaming.read_changes(spark, str(feed), schema + ", seq long, op string"), state, point, schema, base_every=2).awaitTermination()
+        if n == 3:
+            del want["k0"]
+        assert {r["id"]: r["v"] for r in streaming.read_state(spark, state, schema).collect()} == want
+    assert streaming.newest_base(spark, state, schema) == 3
+    assert {r["id"] for r in streaming.read_state(spark, state, schema, before=1).collect()} == {"k0"}
+    again, query = streaming.cold_rescan(spark, str(feed), schema)
+    query.awaitTermination()
+    assert {r["id"]: r["v"] for r in streaming.read_state(spark, again, schema).collect()} == want
