@@ -305,7 +305,8 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     classes = staged(maybe.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     bits = bits_of(classes.agg(F.sum("n")).first()[0] or 0)
     reps = classes.select(F.col("rep").alias("doc_id"))
-    kept = narrowed(docs, reps, "doc_id").join(reps, "doc_id", "left_semi")
+    # a merge join at every size: after a broadcast join both Python nodes would run, and hold workers, in one stage
+    kept = narrowed(docs, reps, "doc_id").join(reps.hint("merge"), "doc_id", "left_semi")
     sets = staged(blocks_of(kept, bits, False, k, 200_000), "sets")
     postings = staged(rare_postings(sets, bits), "postings")
     held = postings.select("doc_id").distinct()
