@@ -4,12 +4,16 @@ Texts are lower-cased and cut into words of a-z and 0-9. Templates are sorted in
 class slides windows of its own length and stride over a text, so that every passage as long as a template of the class
 lies whole in some window. Windows and templates are compared as sets of five-word shingles: ``BANDS`` bands of
 ``ROWS`` MinHash values retrieve candidate pairs, and a pair is kept if the window holds at least ``CONTAINMENT`` of the
-template's shingles. At the least Jaccard similarity that such a window can have (about 0.5), a pair is missed by all
-bands with a probability of about 1e-5.
+template's shingles. A window is longer than its template, so it may hold all that is asked for at a Jaccard similarity of
+0.4 to 0.5; :func:`missed` gives the probability that all bands miss such a pair, below 1e-5 for each template here.
 
 Before that, texts and windows without any anchor word are put aside, at no loss: anchors are words of the templates
 chosen so that the shingles without one are too few for the containment asked for.
 
+Of matches that overlap in a text, as those of licenses with like wording do, the one that holds most of its template stays
+(then that of most shingles, then the first by name). The list is that of common notices and of how common licenses begin;
+it is a parameter, and whole license texts can be given with it.
+
 Only DataFrame functions are used. The templates are a fixed list, so the broadcast of their bands is bounded.
 
 Defined cases: a null or empty text has no match; a text shorter than a window is one shorter window; repeated rows (of
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, CONTAINMENT, BANDS, ROWS = 5, 0.75, 40, 2
+SHINGLE, CONTAINMENT, BANDS, ROWS = 5, 0.75, 64, 2
 
 #: Notices by which texts state their license.
 TEMPLATES = {
@@ -37,6 +41,18 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "MIT-notice-2": "Licensed under the MIT License.",
+    "Apache-2.0-notice-2": "Released under the Apache License 2.0.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
 }
 #: Words too common to be anchors.
@@ -84,6 +100,14 @@ def length_class(n: int) -> tuple[int, int]:
     return most + stride - 1, stride
 
 
+def missed(n: int, containment: float = CONTAINMENT, bands: int = BANDS, rows: int = ROWS) -> float:
+    """The greatest probability that all bands miss a window that holds ``containment`` of a template of n words."""
+    shingles_of = lambda words: max(1, words - SHINGLE + 1)
+    window, own = shingles_of(length_class(n)[0]), shingles_of(n)
+    shared = -(-own * containment // 1)
+    return (1 - (shared / (window + own - shared)) ** rows) ** bands
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -117,8 +141,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     known = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
     known = known.select("license", "window", "template", F.explode(F.array_distinct(bands(F.col("template")))).alias("band"))
 
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", "text").where(F.lower(text).rlike("|".join(marks))).select("doc_id", words(F.col("text")).alias("w"))
+    found = docs.select("doc_id", "text").where(F.lower("text").rlike("|".join(marks))).select("doc_id", words(F.col("text")).alias("w"))
     anchored = F.array(*[F.lit(m) for m in marks])
 
     def windows(window: int, stride: int) -> Column:
@@ -134,4 +157,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     shared = F.size(F.array_intersect("template", "s"))
     good = pairs.withColumn("n_shared", shared).where(F.col("n_shared") >= F.lit(containment) * F.size("template"))
     best = good.groupBy("doc_id", "license").agg(F.max(F.struct("n_shared", (-F.col("begin")).alias("from"), "n_words", F.size("template").alias("n_shingles"))).alias("m"))
+    # a document has a match of each template at most
+    own = F.struct((F.col("m.n_shared") / F.col("m.n_shingles")).alias("share"), F.col("m.n_shared").alias("shared"), "license", "m")
+    beats = lambda a, b: (a["share"] > b["share"]) | ((a["share"] == b["share"]) & ((a["shared"] > b["shared"]) | ((a["shared"] == b["shared"]) & (a["license"] < b["license"]))))
+    overlap = lambda a, b: (-a["m"]["from"] < -b["m"]["from"] + b["m"]["n_words"]) & (-b["m"]["from"] < -a["m"]["from"] + a["m"]["n_words"])
+    gathered = best.groupBy("doc_id").agg(F.collect_list(own).alias("all"))
+    best = gathered.select("doc_id", F.explode(F.filter("all", lambda b: ~F.exists("all", lambda a: beats(a, b) & overlap(a, b)))).alias("x")).select("doc_id", "x.license", "x.m")
     return best.select("doc_id", "license", "m.n_shared", "m.n_shingles", (F.col("m.n_shared") / F.col("m.n_shingles")).alias("containment"), (-F.col("m.from")).alias("begin_word"), "m.n_words")
