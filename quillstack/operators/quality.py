@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def content_duplicates(rows: DataFrame, keys: list[str], key: str = "id") -> DataFrame:
     """Rows to be flagged: all of a group but that of the smallest id. Null and empty keys are alike."""
-    same = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(key))).where("nth > 1").drop("nth")
+    same = {f"__{k}": F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys}
+    keyed = rows.withColumns(same)
+    # the first of each group is found by partial minima; a group that most rows are in is split in the join
+    first = keyed.groupBy(*same).agg(F.min(key).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    return keyed.join(first, list(same)).where(F.col(key) > F.col("__first")).select(*rows.columns)
 
 
 def fingerprint(rows: DataFrame, bookmarks: DataFrame) -> DataFrame:

@@ -20,14 +20,17 @@ def condition_holds(value, operator, pattern):
     return F.coalesce(test, F.lit(False))
 
 
-def matches(events: DataFrame, rules: DataFrame, conditions: DataFrame, fields: list[str], key: str = "event_id", tool: str = "tool") -> DataFrame:
+def matches(events: DataFrame, rules: DataFrame, conditions: DataFrame, fields: list[str], key: str = "event_id", tool: str = "tool", most: int = 10_000) -> DataFrame:
     """key and rule of the events that a rule matches: its tool pattern (``*`` or names between ``|``) and all its conditions.
 
-    ``rules``: rule, tools, action, message. ``conditions``: rule, field, operator, pattern. Rules are a short list, so
-    they are broadcast; a rule without conditions matches nothing.
+    ``rules``: rule, tools, action, message. ``conditions``: rule, field, operator, pattern. Each event meets each rule, so
+    they are broadcast, after a count: more than ``most`` are refused. A rule without conditions matches nothing.
     """
     each = conditions.groupBy("rule").agg(F.collect_list(F.struct("field", "operator", "pattern")).alias("conditions"))
-    known = F.broadcast(rules.join(each, "rule"))
+    known = rules.join(each, "rule")
+    if known.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rules")
+    known = F.broadcast(known)
     both = events.join(known, (F.col("tools") == "*") | F.array_contains(F.split("tools", r"\|"), F.col(tool)))
     values = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])
     holds = F.forall("conditions", lambda c: condition_holds(F.try_element_at(values, c["field"]), c["operator"], c["pattern"]))

@@ -47,5 +47,5 @@ def best_iteration(rows: DataFrame, iteration: str, score: str) -> DataFrame:
 
 def cost(chunks: DataFrame, prices: DataFrame, discount: float = 1.0) -> DataFrame:
     """tier and cost of chunks (tier, tokens_in, tokens_out) at ``prices`` (tier, price_in, price_out) a million tokens."""
-    priced = chunks.where(F.col("tokens_in") > 0).join(F.broadcast(prices), "tier")
+    priced = chunks.where(F.col("tokens_in") > 0).join(prices, "tier")
     return priced.groupBy("tier").agg((F.sum(F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6 * discount).alias("cost"), F.count(F.lit(1)).alias("chunks"))
