@@ -343,6 +343,40 @@ def test_token_orc(spark, docs, ids):
     assert token_orc.token_offsets(spark, other).count() == 0
 
 
+def rows_scanned(df):
+    """How many rows the scan of a plan gave, before the filter above it."""
+    df.collect()
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan orc"):
+            return node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    raise AssertionError("no scan")
+
+
+def test_token_orc_skips_by_row_index_and_bloom_filter(spark):
+    rows = spark.range(6000).select((F.col("id") * 2).alias("doc_id"), F.lit("one two").alias("text"))
+    path = fresh_path(spark, "orc")
+    token_orc.write_tokens(rows, path, word_vocabulary())
+    assert token_orc.read_tokens(spark, path, [4000]).count() == 1
+    # the row index leaves one stride of 1,000 rows; an odd id lies between the bounds of a stride and only the Bloom filter tells
+    assert 1 <= rows_scanned(token_orc.read_tokens(spark, path, [4000])) <= 1000
+    assert sum(rows_scanned(token_orc.read_tokens(spark, path, [i])) == 0 for i in (1001, 4001, 7777, 9999)) >= 3
+    assert rows_scanned(token_orc.read_tokens(spark, path)) == 6000
+
+
+def test_token_orc_and_packing_of_null_ids_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(None, "one two", 1, 2, "x", 3), (5, None, 1, 2, "x", 3), (None, "one two", 1, 2, "x", 3)], "doc_id long, text string, part int, seq long, ids string, tie long")
+    path = fresh_path(spark, "orc")
+    token_orc.write_tokens(rows, path, word_vocabulary())
+    got = [tuple(r) for r in token_orc.token_offsets(spark, path).select("doc_id", "start", "n_tokens").orderBy("start").collect()]
+    assert got == [(None, 0, 3), (None, 3, 3), (5, 6, 1)]
+    packed = packing.pack_documents(rows, word_vocabulary(), 4, slack=0).collect()
+    assert sorted((r["doc_id"] is None, r["length"]) for r in packed) == [(False, 1), (True, 3), (True, 3)] and len({r["sequence_id"] for r in packed}) == 2
+
+
 def test_packing(docs, ids, nothing):
     got = packing.pack_documents(docs, word_vocabulary(), 64).collect()
     want = []
