@@ -231,3 +231,9 @@ def range_cell(cell: Column) -> Column:
     lo = hundred(extract(s, r"^(\d+)\s*(?:-\s*\d+)?$").try_cast("int"))
     hi = hundred(extract(s, r"^\d+\s*-\s*(\d+)$").try_cast("int"))
     return F.when(lo.isNotNull(), F.struct(lo.alias("lo"), F.coalesce(hi, lo).alias("hi")))
+
+
+def sectioned_page(title: Column, sections: list[tuple[str, Column]]) -> Column:
+    """A Markdown page: the title, then a heading and a list for each section (name, array of lines) that has lines."""
+    lists = [F.when(F.size(lines) > 0, F.concat(F.lit(f"## {name}\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"))) for name, lines in sections]
+    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), *lists)

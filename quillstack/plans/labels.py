@@ -193,3 +193,10 @@ def membership_split(spark, d):
     docs, known = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
     inside, outside = docs.join(known, "doc_id", "left_semi"), search.not_done(docs, known, key="doc_id")
     return inside.withColumn("labelled", F.lit(True)).unionByName(outside.withColumn("labelled", F.lit(False))).groupBy("labelled").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(BOOKS + "SELECT publisher, md5('# ' || publisher || chr(10) || chr(10) || '## Systems' || chr(10) || string_agg(DISTINCT '- ' || game_system, chr(10) ORDER BY '- ' || game_system) || coalesce(chr(10) || chr(10) || '## Series' || chr(10) || string_agg(DISTINCT '- [[' || replace(series, '/', '-') || ']]', chr(10) ORDER BY '- [[' || replace(series, '/', '-') || ']]'), '')) AS page FROM visible GROUP BY publisher")
+def publisher_pages(spark, d):
+    own = catalog(spark, d).where(search.visible()).groupBy("publisher").agg(F.array_sort(F.collect_set("game_system")).alias("systems"), F.array_sort(F.collect_set(fn.wikilink(F.col("series")))).alias("series"))
+    page = fn.sectioned_page(F.col("publisher"), [("Systems", F.col("systems")), ("Series", F.col("series"))])
+    return own.select("publisher", F.md5(page.cast("binary")).alias("page"))
