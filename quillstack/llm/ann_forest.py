@@ -10,8 +10,9 @@ Rows are indexed where they lie, a forest a block; a stated query set visits all
 merged. Queries are broadcast in batches of about ``query_batch``, each after the one before is done; more queries take
 more passes.
 
-``share`` is the least part of a block's rows that the ascent gathers. Vectors without structure need about half of the
-rows for a recall of 0.9, in any hash family; clustered ones need few.
+``share`` is the part of a block's rows that the ascent gathers at most, in steps that double from a sixteenth of it; a query
+whose k nearest a step leaves as they were goes no further. Vectors without structure need about half of the rows for a
+recall of 0.9, in any hash family; the ascent of clustered ones ends early.
 
 Defined cases: vectors that are null, zero, of another length than most (which have no inner product with the others), or
 that hold null or non-finite components take no part, as queries or candidates; neither do rows with a null id; ties go to
@@ -32,6 +33,8 @@ from pyspark.sql.window import Window
 from .common import staged
 
 BITS = 32
+#: Steps of the ascent; each gathers about twice the rows of the one before.
+STEPS = 5
 _ONE = np.uint64(1)
 
 
@@ -65,48 +68,66 @@ class Forest:
         signs = (points @ self.planes.reshape(-1, width).T > 0).reshape(len(points), trees, bits)
         return (signs.astype(np.uint64) << np.arange(bits, dtype=np.uint64)[::-1]).sum(2, dtype=np.uint64).T
 
-    def candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
-        """For each query the rows that share a prefix with it in some tree, at the greatest common depth at which at
-        least ``least`` rows do (counted with repeats between trees, which are few at great depths)."""
+    def candidates(self, queries: np.ndarray, leasts: list[int]) -> Iterator[Iterator[np.ndarray]]:
+        """For each query the rows that share a prefix with it in some tree: for each of ``leasts``, in ascending order, what
+        is new at the greatest common depth at which at least so many rows do. Trees ascend together, a bit at a time."""
         hashes = self.hashed(np.column_stack([queries, np.zeros(len(queries))]))
-        trees, n = len(self.sorted), len(queries)
-        lo, hi = np.zeros((trees, n), np.int64), np.full((trees, n), len(self.ids), np.int64)
-        deep = np.full(n, True)
+        trees, n, size, steps = len(self.sorted), len(queries), len(self.ids), len(leasts)
+        lo, hi = np.zeros((steps, trees, n), np.int32), np.full((steps, trees, n), size, np.int32)
+        wait = np.full((steps, n), True)
         for depth in range(BITS, 0, -1):
-            if not deep.any():
+            at = np.flatnonzero(wait[-1])
+            if not len(at):
                 break
             cut = np.uint64(BITS - depth)
-            at = np.flatnonzero(deep)
-            for t in range(trees):
-                first = (hashes[t, at] >> cut) << cut
-                lo[t, at] = np.searchsorted(self.sorted[t], first, "left")
-                hi[t, at] = np.searchsorted(self.sorted[t], first + (_ONE << cut) - _ONE, "right")
+            own = hashes[:, at] >> cut << cut
+            begin = np.stack([np.searchsorted(self.sorted[t], own[t], "left") for t in range(trees)])
+            end = np.stack([np.searchsorted(self.sorted[t], own[t] + (_ONE << cut) - _ONE, "right") for t in range(trees)])
             # rows expected in the union of the trees' ranges, as if they were independent
-            apart = 1 - np.prod(1 - (hi[:, at] - lo[:, at]) / len(self.ids), axis=0)
-            deep[at[apart * len(self.ids) >= least]] = False
-        lo[:, deep], hi[:, deep] = 0, len(self.ids)
-        for i in range(n):
-            seen = np.zeros(len(self.ids), bool)
-            for t in range(trees):
-                seen[self.order[t, lo[t, i] : hi[t, i]]] = True
-            yield np.flatnonzero(seen)
+            apart = size * (1 - np.prod(1 - (end - begin) / size, axis=0))
+            for s, least in enumerate(leasts):
+                now = wait[s, at] & (apart >= least)
+                lo[s][:, at[now]], hi[s][:, at[now]] = begin[:, now], end[:, now]
+                wait[s, at[now]] = False
+
+        def grown(i: int) -> Iterator[np.ndarray]:
+            seen = np.zeros(size, bool)
+            for s in range(steps):
+                before = seen.copy()
+                for t in range(trees):
+                    seen[self.order[t, lo[s, t, i] : hi[s, t, i]]] = True
+                yield np.flatnonzero(seen & ~before)
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query id, row id and score of the k nearest found of each query."""
+        for i in range(n):
+            yield grown(i)
+
+    def nearest(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k of ``rows`` nearest to ``query``, one of each id, best first, and their scores."""
+        near = self.vectors[rows] @ query
+        if len(rows) > k * self.most:
+            # rounding of the product above differs from that of the final scores by far less than the margin
+            keep = np.partition(near, len(near) - k * self.most)[-k * self.most]
+            rows = rows[near >= keep - 1e-9 * max(1.0, abs(keep))]
+        score = (self.vectors[rows] * query).sum(1)
+        best = np.lexsort((self.ids[rows], -score))
+        if self.most > 1:
+            best = best[np.sort(np.unique(self.ids[rows[best]], return_index=True)[1])]
+        return rows[best[:k]], score[best[:k]]
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, leasts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query id, row id and score of the k nearest found of each query. A query's ascent ends where a step has changed
+        none of its k nearest, else with the last of ``leasts``."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for own, query, rows in zip(ids, queries, self.candidates(queries, least), strict=True):
-            rows = rows[self.ids[rows] != own]
-            near = self.vectors[rows] @ query
-            if len(rows) > k * self.most:
-                # rounding of the product above differs from that of the final scores by far less than the margin
-                keep = np.partition(near, len(near) - k * self.most)[-k * self.most]
-                rows = rows[near >= keep - 1e-9 * max(1.0, abs(keep))]
-            score = (self.vectors[rows] * query).sum(1)
-            best = np.lexsort((self.ids[rows], -score))
-            if self.most > 1:
-                best = best[np.sort(np.unique(self.ids[rows[best]], return_index=True)[1])]
-            best = best[:k]
-            out.append((np.full(len(best), own), self.ids[rows[best]], score[best]))
+        self.gathered = 0
+        for own, query, steps in zip(ids, queries, self.candidates(queries, leasts), strict=True):
+            rows, score = np.zeros(0, np.int64), np.zeros(0)
+            for new in steps:
+                self.gathered += len(new)
+                before = rows
+                rows, score = self.nearest(np.concatenate([rows, new[self.ids[new] != own]]), query, k)
+                if len(rows) == k and np.array_equal(rows, before):
+                    break
+            out.append((np.full(len(rows), own), self.ids[rows], score))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
 
@@ -134,7 +155,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 40, sha
                 held.clear()
                 vec = block.column("vec_id").to_numpy()
                 forest = Forest(vec, matrix(block.column("embedding").combine_chunks(), width), planes, norm)
-                q, v, s = forest.search(ids, points, k, max(4 * k, int(share * len(vec))))
+                q, v, s = forest.search(ids, points, k, [max(4 * k, int(share * len(vec)) >> n) for n in range(STEPS - 1, -1, -1)])
                 return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
             for batch in batches:

@@ -646,6 +646,17 @@ def test_forest(spark):
     assert equal and equal == list(range(5, 5 + 5 * len(equal), 5))
 
 
+def test_forest_gathers_little_of_clustered_vectors():
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(60, 32))[rng.integers(0, 60, 4000)] + 0.3 * rng.normal(size=(4000, 32))
+    planes = np.random.default_rng(5).normal(size=(40, ann_forest.BITS, 33))
+    forest = ann_forest.Forest(np.arange(4000), vectors, planes, float(np.sqrt((vectors**2).sum(1).max())))
+    asked = np.arange(0, 4000, 40)
+    owner, found, _ = forest.search(asked, vectors[asked], 20, [2640 >> n for n in range(4, -1, -1)])
+    hits = sum(len(set(found[owner == q]) & set(nearest_of(dict(enumerate(vectors)), int(q), 20))) for q in asked)
+    assert hits >= 0.95 * 20 * len(asked) and forest.gathered <= 0.35 * 4000 * len(asked)
+
+
 def test_forest_of_ids_with_several_vectors(spark):
     kind = "vec_id long, embedding array<double>, rank int"
     rows = [(0, [1.0, 0.0], 1), (0, [0.0, 1.0], 1), (1, [0.9, 0.1], 1), (1, [0.1, 0.8], 1), (2, [0.0, 0.7], 1), (3, [0.5, 0.0], 1), (3, [0.5, 0.0], 1)]
