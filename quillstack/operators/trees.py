@@ -14,17 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..staging import staged
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
 
 def walk(rows: DataFrame, doc: str, order: str, inputs: list[str], name: str, kind: T.DataType, make: Callable[[], Callable], descending: bool = False) -> DataFrame:
     """``rows`` with a column more. For each document ``make()`` gives a function, which is called with the order and the
     ``inputs`` of its rows, one after another in order, and returns the new column's values."""
     key = F.col(order).desc() if descending else F.col(order)
-    arrow = to_arrow_type(kind)
+    arrow = _ARROW[kind.simpleString()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, step = None, None
