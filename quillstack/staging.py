@@ -35,4 +35,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table that :func:`staged` has given, once all that reads it is written itself."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
