@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import fresh_path, shared_dir, staged  # noqa: F401
+from ..staging import discard, fresh_path, shared_dir, staged  # noqa: F401
 
 #: Bytes of text that one round of vectorised work takes, so few that its arrays stay in a core's cache; a longer document is
 #: taken alone.

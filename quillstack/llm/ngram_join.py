@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, chunks, fresh_worker, hash_words, mix, narrowed, small_batches, staged, word_ngrams
+from .common import NOT_SPACE, chunks, discard, fresh_worker, hash_words, mix, narrowed, small_batches, staged, word_ngrams
 from .components import connected_components
 
 #: n-grams of a block of documents whose messages go together, and n-grams aimed at for a fragment.
@@ -311,6 +311,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     postings = staged(rare_postings(sets, bits), "postings")
     held = postings.select("doc_id").distinct()
     cut = staged(segments(sets).join(held, "doc_id", "left_semi"), "segments")
+    discard(sets)
     labels = link_groups(postings, cut, percent)
 
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("component"))

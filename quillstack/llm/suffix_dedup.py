@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh_worker, mix, small_batches, staged
+from .common import chunks, discard, fresh_worker, mix, small_batches, staged
 
 #: Bytes of a k-gram (a power of two), bytes of contexts aimed at for a bucket, contexts of an anchor that make it hot.
 GRAM, BUCKET_BYTES, HOT = 32, 250_000, 1000
@@ -303,11 +303,12 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         raise ValueError(f"length must be at least {2 * GRAM}")
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), *_text_key()).where(F.col("size") >= length)
-    runs = staged(_runs(docs.drop("size"), length), "runs")
+    found = staged(_runs(docs.drop("size"), length), "runs")
 
     spot = F.struct("tk", "a")
-    shared = runs.groupBy("h").agg(F.min(spot).alias("s0"), F.max(spot).alias("s1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.bool_or("again").alias("again")).where("s0 <> s1 or again")
-    runs = staged(runs.drop("again").join(shared.select("h", ((F.col("c0") != F.col("c1")) | F.col("again")).alias("mixed")), "h"), "shared-runs")
+    shared = found.groupBy("h").agg(F.min(spot).alias("s0"), F.max(spot).alias("s1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.bool_or("again").alias("again")).where("s0 <> s1 or again")
+    runs = staged(found.drop("again").join(shared.select("h", ((F.col("c0") != F.col("c1")) | F.col("again")).alias("mixed")), "h"), "shared-runs")
+    discard(found)
 
     contexts = staged(runs.groupBy("h", "c", "mixed").agg(F.min(spot).alias("s0"), F.max(spot).alias("s1"), F.min(F.struct("doc_id", "tk", "a", "b")).alias("one")), "contexts")
     whole = contexts.where("s0 <> s1").select("h", "c", F.lit(0).alias("x"), F.lit(None).cast("int").alias("y"))
@@ -323,8 +324,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     bodies = _bodies(docs.select("doc_id", "tk", "text"), dealt, length)
     marks = staged(_indexed(bodies, length), "marks")
 
-    found = runs.join(whole.unionByName(marks), ["h", "c"])
-    spans = found.select("doc_id", "tk", (F.col("a") + F.col("x")).alias("begin"), (F.coalesce(F.col("a") + F.col("y"), F.col("b")) + length).alias("end"))
+    hits = runs.join(whole.unionByName(marks), ["h", "c"])
+    spans = hits.select("doc_id", "tk", (F.col("a") + F.col("x")).alias("begin"), (F.coalesce(F.col("a") + F.col("y"), F.col("b")) + length).alias("end"))
     facts = docs.select("doc_id", "tk", "size")
     copied = facts.groupBy("tk", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tk", "size")
     copies = facts.join(copied, ["tk", "size"]).select("doc_id", "tk", F.lit(0).alias("begin"), F.col("size").alias("end"))
