@@ -11,7 +11,7 @@ merged. Queries are broadcast in batches of about ``query_batch``, each after th
 more passes.
 
 ``share`` is the part of a block's rows that the ascent gathers at most, in steps that double from a sixteenth of it; a query
-whose k nearest a step leaves as they were goes no further. Vectors without structure need about half of the rows for a
+whose k nearest a step with new rows leaves as they were goes no further. Vectors without structure need about half of the rows for a
 recall of 0.9, in any hash family; the ascent of clustered ones ends early.
 
 Defined cases: vectors that are null, zero, of another length than most (which have no inner product with the others), or
@@ -115,13 +115,15 @@ class Forest:
         return rows[best[:k]], score[best[:k]]
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, leasts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query id, row id and score of the k nearest found of each query. A query's ascent ends where a step has changed
+        """Query id, row id and score of the k nearest found of each query. A query's ascent ends where new rows have changed
         none of its k nearest, else with the last of ``leasts``."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.gathered = 0
         for own, query, steps in zip(ids, queries, self.candidates(queries, leasts), strict=True):
             rows, score = np.zeros(0, np.int64), np.zeros(0)
             for new in steps:
+                if not len(new):  # two steps that stop at one depth; nothing was looked at
+                    continue
                 self.gathered += len(new)
                 before = rows
                 rows, score = self.nearest(np.concatenate([rows, new[self.ids[new] != own]]), query, k)
