@@ -47,7 +47,7 @@ def test_recall_of_clustered_vectors(blocks):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(100, 64))[rng.integers(0, 100, 6000)] + 0.35 * rng.normal(size=(6000, 64))
     found, gathered = recall(vectors, blocks)
-    assert found >= 0.95 and gathered <= 0.7
+    assert found >= 0.95 and (blocks > 1 or gathered <= 0.4)
 
 
 @pytest.mark.parametrize("parts", [1, 3, 16])
