@@ -8,7 +8,8 @@ from alternating large-star and small-star rounds.
 
 Equal sets are one class with one member in the buckets, so copies are never paired. Nor is a bucket of near copies expanded into
 its pairs: its classes are first compared with the one that shares most bucket places with others, then with one drawn by hash, and
-what links is merged; then only pairs of different components that still meet in a bucket are compared. Nothing is capped.
+what links is merged; then only pairs of different components that still meet in a bucket are compared, and of these only documents
+of which enough is found in others of such buckets for the overlap that the two sizes ask for. Nothing is capped.
 
 Shingles, sets and buckets are 64-bit hashes.
 
@@ -131,6 +132,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return summed.where(F.col("o") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
+def shared_counts(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and shared: how many of its shingles other ``nodes`` hold too."""
+    grams = sets.join(nodes, "node", "left_semi").select("node", F.explode("grams").alias("gram"))
+    several = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    return grams.join(several, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def linked(postings: DataFrame, sets: DataFrame, same: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """node and label of the classes that link and aren't their component's least; ``postings``: key, node, n, sketch, central,
     ``same``: classes (a, b) that hold rows of one doc_id."""
@@ -147,9 +155,13 @@ def linked(postings: DataFrame, sets: DataFrame, same: DataFrame, percent: int,
         if step < rounds:
             pairs = x.join(lists.select("key", "y"), "key").where((F.col("xl") != F.col("y.label")) & alike("x", "y", percent))
         else:
-            x = x.join(lists.select("key"), "key", "left_semi")
-            y = x.select("key", F.col("xl").alias("yl"), F.col("x").alias("y"))
-            pairs = x.join(y, "key").where((F.col("x.node") < F.col("y.node")) & (F.col("xl") != F.col("yl")) & alike("x", "y", percent))
+            # a partner is in such a bucket too, so what no other document of these holds is no overlap
+            x = staged(x.join(lists.select("key"), "key", "left_semi"), "minhash-open")
+            counts = staged(shared_counts(x.select("x.node").distinct(), sets), "minhash-shared")
+            left = x.select("key", "xl", "x", F.col("x.node").alias("node")).join(counts, "node").where(F.col("shared") * 100 >= percent * F.col("x.n")).drop("node")
+            right = left.select("key", F.col("xl").alias("yl"), F.col("x").alias("y"), F.col("shared").alias("y_shared"))
+            enough = F.least("shared", "y_shared") * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+            pairs = left.join(right, "key").where((F.col("x.node") < F.col("y.node")) & (F.col("xl") != F.col("yl")) & enough & alike("x", "y", percent))
         low = F.col("x.node") < F.col("y.node")
         pairs = pairs.select(*[F.when(low, F.col(f"{s}.{c}")).otherwise(F.col(f"{t}.{c}")).alias(n) for s, t, c, n in (("x", "y", "node", "a"), ("x", "y", "n", "na"), ("y", "x", "node", "b"), ("y", "x", "n", "nb"))]).distinct()
         if tested is not None:
