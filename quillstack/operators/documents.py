@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..staging import discard, staged
 from . import trees
+from .bins import sequential_bins
 
 
 def _by(doc: str, order: str):
@@ -100,36 +101,30 @@ def splice(base: DataFrame, patch: DataFrame, at: int, doc: str = "doc_id", pos:
 
 
 def chunk_bins(rows: DataFrame, size: str, limit: int, doc: str = "doc_id", order: str = "ord") -> DataFrame:
-    """bin: rows in order, a new bin where the next one would go over ``limit``. Sequential within a document."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("bin", T.IntegerType())])
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        bins, used, now = [], 0, 0
-        for n in pdf[size].tolist():
-            if used and used + n > limit:
-                now, used = now + 1, 0
-            used += n
-            bins.append(now)
-        return pdf.assign(bin=bins)
-
-    return rows.groupBy(doc).applyInPandas(fill, schema)
+    """bin: rows in order, a new bin where the next one would go over ``limit``; a long document is cut over many tasks."""
+    return sequential_bins(rows, size, limit, doc, order)
 
 
 def greedy_pairs(scores: DataFrame, doc: str = "doc_id", left: str = "left_ord", right: str = "right_ord", score: str = "score", least: float = 0.3) -> DataFrame:
-    """One-to-one: each left entry, in order, takes the unused right entry that scores best (ties: the earlier)."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, done, keep = set(), set(), []
-        ordered = pdf.sort_values([left, score, right], ascending=[True, False, True])
-        for i, (a, b) in enumerate(zip(ordered[left].tolist(), ordered[right].tolist(), strict=True)):
-            if a not in done and b not in used:
-                done.add(a)
-                used.add(b)
-                keep.append(i)
-        return ordered.iloc[keep]
-
-    return scores.where(F.col(score) >= least).groupBy(doc).applyInPandas(pick, scores.schema)
+    """One-to-one: each left entry, in order, takes the unused right entry that scores best (ties: the earlier).
+
+    In rounds of joins: every left asks for the best right that it has left, every right holds the earliest that asks, and lefts later
+    than that lose it. As all rights prefer earlier lefts, what is held once nothing is lost is what lefts get one after another.
+    """
+    now = staged(scores.where(F.col(score) >= least), "greedy")
+    while True:
+        pick = F.min(F.struct(F.negate(score).alias("s"), F.col(right).alias("r")))
+        asked = now.groupBy(F.col(doc).alias("d"), F.col(left).alias("l")).agg(pick.alias("p")).select("d", "l", "p.r")
+        held = asked.groupBy("d", "r").agg(F.min("l").alias("holder"))
+        own = now.join(held, F.col(doc).eqNullSafe(F.col("d")) & (F.col(right) == F.col("r")), "left")
+        left_over = staged(own.where(F.col("holder").isNull() | (F.col(left) <= F.col("holder"))).select(*now.columns), "greedy")
+        if left_over.count() == now.count():
+            break
+        discard(now)
+        now = left_over
+    # the best row of each left, where pairs repeat
+    best = Window.partitionBy(doc, left).orderBy(F.desc(score), right)
+    return now.withColumn("__nth", F.row_number().over(best)).where("__nth = 1").drop("__nth")
 
 
 NODES = "doc_id long, node_id string, parent_id string, ord int, depth int, path string, type string, name string, text string"

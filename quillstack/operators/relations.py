@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import setjoin
 from .search import visible
 
 
-def jaccard_relations(books: DataFrame, min_score: float = 0.1, top_k: int = 10, most_common: int = 500) -> DataFrame:
+def _tagged(books: DataFrame) -> DataFrame:
+    return books.where(visible()).select("id", F.array_distinct(F.filter("tags", lambda t: t.isNotNull())).alias("tags")).where(F.size("tags") > 0)
+
+
+def jaccard_relations(books: DataFrame, min_score: float = 0.1, top_k: int = 10, most_common: int | None = None) -> DataFrame:
     """a, b, score, shared, place, in both directions, the top k of each a.
 
-    Shared tags count only where at most ``most_common`` rows have them, which bounds the pairs of a tag; set sizes count
-    all tags.
+    All tags count, however common, by an exact top-k set join. With ``most_common``, shared tags count only where at most so
+    many rows have them (a catalog's cut, 500 in the usual one); set sizes count all tags.
     """
-    own = books.where(visible()).select("id", F.array_distinct("tags").alias("tags")).where(F.size("tags") > 0).withColumn("size", F.size("tags"))
-    tagged = own.select("id", "size", F.explode("tags").alias("tag"))
+    own = _tagged(books)
+    if most_common is None:
+        return setjoin.top_k(own, own, top_k, min_score).select("a", "b", "score", "shared", "place")
+    tagged = own.select("id", F.size("tags").alias("size"), F.explode("tags").alias("tag"))
     rare = tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most_common)).select("tag")
     kept = tagged.join(rare, "tag")
     left, right = kept.select("tag", F.col("id").alias("a"), F.col("size").alias("na")), kept.select("tag", F.col("id").alias("b"), F.col("size").alias("nb"))
@@ -33,12 +40,22 @@ def related(relations: DataFrame, books: DataFrame, most: int = 6) -> DataFrame:
 
 
 def related_by_tags(books: DataFrame, of: DataFrame, most: int = 6, boost: int = 10) -> DataFrame:
-    """For each row of ``of`` the visible others that share most tags; the same series adds ``boost``."""
-    own = of.select(F.col("id").alias("a"), F.explode(F.array_distinct("tags")).alias("tag"))
-    other = books.where(visible()).select(F.col("id").alias("b"), F.explode(F.array_distinct("tags")).alias("tag"))
-    tags = own.join(other, "tag").where("a <> b").select("a", "b", F.lit(1).alias("w"))
-    series = of.select(F.col("id").alias("a"), "series").join(books.where(visible()).select(F.col("id").alias("b"), "series"), "series").where("a <> b").select("a", "b", F.lit(boost).alias("w"))
-    scores = tags.union(series).groupBy("a", "b").agg(F.sum("w").alias("weight"))
+    """For each row of ``of`` the visible others that share most tags; the same series adds ``boost``.
+
+    Those of any series come from a top-k join of the tags, those of the own series from one of the tags within it, filled up with the
+    first of the series that share no tag; so no list of a common tag or series is expanded into its pairs.
+    """
+    seen, own = _tagged(books), of.select("id", F.array_distinct(F.filter("tags", lambda t: t.isNotNull())).alias("tags")).where(F.size("tags") > 0)
+    far = setjoin.top_k(own, seen, most, 1.0, "shared").select("a", "b", F.col("shared").alias("weight"))
+    series = books.select("id", "series").where("series is not null")
+    of_series = of.select("id", "series").where("series is not null")
+    inside = lambda rows, named: rows.join(named, "id").select("id", F.transform("tags", lambda t: F.concat_ws("\u0001", "series", t)).alias("tags"))
+    near = setjoin.top_k(inside(own, of_series), inside(seen, series), most, 1.0, "shared").select("a", "b", (F.col("shared") + boost).alias("weight"))
+    heads = books.where(visible() & F.col("series").isNotNull()).select("series", F.col("id").alias("b"))
+    heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy("series").orderBy("b"))).where(F.col("nth") <= 2 * most + 1).select("series", "b")
+    # weights of those already found are higher, and the greatest counts
+    filled = of_series.select(F.col("id").alias("a"), "series").join(heads, "series").where("a <> b").select("a", "b", F.lit(boost).cast("long").alias("weight"))
+    scores = far.unionByName(near).unionByName(filled).groupBy("a", "b").agg(F.max("weight").alias("weight"))
     return scores.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))).where(F.col("nth") <= most)
 
 

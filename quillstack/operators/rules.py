@@ -1,10 +1,12 @@
-"""Rules as rows: conditions on fields, all of a rule's must hold; verdicts of events."""
+"""Rules as rows: conditions on fields, all of a rule's must hold; an index of rules by their literals; verdicts of events."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 def condition_holds(value, operator, pattern):
     """One condition; a null field, or an operator that isn't known, doesn't hold."""
@@ -20,21 +22,77 @@ def condition_holds(value, operator, pattern):
     return F.coalesce(test, F.lit(False))
 
 
-def matches(events: DataFrame, rules: DataFrame, conditions: DataFrame, fields: list[str], key: str = "event_id", tool: str = "tool", most: int = 10_000) -> DataFrame:
+#: Characters of a literal's piece by which rules are looked up.
+GRAM = 3
+
+
+def _gram_keys(field: Column, text: Column) -> Column:
+    """Keys of the pieces of a text in a field, without repeats."""
+    chars = F.split(text, "")
+    pieces = F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - (GRAM - 1), F.lit(0))), lambda c, i: F.xxhash64(F.lit("~"), field, F.concat(c, *[F.get(chars, i + n) for n in range(1, GRAM)])))
+    return F.when(F.length(text) >= GRAM, F.array_distinct(pieces)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _equal_key(field: Column, value: Column) -> Column:
+    return F.xxhash64(F.lit("="), field, value)
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest text that every match of a regular expression holds, of expressions made of plain characters, dots (with * or +)
+    and anchors alone; null for others."""
+    plain = r"^\^?(?:[^\\^$.|?*+()\[\]{}]|\.[*+]?)*\$?$"
+    runs = F.split(F.regexp_replace(pattern, r"[\^$]", ""), r"\.[*+]?")
+    return F.when(pattern.rlike(plain), F.aggregate(runs, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)))
+
+
+def condition_keys(field: Column, operator: Column, pattern: Column) -> Column:
+    """The keys that an event must have, all of them, for a condition to hold; none where a condition asks for no text."""
+    literal = F.when(operator.isin("contains", "starts_with", "ends_with"), pattern).when(operator == "regex_match", required_literal(pattern))
+    equal = F.when((operator == "equals") & pattern.isNotNull(), F.array(_equal_key(field, pattern)))
+    return F.coalesce(equal, F.when(literal.isNotNull(), _gram_keys(field, literal)), F.array().cast("array<bigint>"))
+
+
+def anchors(conditions: DataFrame) -> DataFrame:
+    """rule and key of the rules that have one: of the keys that its conditions ask for, the one that fewest rules ask for."""
+    keys = conditions.select("rule", F.explode(condition_keys(F.col("field"), F.col("operator"), F.col("pattern"))).alias("key")).distinct()
+    asked = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return keys.join(asked, "key").groupBy("rule").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+
+
+def matches(events: DataFrame, rules: DataFrame, conditions: DataFrame, fields: list[str], key: str = "event_id", tool: str = "tool", batch: int = 10_000) -> DataFrame:
     """key and rule of the events that a rule matches: its tool pattern (``*`` or names between ``|``) and all its conditions.
 
-    ``rules``: rule, tools, action, message. ``conditions``: rule, field, operator, pattern. Each event meets each rule, so
-    they are broadcast, after a count: more than ``most`` are refused. A rule without conditions matches nothing.
+    ``rules``: rule, tools, action, message. ``conditions``: rule, field, operator, pattern. A rule without conditions matches
+    nothing.
+
+    Rules are an inverted index: each is kept under one key that a matching event must have, a value it equals or a piece of a text
+    it holds, and an event meets the rules of its own keys only. Rules that ask for no text meet all events; they are broadcast in
+    batches of ``batch``, so any number is taken. Events of one key are told apart by their row.
     """
     each = conditions.groupBy("rule").agg(F.collect_list(F.struct("field", "operator", "pattern")).alias("conditions"))
     known = rules.join(each, "rule")
-    if known.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rules")
-    known = F.broadcast(known)
-    both = events.join(known, (F.col("tools") == "*") | F.array_contains(F.split("tools", r"\|"), F.col(tool)))
+    held = staged(anchors(conditions), "rule-anchors")
     values = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])
-    holds = F.forall("conditions", lambda c: condition_holds(F.try_element_at(values, c["field"]), c["operator"], c["pattern"]))
-    return both.where(holds).select(key, "rule", "action", "message")
+    rows = events.select(F.col(key).alias("event"), F.col(tool).alias("tool"), values.alias("values"))
+    fits = (F.col("tools") == "*") | F.array_contains(F.split("tools", r"\|"), F.col("tool"))
+    holds = F.forall("conditions", lambda c: condition_holds(F.try_element_at(F.col("values"), c["field"]), c["operator"], c["pattern"]))
+
+    own = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.concat(F.array(_equal_key(F.lit(f), F.col("values")[f])), _gram_keys(F.lit(f), F.col("values")[f])), F.array().cast("array<bigint>")) for f in fields])))
+    # a hash of the values stands for the row, which need not have a key of its own
+    named = rows.withColumn("row", F.xxhash64("event", "tool", F.map_entries("values")))
+    index = held.join(rules.select("rule", "tools"), "rule")
+    met = named.select("row", "tool", F.explode(own).alias("key")).join(index, "key").where(fits).select("row", "rule").distinct()
+    found = named.join(met, "row").join(known, "rule").where(holds)
+    out = found.select(F.col("event").alias(key), "rule", "action", "message")
+
+    rest = known.join(held, "rule", "left_anti")
+    batches = -(-rest.count() // batch)
+    for number in range(batches):
+        some = rest.where(F.pmod(F.xxhash64("rule"), F.lit(batches)) == number)
+        # about ``batch`` rules
+        both = rows.join(F.broadcast(some), fits).where(holds)
+        out = out.unionByName(both.select(F.col("event").alias(key), "rule", "action", "message"))
+    return out
 
 
 def verdicts(found: DataFrame, key: str = "event_id") -> DataFrame:

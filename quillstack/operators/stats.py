@@ -30,8 +30,8 @@ def stratified_split(rows: DataFrame, label: str, key: str, test_share: float =
     Rows are ranked within salted parts of a label and the parts' counts are added up, so a label that most rows have
     isn't ranked in one place.
     """
-    h = F.xxhash64(key, F.lit(seed))
-    part = F.shiftrightunsigned(h, 54)
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    part = F.substring(h, 1, 3)
     hashed = rows.withColumns({"h": h, "part": part})
     counts = hashed.groupBy(label, "part").agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy(label).orderBy("part")

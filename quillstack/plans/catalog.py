@@ -105,11 +105,10 @@ def skip_set(spark, d):
     return search.not_done(table(spark, d, "part").select("p_partkey"), done, failed, key="p_partkey")
 
 
-@query("SELECT p_partkey AS id, p_retailprice * 2 AS price FROM part WHERE p_size < 10 UNION ALL SELECT p_partkey, p_retailprice FROM part WHERE p_size >= 10 AND p_size < 30")
+@query("SELECT coalesce(s_suppkey + 0, p_partkey) AS id, coalesce(s_acctbal, p_retailprice) AS price FROM part FULL JOIN supplier ON s_suppkey = p_partkey")
 def state_upsert(spark, d):
-    parts = table(spark, d, "part")
-    old = parts.where("p_size < 30").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
-    new = parts.where("p_size < 10").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") * 2).alias("price"))
+    old = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
+    new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("price"))
     return search.upsert(old, new, ["id"])
 
 
@@ -178,8 +177,7 @@ def topic_sample(spark, d):
 
 
 RELATIONS = """, own AS (SELECT id, list_distinct(tags) AS tags, len(list_distinct(tags)) AS size FROM visible), tagged AS (SELECT id, size, unnest(tags) AS tag FROM own),
-rare AS (SELECT tag FROM tagged GROUP BY tag HAVING count(*) BETWEEN 2 AND 500), kept AS (SELECT * FROM tagged WHERE tag IN (SELECT tag FROM rare)),
-pairs AS (SELECT l.id AS a, r.id AS b, l.size AS na, r.size AS nb, count(*) AS shared FROM kept l JOIN kept r ON l.tag = r.tag AND l.id < r.id GROUP BY ALL),
+pairs AS (SELECT l.id AS a, r.id AS b, l.size AS na, r.size AS nb, count(*) AS shared FROM tagged l JOIN tagged r ON l.tag = r.tag AND l.id < r.id GROUP BY ALL),
 scored AS (SELECT a, b, shared / (na + nb - shared) AS score, shared FROM pairs WHERE shared / (na + nb - shared) >= 0.1),
 relations AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM (SELECT a, b, score, shared FROM scored UNION ALL SELECT b, a, score, shared FROM scored)) WHERE place <= 10)
 """
@@ -199,13 +197,13 @@ def related_precomputed(spark, d):
 @query(
     BOOKS
     + RELATIONS
-    + """, chosen AS (SELECT * FROM books WHERE id NOT IN (SELECT a FROM relations)), w AS (SELECT l.id AS a, r.id AS b, 1 AS w FROM (SELECT id, unnest(list_distinct(tags)) AS tag FROM chosen) l JOIN (SELECT id, unnest(list_distinct(tags)) AS tag FROM visible) r USING (tag) WHERE l.id <> r.id
+    + """, chosen AS (SELECT * FROM books WHERE id NOT IN (SELECT a FROM relations WHERE score >= 0.5)), w AS (SELECT l.id AS a, r.id AS b, 1 AS w FROM (SELECT id, unnest(list_distinct(tags)) AS tag FROM chosen) l JOIN (SELECT id, unnest(list_distinct(tags)) AS tag FROM visible) r USING (tag) WHERE l.id <> r.id
 UNION ALL SELECT c.id, v.id, 10 FROM chosen c JOIN visible v ON c.series = v.series WHERE c.id <> v.id), s AS (SELECT a, b, CAST(sum(w) AS BIGINT) AS weight FROM w GROUP BY a, b)
 SELECT a, b, weight, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS nth FROM s) WHERE nth <= 6"""
 )
 def related_fallback(spark, d):
     books = catalog(spark, d)
-    alone = books.join(relations.jaccard_relations(books).select(F.col("a").alias("id")), "id", "left_anti")
+    alone = books.join(relations.jaccard_relations(books).where("score >= 0.5").select(F.col("a").alias("id")), "id", "left_anti")
     return relations.related_by_tags(books, alone)
 
 

@@ -293,7 +293,7 @@ def trigger_rate(spark, d):
     return stats.trigger_rates(rows, ["l_returnflag"], "hit", "wanted").withColumn("rate", F.round("rate", 6))
 
 
-@query()
+@query("SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) <= greatest(1, floor(count(*) OVER (PARTITION BY quality) * 0.4)) AS is_test FROM labels")
 def stratified_split(spark, d):
     return stats.stratified_split(table(spark, d, "labels"), "quality", "doc_id").select("doc_id", "quality", "is_test")
 

@@ -104,9 +104,9 @@ def tag_systems(spark, d):
     return facets.tag_systems(catalog(spark, d))
 
 
-@query(BOOKS + "SELECT tag, count(*) AS n FROM (SELECT unnest(list_distinct(tags)) AS tag FROM visible) WHERE tag IN (SELECT p_brand FROM part WHERE p_size > 25) GROUP BY tag")
+@query(BOOKS + "SELECT tag, count(*) AS n FROM (SELECT unnest(list_distinct(tags)) AS tag FROM visible) WHERE tag IN (SELECT p_brand FROM part) GROUP BY tag")
 def vocabulary_counts(spark, d):
-    return facets.vocabulary_counts(catalog(spark, d), table(spark, d, "part").where("p_size > 25").select(F.col("p_brand").alias("tag")))
+    return facets.vocabulary_counts(catalog(spark, d), table(spark, d, "part").select(F.col("p_brand").alias("tag")))
 
 
 @query(BOOKS + "SELECT publisher AS value, count(*) AS n FROM visible WHERE contains(lower(publisher), 'd#1') GROUP BY publisher")

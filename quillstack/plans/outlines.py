@@ -67,13 +67,13 @@ def longest_names(spark, d):
     return outline.longest_names(headings(spark, d), ["doc_id", "level"], "title", "ord").select("doc_id", "level", "ord")
 
 
-@query(f"WITH {HEADINGS}, s AS (SELECT *, CAST(sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS chapter FROM headings) SELECT doc_id, chapter, substring(arg_min(title, ord), 1, 30) AS name, coalesce(string_agg(substring(title, 1, 9), '|' ORDER BY ord) FILTER (level = 2), '') AS headers FROM s WHERE chapter > 0 GROUP BY doc_id, chapter")
+@query(f"WITH {HEADINGS}, s AS (SELECT *, CAST(sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS chapter FROM headings) SELECT doc_id, chapter, arg_min(title, ord) AS name, coalesce(string_agg(title, '|' ORDER BY ord) FILTER (level = 2), '') AS headers FROM s WHERE chapter > 0 GROUP BY doc_id, chapter")
 def toc_preview(spark, d):
     out = outline.toc_preview(headings(spark, d), "doc_id", "ord", "level", "title")
-    return out.select("doc_id", "chapter", F.substring("name", 1, 30).alias("name"), F.array_join(F.transform("headers", lambda h: F.substring(h, 1, 9)), "|").alias("headers"))
+    return out.select("doc_id", "chapter", "name", F.array_join("headers", "|").alias("headers"))
 
 
-@query(f"WITH {HEADINGS}, h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS i FROM headings) SELECT doc_id, CAST(2 * i AS INTEGER) AS at, CASE WHEN level <> 4 THEN substring(title, 1, 20) ELSE 'Untitled' END AS chapter, '' AS headers FROM h")
+@query(f"WITH {HEADINGS}, h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS i FROM headings) SELECT doc_id, CAST(2 * i AS INTEGER) AS at, CASE WHEN level <> 4 THEN title ELSE 'Untitled' END AS chapter, '' AS headers FROM h")
 def toc_build(spark, d):
     nodes = documents.flatten_documents(_nested(spark, d))
     # children of one id in several places would mix: nodes are told apart by their place
@@ -153,7 +153,14 @@ def page_slugs(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), fn.slug(F.col("url")).alias("slug"), fn.extract(F.col("url"), r"^[a-z]+://([^/]+)").alias("host"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {HEADINGS}, w AS (SELECT doc_id, ord, level, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: x NOT IN ('', 'the', 'of'))) AS a FROM headings),
+p AS (SELECT l.doc_id, l.ord AS left_ord, r.ord AS right_ord, CASE WHEN least(len(l.a), len(r.a)) > 0 THEN len(list_intersect(l.a, r.a)) / greatest(len(l.a), len(r.a)) ELSE 0.0 END AS score FROM w l JOIN w r ON r.doc_id = l.doc_id AND r.ord BETWEEN l.ord - 3 AND l.ord + 3 WHERE l.level = 1 AND r.level > 1),
+s AS (SELECT * FROM p WHERE score >= 0.05), lefts AS (SELECT doc_id, left_ord, row_number() OVER (PARTITION BY doc_id ORDER BY left_ord) AS n FROM (SELECT DISTINCT doc_id, left_ord FROM s)),
+g AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS left_ord, CAST(NULL AS BIGINT) AS right_ord FROM s
+UNION ALL SELECT g.doc_id, l.n, list_append(g.used, arg_min(s.right_ord, (-s.score, s.right_ord))), l.left_ord, arg_min(s.right_ord, (-s.score, s.right_ord)) FROM g JOIN lefts l ON l.doc_id = g.doc_id AND l.n = g.n + 1 LEFT JOIN s ON s.doc_id = l.doc_id AND s.left_ord = l.left_ord AND NOT list_contains(g.used, s.right_ord) GROUP BY g.doc_id, l.n, l.left_ord, g.used)
+SELECT doc_id, left_ord, right_ord, s.score FROM g JOIN s USING (doc_id, left_ord, right_ord)"""
+)
 def heading_matches(spark, d):
     h = headings(spark, d).select("doc_id", "ord", "title", "level")
     left = h.where("level = 1").select("doc_id", F.col("ord").alias("left_ord"), F.col("title").alias("l"), F.posexplode(F.sequence(F.col("ord") - 3, F.col("ord") + 3)).alias("x", "right_ord"))

@@ -35,9 +35,9 @@ def fts_match(spark, d):
     return fulltext.matching(_index(spark, d), ["the", "and", "with"])
 
 
-@query(INDEX + ", dl AS (SELECT doc, sum(tf) AS dl FROM idx GROUP BY doc) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM idx GROUP BY term HAVING count(*) >= 20")
+@query(INDEX + ", dl AS (SELECT doc, sum(tf) AS dl FROM idx GROUP BY doc) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM idx GROUP BY term")
 def fts_index(spark, d):
-    return _index(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where("df >= 20")
+    return _index(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(
@@ -111,20 +111,34 @@ def list_splice(spark, d):
     return documents.splice(h.where("level <> 4"), h.where("level = 4"), 2).select("doc_id", "ord", F.col("pos").cast("long").alias("pos"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {HEADINGS}, h AS (SELECT doc_id, ord, length(title) AS size FROM headings), r AS (SELECT doc_id, ord, size, size AS used, 0 AS bin FROM h WHERE ord = 0
+UNION ALL SELECT h.doc_id, h.ord, h.size, CASE WHEN r.used > 0 AND r.used + h.size > 2000 THEN h.size ELSE r.used + h.size END, r.bin + CASE WHEN r.used > 0 AND r.used + h.size > 2000 THEN 1 ELSE 0 END FROM r JOIN h ON h.doc_id = r.doc_id AND h.ord = r.ord + 1) SELECT doc_id, ord, size, bin FROM r"""
+)
 def chunk_split(spark, d):
     h = headings(spark, d).withColumn("size", F.length("title"))
     return documents.chunk_bins(h.select("doc_id", "ord", "size"), "size", 2000)
 
 
-@query()
+def _last(mark: str, n: int) -> str:
+    """SQL of the last place (from 0) of a mark of n characters within those after the first of a rest of over 1000."""
+    return f"(CASE WHEN contains(substr(rest, 2, 1000), {mark}) THEN 1002 - {n} - instr(reverse(substr(rest, 2, 1000)), {mark}) ELSE 0 END)"
+
+
+_CUT = f"coalesce(nullif({_last('chr(10) || chr(10)', 2)}, 0), nullif({_last('chr(10)', 1)}, 0), nullif({_last('chr(32)', 1)}, 0), 1000)"
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT doc_id, 0 AS piece, text AS rest FROM documents WHERE length(text) > 0 UNION ALL SELECT * FROM (SELECT doc_id, piece + 1, regexp_replace(substr(rest, {_CUT} + 1), '^\\s+', '') AS rest FROM p WHERE length(rest) > 1000) WHERE rest <> '')
+SELECT doc_id, piece, CASE WHEN length(rest) > 1000 THEN {_CUT} ELSE length(rest) END AS size FROM p"""
+)
 def text_pieces(spark, d):
     return chunked(table(spark, d, "documents"), "doc_id", "text", 1000).select("doc_id", "piece", F.length("part").alias("size"))
 
 
 def _nested(spark, d):
     """The headings of each document as a nested JSON document, a section a heading, with its title as text."""
-    entry = F.struct(F.lit("section").alias("type"), F.when(F.col("level") != 4, F.substring("title", 1, 20)).alias("name"), F.concat(F.lit("s"), F.col("level").cast("string")).alias("id"), F.array("title").alias("entries"), "ord")
+    entry = F.struct(F.lit("section").alias("type"), F.when(F.col("level") != 4, F.col("title")).alias("name"), F.concat(F.lit("s"), F.col("level").cast("string")).alias("id"), F.array("title").alias("entries"), "ord")
     body = F.transform(F.array_sort(F.collect_list(entry), lambda a, b: (a["ord"] - b["ord"]).cast("int")), lambda e: F.struct(*[e[n].alias(n) for n in ("type", "name", "id", "entries")]))
     return headings(spark, d).groupBy("doc_id").agg(F.to_json(F.struct(body.alias("data"))).alias("body"))
 
@@ -139,7 +153,7 @@ def doc_nodes(spark, d):
 
 @query(
     f"""WITH {HEADINGS}, h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS i, row_number() OVER (PARTITION BY doc_id, level ORDER BY ord) AS nth FROM headings)
-SELECT doc_id, 'data[' || i || ']' AS path, 'error' AS severity, 'a section has no name' AS message FROM h WHERE level = 4 OR substring(title, 1, 20) = '' UNION ALL SELECT doc_id, 'data[' || i || ']', 'error', 'an id repeats' FROM h WHERE nth > 1
+SELECT doc_id, 'data[' || i || ']' AS path, 'error' AS severity, 'a section has no name' AS message FROM h WHERE level = 4 OR title = '' UNION ALL SELECT doc_id, 'data[' || i || ']', 'error', 'an id repeats' FROM h WHERE nth > 1
 UNION ALL SELECT doc_id, 'data[' || i || '].entries[0]', 'warning', 'a text is empty' FROM h WHERE trim(title) = ''"""
 )
 def doc_validate(spark, d):

@@ -36,12 +36,12 @@ def reading_ids(spark, d):
     return trees.reading_ids(headings(spark, d).withColumn("type", kind)).select("doc_id", "ord", "new_id")
 
 
-SHORT = "CASE length(title) % 3 WHEN 0 THEN substring(title, 1, 6) || ' (' || ord || ')' WHEN 1 THEN ord || '. ' || substring(title, 1, 6) ELSE substring(title, 1, 6) END"
+SHORT = "CASE length(title) % 3 WHEN 0 THEN title || ' (' || ord || ')' WHEN 1 THEN ord || '. ' || title ELSE title END"
 
 
 @query(f"WITH {HEADINGS}, t AS (SELECT doc_id, ord, {SHORT} AS title FROM headings), n AS (SELECT *, lower(trim(regexp_replace(regexp_replace(title, '\\s*\\(\\d+\\)\\s*$', ''), '^\\s*\\d+[.:;)]\\s*', ''))) AS name FROM t) SELECT doc_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY ord) AS nth FROM n) WHERE nth = 1 OR NOT regexp_matches(title, '\\(\\d+\\)\\s*$')")
 def toc_references(spark, d):
-    n, at, short = F.length("title"), F.col("ord").cast("string"), F.substring("title", 1, 6)
+    n, at, short = F.length("title"), F.col("ord").cast("string"), F.col("title")
     title = F.when(n % 3 == 0, F.concat(short, F.lit(" ("), at, F.lit(")"))).when(n % 3 == 1, F.concat(at, F.lit(". "), short)).otherwise(short)
     return documents.without_references(headings(spark, d).select("doc_id", "ord", title.alias("title"))).select("doc_id", "ord")
 
@@ -50,26 +50,26 @@ CLEAN = "trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 @query(
-    f"WITH {HEADINGS}, heads AS (SELECT doc_id, page * 4 + 3 AS spot, {CLEAN.format(c='string_agg(title, chr(32) ORDER BY ord)')} AS h FROM headings GROUP BY doc_id, page), e AS (SELECT doc_id, ord, page, {CLEAN.format(c='left(title, 30)')} AS t FROM headings WHERE level = 1), "
+    f"WITH {HEADINGS}, heads AS (SELECT doc_id, page * 4 + 3 AS spot, {CLEAN.format(c='string_agg(title, chr(32) ORDER BY ord)')} AS h FROM headings GROUP BY doc_id, page), e AS (SELECT doc_id, ord, page, {CLEAN.format(c='title')} AS t FROM headings), "
     "hit AS (SELECT e.doc_id, ord, spot, CASE WHEN abs(spot - page) <= 5 THEN 5 WHEN abs(spot - page) <= 15 THEN 15 WHEN abs(spot - page) <= 30 THEN 30 ELSE 60 END AS ring FROM e JOIN heads USING (doc_id) WHERE length(t) >= 6 AND abs(spot - page) <= 60 AND contains(h, t)) "
     "SELECT e.doc_id, e.ord, b.spot AS actual FROM e LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY ring, spot) AS nth FROM hit) WHERE nth = 1) b ON b.doc_id = e.doc_id AND b.ord = e.ord"
 )
 def found_titles(spark, d):
     h = headings(spark, d)
     heads = h.groupBy("doc_id", (F.col("page") * 4 + 3).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]), " ").alias("head"))
-    entries = h.where("level = 1").select("doc_id", "ord", F.substring("title", 1, 30).alias("title"), "page")
+    entries = h.select("doc_id", "ord", "title", "page")
     return documents.found_titles(entries, heads).select("doc_id", "ord", "actual")
 
 
 def _named(spark, d):
-    name = F.when(F.length("title") % 4 != 0, F.concat(F.substring("title", 1, 20), F.lit("#"), F.col("ord").cast("string")))
+    name = F.when(F.length("title") % 4 != 0, F.concat("title", F.lit("#"), F.col("ord").cast("string")))
     return headings(spark, d).select("doc_id", "ord", "level", name.alias("name"), "title")
 
 
 DEPTHS = f"{TREE}, r AS (SELECT *, 0 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.*, depth + 1 FROM r JOIN p ON p.doc_id = r.doc_id AND p.parent = r.ord)"
 
 
-@query(f"WITH RECURSIVE {DEPTHS} SELECT doc_id, CASE WHEN length(title) % 4 <> 0 THEN substring(title, 1, 20) || '#' || ord END AS name, CASE WHEN depth = 0 THEN 'section' ELSE 'entries' END AS type, CAST(depth AS INTEGER) AS depth, length(title) AS size FROM r")
+@query(f"WITH RECURSIVE {DEPTHS} SELECT doc_id, CASE WHEN length(title) % 4 <> 0 THEN title || '#' || ord END AS name, CASE WHEN depth = 0 THEN 'section' ELSE 'entries' END AS type, CAST(depth AS INTEGER) AS depth, length(title) AS size FROM r")
 def rebuilt_documents(spark, d):
     bodies = trees.rebuild(_named(spark, d), "doc_id", "ord", "level", "name", "title")
     nodes = typed.typed_nodes(bodies)
@@ -78,7 +78,7 @@ def rebuilt_documents(spark, d):
     return found.select("doc_id", "name", "type", "depth", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
 
 
-@query(f"WITH RECURSIVE {DEPTHS} SELECT doc_id, substring(title, 1, 20) || '#' || ord AS name, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS heading_id, least(depth + 1, 4) AS proposed_level FROM r WHERE length(title) % 4 <> 0")
+@query(f"WITH RECURSIVE {DEPTHS} SELECT doc_id, title || '#' || ord AS name, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS heading_id, least(depth + 1, 4) AS proposed_level FROM r WHERE length(title) % 4 <> 0")
 def named_headings(spark, d):
     bodies = trees.rebuild(_named(spark, d), "doc_id", "ord", "level", "name", "title")
     out = trees.named_headings(typed.typed_nodes(bodies))
@@ -120,7 +120,7 @@ def moved_nodes(spark, d):
 def _typed(spark, d):
     """Each document's headings as entries of several kinds, some of them faulty."""
     t, n = F.col("title"), F.length("title")
-    name = F.substring(F.regexp_replace(t, r"[{}\"\\]", ""), 1, 12)
+    name = F.regexp_replace(t, r"[{}\"\\]", "")
     section = F.struct(F.lit("section").alias("type"), F.when(n % 7 != 0, name).alias("name"), F.concat(F.lit("i"), (n % 50).cast("string")).alias("id"), F.array(F.concat(name, F.when(n % 2 == 0, F.lit(" {@spell x} {@odd y}")).otherwise(F.lit(" {")))).alias("entries"))
     grid = F.struct(F.when(n % 3 != 0, F.lit("table")).otherwise("grid").alias("type"), F.when(n % 2 == 0, F.array(F.lit("Armor Class"), F.lit("Speed"))).alias("colLabels"), F.array(F.array(n.cast("string"), name)).alias("rows"))
     listed = F.struct(F.lit("list").alias("type"), F.array(name, name).alias("items"))
@@ -131,7 +131,7 @@ def _typed(spark, d):
 
 
 @query(
-    f"""WITH {HEADINGS}, h AS (SELECT doc_id, ord, level, length(title) AS n, 'data[' || (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1) || ']' AS path FROM headings), name AS (SELECT doc_id, ord, left(regexp_replace(title, '[{{}}"\\\\]', '', 'g'), 12) AS name FROM headings),
+    f"""WITH {HEADINGS}, h AS (SELECT doc_id, ord, level, length(title) AS n, 'data[' || (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1) || ']' AS path FROM headings), name AS (SELECT doc_id, ord, regexp_replace(title, '[{{}}"\\\\]', '', 'g') AS name FROM headings),
 i AS (SELECT *, lag(path) OVER (PARTITION BY doc_id, n % 50 ORDER BY ord) AS prev FROM h WHERE level = 1)
 SELECT doc_id, path, 'warning' AS severity, 'section has no name' AS message FROM h JOIN name USING (doc_id, ord) WHERE level = 1 AND (n % 7 = 0 OR name = '') UNION ALL SELECT doc_id, path, 'warning', 'the id stands at ' || prev || ' too' FROM i WHERE prev IS NOT NULL
 UNION ALL SELECT doc_id, path || '.entries[0]', 'error', 'unknown tags odd' FROM h WHERE level = 1 AND n % 2 = 0 UNION ALL SELECT doc_id, path || '.entries[0]', 'warning', 'braces don''t close' FROM h WHERE level = 1 AND n % 2 = 1

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .published import publish
+
 FILE_RECORD = "id string, name string, mimeType string, parentPath string, size string, modifiedTime string, parents array<string>"
 
 
@@ -201,8 +203,9 @@ def salvaged(text: str):
 
 
 def write_replace(df: DataFrame, path: str) -> None:
-    """A full refresh; ``df`` may not read ``path`` itself."""
-    df.write.mode("overwrite").parquet(path)
+    """A full refresh, read by ``published.read_published``: the new version is written aside and then published, so a reader sees the old
+    one or the new one, also where a writer fails midway. ``df`` may read the old one."""
+    publish(df, path)
 
 
 def write_split(df: DataFrame, error: str, good: str, bad: str) -> None:

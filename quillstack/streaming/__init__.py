@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.quality import latest
+from ..sources.paged import stream_pages
 from ..staging import fresh_path
 
 
@@ -73,6 +74,28 @@ def sync_changes(changes: DataFrame, state: str, checkpoint: str, schema: str, k
     return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sync_pages(spark: SparkSession, path: str, state: str, checkpoint: str, schema: str, key: str = "id", base_every: int = 20) -> StreamingQuery:
+    """Folds the pages of a listing (see ``sources.paged``) into the state, all complete walks that there are: records with ``deleted`` are
+    deletes, those with ``root`` are left out. After a restart of the walk the state begins anew with what it gives."""
+    rows = stream_pages(spark, path)
+    columns = [c.strip().split()[0] for c in schema.split(",")]
+    has = lambda name: F.try_variant_get(F.try_parse_json("record"), f"$.{name}", "variant").isNotNull()
+    op = F.when(has("deleted"), "delete").when(has("root"), "root").otherwise("upsert")
+    changes = rows.select("restart", F.from_json("record", schema).alias("r"), F.struct("page", "place").alias("seq"), op.alias("op")).select("restart", "r.*", "seq", "op")
+
+    def fold(batch: DataFrame, number: int) -> None:
+        anew = not batch.where("restart").isEmpty()
+        last = latest(batch.where("op <> 'root'"), [key], ["seq"]).select(*columns, "op")
+        if anew:
+            last = last.where("op <> 'delete'").withColumn("op", F.lit(None).cast("string"))
+        last.write.mode("overwrite").parquet(version_path(state, number, anew))
+        if not anew and number % base_every == base_every - 1:
+            whole = read_state(batch.sparkSession, state, schema, number + 1, key).select(*columns).withColumn("op", F.lit(None).cast("string"))
+            whole.write.mode("overwrite").parquet(version_path(state, number, True))
+
+    return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def cold_rescan(spark: SparkSession, path: str, schema: str, key: str = "id") -> tuple[str, StreamingQuery]:
     """Reads all changes of ``path`` again into a state of its own with a checkpoint of its own: the state's folder and the
     query. For checkpoints or states that can't be used any more."""
