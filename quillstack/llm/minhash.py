@@ -7,8 +7,8 @@ minimum, which a linked pair fails by six standard deviations or more only, and
 from alternating large-star and small-star rounds.
 
 Equal sets are one class with one member in the buckets, so copies are never paired. Nor is a bucket of near copies expanded into
-its pairs: its classes are first compared with the one that shares most bucket places with others, then with one drawn by hash, and
-what links is merged; then only pairs of different components that still meet in a bucket are compared, and of these only documents
+its pairs: its classes are first compared with the one that shares most bucket places with others, then, for as long as that links some
+(six times at most), with one drawn from those not linked yet, and what links is merged; then only pairs of different components that still meet in a bucket are compared, and of these only documents
 of which enough is found in others of such buckets for the overlap that the two sizes ask for. Nothing is capped.
 
 Shingles, sets and buckets are 64-bit hashes.
@@ -139,20 +139,22 @@ def shared_counts(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return grams.join(several, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def linked(postings: DataFrame, sets: DataFrame, same: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+def linked(postings: DataFrame, sets: DataFrame, same: DataFrame, percent: int, rounds: int = 6) -> DataFrame:
     """node and label of the classes that link and aren't their component's least; ``postings``: key, node, n, sketch, central,
     ``same``: classes (a, b) that hold rows of one doc_id."""
-    edges, labels, tested = same, None, None
+    edges, labels, tested, last = same, None, None, False
     facts = F.struct("node", "n", *_SKETCH)
     for step in range(rounds + 1):
+        last = last or step == rounds
         p = postings.withColumn("label", F.col("node"))
         if labels is not None:
             p = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        first = F.col("central") if step == 0 else F.xxhash64("node", F.lit(step))
+        # later leaders are drawn from those that no leader has linked yet, as far as there are any
+        first = F.col("central") if step == 0 else F.struct(F.col("label") == F.col("node"), F.xxhash64("node", F.lit(step)))
         lead = F.max_by(F.struct("node", "n", *_SKETCH, "label"), F.struct(first, "node"))
         lists = p.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), lead.alias("y")).where("low < high")
         x = p.select("key", F.col("label").alias("xl"), facts.alias("x"))
-        if step < rounds:
+        if not last:
             pairs = x.join(lists.select("key", "y"), "key").where((F.col("xl") != F.col("y.label")) & alike("x", "y", percent))
         else:
             # a partner is in such a bucket too, so what no other document of these holds is no overlap
@@ -167,13 +169,21 @@ def linked(postings: DataFrame, sets: DataFrame, same: DataFrame, percent: int,
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "minhash-pairs")
+        over = last
         if pairs.isEmpty():
+            if over:
+                break
+            last = True
             continue
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         found = staged(confirmed(pairs, sets, percent), "minhash-links")
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = connected_components(edges).select("node", "label")
+        else:
+            last = True
+        if over:
+            break
     return labels if labels is not None else connected_components(edges).select("node", "label")
 
 
