@@ -2,6 +2,9 @@
 
 The state lives in Spark's state store (RocksDB) and is committed with each micro-batch, so a restart goes on where the last committed
 batch ended. It can be read back as a table from the checkpoint.
+
+Timers and times to live run by processing time, for which Spark plans batches for as long as a query runs: such a query is run
+continuously, or a batch at a time with the trigger ``once``; with ``availableNow`` it would not end.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ def use_rocksdb(spark: SparkSession) -> None:
 class _Latest(StatefulProcessor):
     """The newest change of a key; a deleted key is remembered for a while, so that late older changes don't bring it back."""
 
-    def __init__(self, columns: list[str], kept: T.StructType, remember_ms: int):
-        self.columns, self.kept, self.remember_ms = columns, kept, remember_ms
+    def __init__(self, key: str, columns: list[str], kept: T.StructType, remember_ms: int):
+        self.key, self.columns, self.kept, self.remember_ms = key, columns, kept, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -42,7 +45,7 @@ class _Latest(StatefulProcessor):
         self.state.update((best["seq"], gone, until, *[None if gone else best[c] for c in self.columns]))
         if gone:
             self.handle.registerTimer(until)
-        yield Row(*key, *[best[c] for c in self.columns], best["seq"], best["op"])
+        yield Row(**{c: best[c] for c in (self.key, *self.columns, "seq", "op")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         known = self.state.get() if self.state.exists() else None
@@ -66,7 +69,7 @@ def keyed_changes(changes: DataFrame, key: str = "id", remember_ms: int = 86_400
     # state values are nullable, as those of a deleted key are empty
     kept = T.StructType([T.StructField("seq", T.LongType()), T.StructField("deleted", T.BooleanType()), T.StructField("until", T.LongType()), *[T.StructField(c, fields[c].dataType) for c in columns]])
     out = T.StructType([fields[key], *[fields[c] for c in columns], T.StructField("seq", T.LongType()), T.StructField("op", T.StringType())])
-    return changes.groupBy(key).transformWithState(_Latest(columns, kept, remember_ms), outputStructType=out, outputMode="Update", timeMode="ProcessingTime")
+    return changes.groupBy(key).transformWithState(_Latest(key, columns, kept, remember_ms), outputStructType=out, outputMode="Update", timeMode="ProcessingTime")
 
 
 def keyed_table(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:

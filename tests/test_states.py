@@ -26,7 +26,7 @@ def run_keyed(spark, feed, checkpoint, out, **more):
     changes = streaming.read_changes(spark, str(feed), "id string, v long, seq long, op string", 1)
     found = keyed.keyed_changes(changes, **more)
     query = found.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("append").json(str(out)))
-    query.option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
+    query.option("checkpointLocation", str(checkpoint)).trigger(once=True).start().awaitTermination()
     return {r["id"]: r["v"] for r in keyed.keyed_table(spark, str(checkpoint)).collect()}
 
 
@@ -72,7 +72,7 @@ def test_emitted_rows_come_again_after_their_time(spark, tmp_path):
     for n in range(2):
         put(feed, n, [("s", n)], ("session", "seq"))
         stream = spark.readStream.schema("session string, seq long").json(str(feed))
-        keyed.emit_once(stream, ["session"], "seq", keep_ms=1).writeStream.format("json").option("path", str(out)).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        keyed.emit_once(stream, ["session"], "seq", keep_ms=1).writeStream.format("json").option("path", str(out)).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(once=True).start().awaitTermination()
     assert sorted(r["seq"] for r in spark.read.json(str(out)).collect()) == [0, 1]
 
 
