@@ -8,8 +8,8 @@ from alternating large-star and small-star rounds.
 
 Equal sets are one class with one member in the buckets, so copies are never paired. Nor is a bucket of near copies expanded into
 its pairs: its classes are first compared with the one that shares most bucket places with others, then, for as long as that links some
-(six times at most), with one drawn from those not linked yet, and what links is merged; then only pairs of different components that still meet in a bucket are compared, and of these only documents
-of which enough is found in others of such buckets for the overlap that the two sizes ask for. Nothing is capped.
+(six times at most), with one drawn from those not linked yet, and what links is merged. What is left are classes that still meet others of different components in a bucket: of these, pairs are compared
+that share one of their rarest shingles, early enough in both for the overlap that the two sizes ask for. Nothing is capped.
 
 Shingles, sets and buckets are 64-bit hashes.
 
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import chunks, discard, fresh_worker, mix, narrowed, small_batches, staged
 from .components import connected_components
@@ -132,11 +133,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return summed.where(F.col("o") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def shared_counts(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node and shared: how many of its shingles other ``nodes`` hold too."""
-    grams = sets.join(nodes, "node", "left_semi").select("node", F.explode("grams").alias("gram"))
-    several = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    return grams.join(several, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+def early_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """gram, node and pos of the shingles of ``nodes`` (node, n) that a link can begin with: shingles are ordered by the number of nodes
+    that hold them, those that no other holds first, and a partner shares one of the first n less the overlap that it needs, and one."""
+    grams = sets.join(nodes, "node").select("node", "n", F.explode("grams").alias("gram"))
+    several = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    own = Window.partitionBy("node")
+    shared = grams.join(several, "gram").withColumn("pos", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("many", "gram")) - 1)
+    return shared.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("gram", "node", "pos")
 
 
 def linked(postings: DataFrame, sets: DataFrame, same: DataFrame, percent: int, rounds: int = 6) -> DataFrame:
@@ -150,20 +154,26 @@ def linked(postings: DataFrame, sets: DataFrame, same: DataFrame, percent: int,
         if labels is not None:
             p = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         # later leaders are drawn from those that no leader has linked yet, as far as there are any
-        first = F.col("central") if step == 0 else F.struct(F.col("label") == F.col("node"), F.xxhash64("node", F.lit(step)))
-        lead = F.max_by(F.struct("node", "n", *_SKETCH, "label"), F.struct(first, "node"))
+        prior = F.xxhash64("node", F.lit(step)).cast("double") + F.when(F.col("label") == F.col("node"), 1e20).otherwise(0.0)
+        p = p.withColumn("prior", F.col("central").cast("double") if step == 0 else prior)
+        lead = F.max_by(F.struct("node", "n", *_SKETCH, "label", "prior"), F.struct("prior", "node"))
         lists = p.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), lead.alias("y")).where("low < high")
         x = p.select("key", F.col("label").alias("xl"), facts.alias("x"))
         if not last:
             pairs = x.join(lists.select("key", "y"), "key").where((F.col("xl") != F.col("y.label")) & alike("x", "y", percent))
+            # of the leaders of its buckets a class meets the first
+            best = F.max_by(F.struct("x", "y"), F.struct("y.prior", "y.node")).alias("p")
+            pairs = pairs.groupBy(F.col("x.node").alias("of")).agg(best).select("p.x", "p.y")
         else:
-            # a partner is in such a bucket too, so what no other document of these holds is no overlap
-            x = staged(x.join(lists.select("key"), "key", "left_semi"), "minhash-open")
-            counts = staged(shared_counts(x.select("x.node").distinct(), sets), "minhash-shared")
-            left = x.select("key", "xl", "x", F.col("x.node").alias("node")).join(counts, "node").where(F.col("shared") * 100 >= percent * F.col("x.n")).drop("node")
-            right = left.select("key", F.col("xl").alias("yl"), F.col("x").alias("y"), F.col("shared").alias("y_shared"))
-            enough = F.least("shared", "y_shared") * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
-            pairs = left.join(right, "key").where((F.col("x.node") < F.col("y.node")) & (F.col("xl") != F.col("yl")) & enough & alike("x", "y", percent))
+            open_ = staged(x.join(lists.select("key"), "key", "left_semi").select("xl", "x", F.col("x.node").alias("node"), F.col("x.n").alias("n")).dropDuplicates(["node"]), "minhash-open")
+            places = staged(early_shingles(open_.select("node", "n"), sets, percent).join(open_.drop("n"), "node"), "minhash-early")
+            mixed = places.groupBy("gram").agg(F.min("xl").alias("low"), F.max("xl").alias("high")).where("low < high").select("gram")
+            left = places.join(mixed, "gram", "left_semi").select("gram", "xl", "x", "pos")
+            right = left.select("gram", F.col("xl").alias("yl"), F.col("x").alias("y"), F.col("pos").alias("y_pos"))
+            # of the overlap that the sizes ask for the first shingle has at most so many before it
+            needs = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(percent / (100 + percent)) - 1e-9)
+            placed = (F.col("pos") <= F.col("x.n") - needs) & (F.col("y_pos") <= F.col("y.n") - needs)
+            pairs = left.join(right, "gram").where((F.col("x.node") < F.col("y.node")) & (F.col("xl") != F.col("yl")) & placed & alike("x", "y", percent))
         low = F.col("x.node") < F.col("y.node")
         pairs = pairs.select(*[F.when(low, F.col(f"{s}.{c}")).otherwise(F.col(f"{t}.{c}")).alias(n) for s, t, c, n in (("x", "y", "node", "a"), ("x", "y", "n", "na"), ("y", "x", "node", "b"), ("y", "x", "n", "nb"))]).distinct()
         if tested is not None:
