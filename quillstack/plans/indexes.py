@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import edits, impact, relations, rules, sketches, stored
+from ..operators import edits, impact, relations, rules, sketches, stored, tools
 from ..staging import fresh_path
 from .tables import BOOKS, catalog, table
 from .texts import INDEX
@@ -81,7 +81,7 @@ def jaccard_hot_tag(spark, d):
     """WITH r AS (SELECT p_partkey AS rule, CASE p_partkey % 3 WHEN 0 THEN '*' WHEN 1 THEN 'click|view' ELSE 'purchase' END AS tools, CASE WHEN p_partkey % 5 = 0 THEN 'block' ELSE 'warn' END AS action, p_name AS message, CAST(p_size % 10 AS VARCHAR) AS digit FROM part),
 m AS (SELECT event_id, rule, action, message FROM (SELECT *, CAST(value AS VARCHAR) AS v FROM events) JOIN r ON (tools = '*' OR list_contains(string_split(tools, '|'), event_type))
 WHERE CASE rule % 6 WHEN 0 THEN props = '{"k": ' || rule % 100 || '}' WHEN 1 THEN contains(props, '"k": ' || rule % 100 || '}') AND starts_with(v, digit) WHEN 2 THEN ends_with(props, ': ' || rule % 100 || '}') AND NOT contains(v, digit)
-WHEN 3 THEN regexp_matches(props, '^.*k": ' || rule % 100 || '.$') WHEN 4 THEN starts_with(props, '{"k": ' || rule % 100) AND event_type = 'view' ELSE regexp_matches(v, '^[' || digit || ']7.0') END)
+WHEN 3 THEN props LIKE '%k": ' || rule % 100 || '_' WHEN 4 THEN starts_with(props, '{"k": ' || rule % 100) AND event_type = 'view' ELSE v LIKE digit || '7_0%' END)
 SELECT event_id, CASE WHEN bool_or(action = 'block') THEN 'block' ELSE 'warn' END AS verdict, CASE WHEN bool_or(action = 'block') THEN string_agg(message, chr(10) ORDER BY rule, message) FILTER (action = 'block') ELSE string_agg(message, chr(10) ORDER BY rule, message) FILTER (action = 'warn') END AS messages FROM m GROUP BY event_id"""
 )
 def rule_index_verdict(spark, d):
@@ -174,3 +174,26 @@ def distinct_by_month(spark, d):
     merged = sketches.merged(kept, F.substring("day", 1, 7).alias("month"))
     exact = rows.groupBy(F.substring("day", 1, 7).alias("month")).agg(F.countDistinct("user_id").alias("n"))
     return exact.join(merged, "month").select("month", "n", (F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(1), 0.05 * F.col("n"))).alias("near"))
+
+
+# the surface of tool functions
+
+
+@query(
+    BOOKS
+    + """, hit AS (SELECT * FROM visible WHERE publisher = 'Brand#3' AND list_contains(tags, 'red') AND min_level <= 10 AND max_level >= 5), p AS (SELECT *, row_number() OVER (ORDER BY page_count DESC, id) AS nth, count(*) OVER () AS total FROM hit)
+SELECT id, display_title AS title, page_count, total, CAST(ceil(total / 100) AS BIGINT) AS total_pages FROM p WHERE nth <= 100"""
+)
+def tool_search(spark, d):
+    found = tools.search_books(catalog(spark, d), publisher="Brand#3", tags="red, ", tier=2, sort="page_count", sort_dir="desc", per_page=1000)
+    return found.select("id", "title", "page_count", "total", "total_pages")
+
+
+@query(BOOKS + "SELECT id, display_title AS title FROM visible WHERE list_contains(tags, 'blue') ORDER BY display_title, id LIMIT 200")
+def tool_tag(spark, d):
+    return tools.find_books_by_tag(catalog(spark, d), "blue", 5000).select("id", "title")
+
+
+@query(BOOKS + "SELECT id, display_title AS title, page_count FROM visible WHERE game_system = 'PROMO'")
+def tool_topic(spark, d):
+    return tools.get_topic(catalog(spark, d), "game_system", "PROMO")[1].select("id", "title", "page_count")
