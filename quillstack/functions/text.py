@@ -22,6 +22,9 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+# fixed values: the patterns of file names and the words of drafts, below
+
+
 def version_flags(name: Column) -> list[Column]:
     """is_old_version and version_generation from a suffix such as ``.old-002.pdf``."""
     old = name.rlike(r"(?i)\.old(-\d+)?\.pdf$")

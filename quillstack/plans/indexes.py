@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import edits, impact, relations, rules, sketches, stored, tools
+from ..operators import edits, impact, pages, relations, rules, sketches, stored, tools
 from ..staging import fresh_path
 from .tables import BOOKS, catalog, table
 from .texts import INDEX
@@ -197,3 +197,63 @@ def tool_tag(spark, d):
 @query(BOOKS + "SELECT id, display_title AS title, page_count FROM visible WHERE game_system = 'PROMO'")
 def tool_topic(spark, d):
     return tools.get_topic(catalog(spark, d), "game_system", "PROMO")[1].select("id", "title", "page_count")
+
+
+# pages of topics
+
+
+_LINK = "'[[' || replace({}, ' / ', ' - ') || ']]'"
+_HEAD = "'---' || chr(10) || 'type: {kind}' || chr(10) || 'name: \"' || name || '\"' || chr(10) || 'book_count: ' || n{more} || chr(10) || '---' || chr(10) || chr(10) || '# ' || {title} || chr(10) || chr(10)"
+
+
+def _line(label: str, links: str) -> str:
+    return f" || coalesce('**{label}:** ' || {links} || chr(10) || chr(10), '')"
+
+
+def _digest(rows):
+    return rows.select("name", F.md5(F.col("page").cast("binary")).alias("page"))
+
+
+@query(
+    BOOKS
+    + f""", s AS (SELECT game_system AS name, count(*) AS n FROM visible GROUP BY game_system), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) AS r FROM s), c AS (SELECT game_system AS name, tag, row_number() OVER (PARTITION BY game_system ORDER BY count(*) DESC, tag) AS place FROM (SELECT game_system, unnest(tags) AS tag FROM visible) GROUP BY game_system, tag),
+t AS (SELECT name, string_agg({_LINK.format('tag')}, ' · ' ORDER BY place) AS tags FROM c WHERE place <= 5 GROUP BY name), a AS (SELECT x.name, string_agg({_LINK.format('y.name')}, ' · ' ORDER BY y.r) AS also FROM s x JOIN o y ON y.name <> x.name WHERE y.r <= 5 OR (y.r = 6 AND x.name IN (SELECT name FROM o WHERE r <= 5)) GROUP BY x.name)
+SELECT name, md5({_HEAD.format(kind='game_system', more='', title='name')}{_line('Top tags', 'tags')}{_line('See also', 'also')}) AS page FROM s LEFT JOIN t USING (name) LEFT JOIN a USING (name)"""
+)
+def system_pages(spark, d):
+    return _digest(pages.system_pages(catalog(spark, d)))
+
+
+@query(
+    BOOKS
+    + f""", g AS (SELECT list_distinct(tags) AS tags, game_system FROM visible), u AS (SELECT unnest(tags) AS name, game_system, tags FROM g), s AS (SELECT name, count(*) AS n FROM u GROUP BY name),
+c AS (SELECT name, game_system, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, game_system) AS place FROM u GROUP BY name, game_system), t AS (SELECT name, string_agg({_LINK.format('game_system')}, ' · ' ORDER BY place) AS systems FROM c WHERE place <= 5 GROUP BY name),
+p AS (SELECT name, other, count(*) AS k FROM (SELECT name, unnest(tags) AS other FROM u) WHERE other <> name GROUP BY name, other), q AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k DESC, other) AS place FROM p), r AS (SELECT name, string_agg({_LINK.format('other')}, ' · ' ORDER BY place) AS related FROM q WHERE place <= 8 GROUP BY name)
+SELECT name, md5({_HEAD.format(kind='tag', more='', title="replace(name, '_', ' ')")}{_line('Game systems', 'systems')}{_line('Related tags', 'related')}) AS page FROM s LEFT JOIN t USING (name) LEFT JOIN r USING (name)"""
+)
+def tag_pages(spark, d):
+    return _digest(pages.tag_pages(catalog(spark, d)))
+
+
+@query(
+    BOOKS
+    + f""", s AS (SELECT series AS name, count(*) AS n, arg_min(game_system, id) AS sys, arg_min(publisher, id) AS pub FROM visible WHERE series IS NOT NULL GROUP BY series), c AS (SELECT name, tag, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, tag) AS place FROM (SELECT series AS name, unnest(tags) AS tag FROM visible WHERE series IS NOT NULL) GROUP BY name, tag),
+t AS (SELECT name, string_agg({_LINK.format('tag')}, ' · ' ORDER BY place) AS tags FROM c WHERE place <= 5 GROUP BY name)
+SELECT name, md5({_HEAD.format(kind='series', more=" || chr(10) || 'game_system: \"' || sys || '\"' || chr(10) || 'publisher: \"' || pub || '\"'", title='name')}{_line('System', _LINK.format('sys'))}{_line('Publisher', _LINK.format('pub'))}{_line('Tags', 'tags')}) AS page FROM s LEFT JOIN t USING (name)"""
+)
+def series_pages(spark, d):
+    return _digest(pages.series_pages(catalog(spark, d)))
+
+
+def _largest(rows: str, most: int) -> str:
+    return f"coalesce((SELECT string_agg({_LINK.format('v')} || ' (' || n || ')', ' · ' ORDER BY n DESC, v) FROM (SELECT v, count(*) AS n FROM (SELECT {rows} AS v FROM visible) WHERE v IS NOT NULL GROUP BY v ORDER BY n DESC, v LIMIT {most})), '')"
+
+
+@query(
+    BOOKS
+    + "SELECT 'home' AS name, md5('---' || chr(10) || 'type: home' || chr(10) || '---' || chr(10) || chr(10) || '**' || count(*) || ' books** · **' || count(date_enriched) || ' enriched**'"
+    + "".join(f" || chr(10) || chr(10) || '## {title}' || chr(10) || chr(10) || {_largest(rows, most)}" for title, rows, most in (("Game systems", "game_system", 20), ("Tags", "unnest(tags)", 40), ("Series", "series", 20), ("Publishers", "publisher", 20)))
+    + ") AS page FROM visible"
+)
+def home_page(spark, d):
+    return _digest(pages.home_page(catalog(spark, d)))
