@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import markdown
 from ..operators import edits, impact, pages, relations, rules, sketches, stored, tools
 from ..staging import fresh_path
-from .tables import BOOKS, catalog, table
+from .tables import BOOKS, HEADINGS, catalog, headings, table
 from .texts import INDEX
 
 QUERIES: dict = {}
@@ -257,3 +258,22 @@ def _largest(rows: str, most: int) -> str:
 )
 def home_page(spark, d):
     return _digest(pages.home_page(catalog(spark, d)))
+
+
+# formatted texts
+
+
+@query(
+    f"""WITH {HEADINGS}, h AS (SELECT *, length(title) AS n, regexp_replace(title, '([\\\\*_`\\[\\]])', '\\\\\\1', 'g') AS safe FROM headings), r AS (SELECT *, CASE WHEN title = '' THEN '' ELSE CASE WHEN n % 6 = 0 THEN '[' ELSE '' END || CASE WHEN n % 5 = 0 AND level > 1 THEN '~~' ELSE '' END || CASE WHEN n % 3 = 0 AND level > 1 THEN '**' ELSE '' END || CASE WHEN n % 7 = 0 THEN '`' || title || '`' ELSE safe END
+|| CASE WHEN n % 3 = 0 AND level > 1 THEN '**' ELSE '' END || CASE WHEN n % 5 = 0 AND level > 1 THEN '~~' ELSE '' END || CASE WHEN n % 6 = 0 THEN '](u' || n || ')' ELSE '' END END AS line FROM h),
+e AS (SELECT doc_id, ord, CASE level WHEN 1 THEN CASE WHEN trim(line) = '' THEN '' ELSE '## ' || line END WHEN 2 THEN CASE WHEN trim(line) = '' THEN '' ELSE line END WHEN 3 THEN '  1. ' || line ELSE '| ' || replace(title, '|', '\\|') || ' | ' || n || ' |' || chr(10) || '| --- | --- |' END AS line FROM r)
+SELECT doc_id, md5(regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY ord), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') || chr(10)) AS page FROM e GROUP BY doc_id"""
+)
+def markdown_documents(spark, d):
+    n = F.length("title")
+    run = F.struct(F.col("title").alias("text"), (n % 3 == 0).alias("bold"), F.lit(False).alias("italic"), (n % 5 == 0).alias("strike"), F.when(n % 7 == 0, "Consolas").alias("font"), F.when(n % 6 == 0, F.concat(F.lit("u"), n.cast("string"))).alias("link"), F.lit(None).cast("boolean").alias("image"))
+    kind = F.when(F.col("level") <= 2, "paragraph").when(F.col("level") == 3, "item").otherwise("table")
+    depth = F.when(F.col("level") == 1, 2).when(F.col("level") == 2, 0).otherwise(1)
+    one = F.struct("ord", kind.alias("kind"), depth.alias("level"), F.lit(True).alias("ordered"), F.array(run).alias("runs"), F.array(F.array(F.col("title"), n.cast("string"))).alias("rows"))
+    rows = headings(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(one), lambda a, b: (a["ord"] - b["ord"]).cast("int")).alias("elements"))
+    return rows.select("doc_id", F.md5(markdown.document(F.col("elements")).cast("binary")).alias("page"))

@@ -126,3 +126,9 @@ def test_deltas_bases_and_a_cold_rescan(spark, tmp_path):
     again, query = streaming.cold_rescan(spark, str(feed), schema)
     query.awaitTermination()
     assert {r["id"]: r["v"] for r in streaming.read_state(spark, again, schema).collect()} == want
+
+
+def test_whole_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"data":\n[1]}\n')
+    (tmp_path / "b.json").write_text("")
+    assert {(r["path"].rsplit("/", 1)[1], r["text"]) for r in sources.read_whole(spark, str(tmp_path)).collect()} >= {("a.json", '{"data":\n[1]}\n')}
