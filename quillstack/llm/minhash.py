@@ -7,8 +7,8 @@ minimum, which a linked pair fails by six standard deviations or more only, and
 from alternating large-star and small-star rounds.
 
 Equal sets are one class with one member in the buckets, so copies are never paired. Nor is a bucket of near copies expanded into
-its pairs: its classes are first compared with the one that shares most bucket places with others, then, for as long as that links some
-(six times at most), with one drawn from those not linked yet, and what links is merged. What is left are classes that still meet others of different components in a bucket: of these, pairs are compared
+its pairs: its classes are first compared with the one that shares most bucket places with others, then with one drawn from those
+not linked yet, and what links is merged. What is left are classes that still meet others of different components in a bucket: of these, pairs are compared
 that share one of their rarest shingles, early enough in both for the overlap that the two sizes ask for. Nothing is capped.
 
 Shingles, sets and buckets are 64-bit hashes.
@@ -143,7 +143,7 @@ def early_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return shared.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("gram", "node", "pos")
 
 
-def linked(postings: DataFrame, sets: DataFrame, same: DataFrame, percent: int, rounds: int = 6) -> DataFrame:
+def linked(postings: DataFrame, sets: DataFrame, same: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """node and label of the classes that link and aren't their component's least; ``postings``: key, node, n, sketch, central,
     ``same``: classes (a, b) that hold rows of one doc_id."""
     edges, labels, tested, last = same, None, None, False
