@@ -67,7 +67,7 @@ def top_k(probes: DataFrame, held: DataFrame, k: int, least: float, measure: str
     score_of, needs = MEASURES[measure]
     counts = staged(frequencies(held), "set-counts")
     own = staged(ordered(held, counts), "set-held")
-    asked = staged(ordered(probes, counts), "set-probes")
+    asked = own if probes is held else staged(ordered(probes, counts), "set-probes")
     place = F.posexplode("tags").alias("j", "tag")
     lists = own.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("tags").alias("b_tags"), F.col("sig").alias("b_sig"), place)
     lists = lists.withColumn("rest", F.size("b_tags") - F.col("j") - 1).drop("j")
@@ -99,6 +99,6 @@ def top_k(probes: DataFrame, held: DataFrame, k: int, least: float, measure: str
             best = first_of(scored.unionByName(found.drop("place")), k)
         found = staged(best, "set-found")
         begun.append(found)
-    for table in (counts, own, asked, cells, *begun[:-1]):
+    for table in (counts, own, cells, *begun[:-1], *([] if asked is own else [asked])):
         discard(table)
     return found
