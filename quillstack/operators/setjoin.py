@@ -1,13 +1,18 @@
 """Exact top-k joins of sets: for each probe the best held sets by Jaccard similarity or by shared elements, without a cap.
 
-Elements are ordered by frequency, rarest first. A probe meets held sets by its rarest elements first; once it has k of them, the k-th
-score says what overlap a better one needs, and a pair whose first common element stands late in either set can't have it. So a
-probe's frequent elements are looked up only as far as the risen score leaves room for (prefix filter), and only in sets of sizes that
-can reach it (length filter).
+Elements are ordered by frequency, rarest first. Scores are asked for in falling levels: a pair of a level needs some overlap, so its first
+common element comes early in both sets (prefix filter) and the sizes are near (length filter). A probe that has k sets of a level is done
+and takes no part in the next one, so frequent elements are looked up for few probes.
+
+Sets of one size that agree from an element on are alike to every probe whose first common element that is, so a list keeps only the k + 1
+first of them: any other one is beaten by k of these. The most frequent elements come last, where few different endings are left, so
+an element of half of all sets has a short list. This drops no result.
 
 Lists of elements are stored by cells: element, size of the set, and how many elements follow in it. A table of the cells' counts says
-which cells a probe has to meet before any list is read; cells of many sets are cut by a salt. Pairs are made at their first
-common element only, so nothing has to be made distinct, and the sets are compared by 64-bit signatures before they are intersected.
+which cells a probe has to meet before any list is read; cells of many sets are cut by a salt, and those of many probes are copied,
+a share of the probes to each. Pairs are made at their first common element only, so nothing has to be made distinct, and the sets
+are compared by 64-bit signatures before they are intersected. Rows that meet make many more pairs than their bytes tell, so
+they are spread over all shuffle partitions, which adaptive execution would else merge by size.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql.window import Window
 
 from ..staging import discard, staged
 
-#: Sets of a cell from which it is cut.
+#: Sets of a cell from which it is cut, and probes of an element from which its lists are copied.
 CELL = 20_000
 
 
@@ -53,6 +58,8 @@ def _shared_needs(score: Column, na: Column, nb: Column) -> Column:
 
 
 MEASURES = {"jaccard": (_jaccard, _jaccard_needs), "shared": (_shared, _shared_needs)}
+#: Scores that are asked for one after another, before the least.
+LEVELS = {"jaccard": (0.55, 0.3), "shared": (3.0, 2.0)}
 
 
 def first_of(pairs: DataFrame, k: int) -> DataFrame:
@@ -60,45 +67,53 @@ def first_of(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("place", place).where(F.col("place") <= k)
 
 
-def top_k(probes: DataFrame, held: DataFrame, k: int, least: float, measure: str = "jaccard", steps: tuple[int, ...] = (2, 4)) -> DataFrame:
+def top_k(probes: DataFrame, held: DataFrame, k: int, least: float, measure: str = "jaccard", levels: tuple[float, ...] | None = None) -> DataFrame:
     """a, b, score, shared and place: for each of ``probes`` the ``k`` best of ``held`` (both: id, tags without repeats) that share an
-    element and reach ``least``; ties: the smaller b; never itself. ``steps``: places up to which elements are met before the k-th
-    score is taken anew; the rest is met last."""
+    element and reach ``least``; ties: the smaller b; never itself. ``levels``: falling scores that are asked for before ``least``; they
+    change the work only."""
     score_of, needs = MEASURES[measure]
     counts = staged(frequencies(held), "set-counts")
     own = staged(ordered(held, counts), "set-held")
     asked = own if probes is held else staged(ordered(probes, counts), "set-probes")
     place = F.posexplode("tags").alias("j", "tag")
     lists = own.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("tags").alias("b_tags"), F.col("sig").alias("b_sig"), place)
-    lists = lists.withColumn("rest", F.size("b_tags") - F.col("j") - 1).drop("j")
+    lists = lists.withColumn("rest", F.size("b_tags") - F.col("j") - 1)
+    ending = F.slice("b_tags", F.col("j") + 1, F.col("rest") + 1)
+    lists = lists.withColumn("nth", F.row_number().over(Window.partitionBy("nb", ending).orderBy("b"))).where(F.col("nth") <= k + 1).drop("j", "nth")
+    lists = staged(lists, "set-lists")
+    asking = counts if asked is own else frequencies(asked)
     cells = lists.groupBy("tag", "nb", "rest").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("salts"))
-    cells = staged(cells, "set-cells")
-    lists = lists.join(cells.where("salts > 1"), ["tag", "nb", "rest"], "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    found, begun = None, []
-    for low, high in zip((0, *steps), (*steps, None), strict=True):
-        now = asked.withColumn("mark", F.lit(float(least)))
-        if found is not None:
-            kth = found.where(F.col("place") == k).select(F.col("a").alias("id"), F.col("score").alias("mark"))
-            now = asked.join(kth, "id", "left").withColumn("mark", F.greatest(F.coalesce("mark", F.lit(float(least))), F.lit(float(least))))
-        some = now.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("tags").alias("a_tags"), F.col("sig").alias("a_sig"), "mark", F.posexplode("tags").alias("i", "tag")).where(F.col("i") >= low)
-        if high is not None:
-            some = some.where(F.col("i") < high)
+    cells = staged(cells.join(asking.select("tag", F.ceil(F.col("n") / CELL).cast("int").alias("copies")), "tag"), "set-cells")
+    cell, width = ["tag", "nb", "rest", "salt", "copy"], int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1))).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    salted = lists.join(cells.where("salts > 1 or copies > 1"), ["tag", "nb", "rest"], "left")
+    salted = salted.withColumn("salt", share("b", F.col("salts"))).withColumn("copy", each(F.col("copies"))).drop("salts", "copies")
+    found = []
+    for mark in (*[x for x in (LEVELS[measure] if levels is None else levels) if x > least], least):
+        some = asked
+        for better in found:
+            some = some.join(better.where(F.col("place") == k).select(F.col("a").alias("id")), "id", "left_anti")
+        some = some.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("tags").alias("a_tags"), F.col("sig").alias("a_sig"), F.posexplode("tags").alias("i", "tag"))
         # of a pair whose first common element this is, no more can be shared than what follows it on either side
         reach = F.least(F.size("a_tags") - F.col("i") - 1, F.col("rest")) + 1
-        met = some.join(cells, "tag").withColumn("needs", needs(F.col("mark"), F.col("na"), F.col("nb"))).where(reach >= F.col("needs"))
-        met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("i", "salts")
+        met = some.join(cells, "tag").withColumn("needs", needs(F.lit(float(mark)), F.col("na"), F.col("nb"))).where(reach >= F.col("needs"))
+        met = met.withColumn("copy", share("a", F.col("copies"))).withColumn("salt", each(F.col("salts"))).drop("i", "salts", "copies")
         # elements of one set that share a bit of the signature count more than once
         double = F.least(F.size("a_tags") - F.bit_count("a_sig"), F.size("b_tags") - F.bit_count("b_sig"))
         maybe = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a_sig").bitwiseAND(F.col("b_sig"))) + double >= F.col("needs"))
-        pairs = met.join(lists, ["tag", "nb", "rest", "salt"]).where(maybe)
-        pairs = pairs.select("a", "na", "b", "nb", "mark", "tag", F.array_intersect("a_tags", "b_tags").alias("both"))
+        pairs = met.repartition(width, *cell).join(salted.repartition(width, *cell), cell).where(maybe)
+        pairs = pairs.select("a", "na", "b", "nb", "tag", F.array_intersect("a_tags", "b_tags").alias("both"))
         pairs = pairs.where(F.col("both")[0] == F.col("tag")).withColumn("shared", F.size("both"))
-        scored = pairs.withColumn("score", score_of(F.col("shared"), F.col("na"), F.col("nb"))).where("score >= mark").select("a", "b", "score", F.col("shared").cast("long").alias("shared"))
-        best = first_of(scored, k)
-        if found is not None:
-            best = first_of(scored.unionByName(found.drop("place")), k)
-        found = staged(best, "set-found")
-        begun.append(found)
-    for table in (counts, own, cells, *begun[:-1], *([] if asked is own else [asked])):
+        scored = pairs.withColumn("score", score_of(F.col("shared"), F.col("na"), F.col("nb"))).where(F.col("score") >= float(mark)).select("a", "b", "score", F.col("shared").cast("long").alias("shared"))
+        found.append(staged(first_of(scored, k), "set-found"))
+    # what a probe had at a level it wasn't done at is found again at the next one
+    whole = Window.partitionBy("a")
+    best = found[-1]
+    for better in found[:-1]:
+        done = better.withColumn("n", F.count(F.lit(1)).over(whole)).where(F.col("n") == k).drop("n")
+        best = best.unionByName(done)
+    best = staged(best, "set-found")
+    for table in (counts, own, lists, cells, *found, *([] if asked is own else [asked])):
         discard(table)
-    return found
+    return best

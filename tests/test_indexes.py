@@ -79,10 +79,23 @@ def test_top_k_sets(spark, monkeypatch, measure, least, k):
     sets = {i: {f"t{t}" for t in rng.zipf(1.4, rng.integers(1, 9)) if t < 80} | ({"hot"} if i % 2 else set()) for i in range(240)}
     sets = {i: s for i, s in sets.items() if s} | {500: {"alone"}}
     rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, tags array<string>")
-    got = setjoin.top_k(rows, rows, k, least, measure, steps=(1, 3)).collect()
+    got = setjoin.top_k(rows, rows, k, least, measure).collect()
     assert {(r["a"], r["b"], r["shared"], r["place"]) for r in got} == best_sets(sets, sets, k, least, measure)
 
 
+
+@pytest.mark.parametrize("levels", [(), (0.9, 0.5)])
+def test_top_k_sets_with_one_element_in_all(spark, monkeypatch, levels):
+    monkeypatch.setattr(setjoin, "CELL", 20)
+    sets = {i: {"hot", f"own{i}"} | ({"warm"} if i % 2 else set()) | ({"pair"} if i in (31, 77) else set()) for i in range(150)} | {900: {"hot"}, 901: set()}
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, tags array<string>")
+    got = setjoin.top_k(rows, rows, 3, 0.1, levels=levels).collect()
+    assert {(r["a"], r["b"], r["shared"], r["place"]) for r in got} == best_sets(sets, sets, 3, 0.1, "jaccard")
+    probes = rows.where("id % 50 = 0")
+    got = setjoin.top_k(probes, rows, 3, 1.0, "shared", levels=levels).collect()
+    assert {(r["a"], r["b"], r["shared"], r["place"]) for r in got} == best_sets({a: s for a, s in sets.items() if a % 50 == 0}, sets, 3, 1.0, "shared")
+
+
 BOOK = "id long, series string, tags array<string>, is_old_version boolean, is_draft boolean, is_duplicate boolean"
 
 
