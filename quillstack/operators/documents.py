@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,14 +19,15 @@ def _by(doc: str, order: str):
     return Window.partitionBy(doc).orderBy(order)
 
 
-def parents(headings: DataFrame, doc: str = "doc_id", order: str = "ord", level: str = "level") -> DataFrame:
-    """parent: the nearest earlier heading that is shallower, whatever the levels are."""
-    return trees.nearest_shallower(headings, doc, order, level)
+def parents(headings: DataFrame, doc: str = "doc_id", order: str = "ord", level: str = "level", levels: Iterable[int] | None = None) -> DataFrame:
+    """parent: the nearest earlier heading that is shallower, whatever the levels are; by windows where all ``levels`` are stated."""
+    return trees.nearest_shallower(headings, doc, order, level, levels=levels)
 
 
-def section_ends(headings: DataFrame, last: Column, doc: str = "doc_id", order: str = "ord", level: str = "level", page: str = "page") -> DataFrame:
-    """end_page: the page before the next heading that is as shallow or shallower, not before the own page; else ``last``."""
-    seen = trees.next_as_shallow(headings, doc, order, level, page, "next_page")
+def section_ends(headings: DataFrame, last: Column, doc: str = "doc_id", order: str = "ord", level: str = "level", page: str = "page", levels: Iterable[int] | None = None) -> DataFrame:
+    """end_page: the page before the next heading that is as shallow or shallower, not before the own page; else ``last``. By windows
+    where all ``levels`` are stated."""
+    seen = trees.next_as_shallow(headings, doc, order, level, page, "next_page", levels)
     return seen.withColumn("end_page", F.greatest(F.col(page), F.coalesce(F.col("next_page") - 1, last))).drop("next_page")
 
 

@@ -7,7 +7,7 @@ document is all that a task holds. What needs no such order is done by joins.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -41,8 +41,23 @@ def walk(rows: DataFrame, doc: str, order: str, inputs: list[str], name: str, ki
     return rows.repartition(doc).sortWithinPartitions(doc, key).mapInArrow(run, schema)
 
 
-def nearest_shallower(rows: DataFrame, doc: str, order: str, level: str, name: str = "parent") -> DataFrame:
-    """``name``: the order of the nearest earlier row of a smaller level. Rows without a level have none and are none."""
+def _by_level(rows: DataFrame, doc: str, key: Column, level: str, levels: Iterable[int], value: str, name: str, passes: Callable[[int], Column]) -> DataFrame:
+    """``name``: the ``value`` of the last row before, in the order of ``key``, that ``passes`` the own level; a running value for each of the
+    ``levels``, all in one window. A level that isn't among them is an error."""
+    before = Window.partitionBy(doc).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.when(F.col(level).isNull(), F.lit(None).cast(rows.schema[value].dataType))
+    for own in levels:
+        # in a struct, as a row that passes counts without a value too
+        held = F.last(F.when(passes(own), F.struct(value)), ignorenulls=True).over(before)
+        found = found.when(F.col(level) == own, held[value])
+    return rows.withColumn(name, found.otherwise(F.raise_error(F.concat(F.lit("a level that isn't among the stated ones: "), F.col(level).cast("string")))))
+
+
+def nearest_shallower(rows: DataFrame, doc: str, order: str, level: str, name: str = "parent", levels: Iterable[int] | None = None) -> DataFrame:
+    """``name``: the order of the nearest earlier row of a smaller level. Rows without a level have none and are none. Where all
+    ``levels`` are stated (few, as those of headings), built-in windows find it, else a walk."""
+    if levels is not None:
+        return _by_level(rows, doc, F.col(order), level, levels, order, name, lambda own: F.col(level) < own)
 
     def make():
         above: list[tuple] = []
@@ -61,8 +76,10 @@ def nearest_shallower(rows: DataFrame, doc: str, order: str, level: str, name: s
     return walk(rows, doc, order, [level], name, rows.schema[order].dataType, make)
 
 
-def next_as_shallow(rows: DataFrame, doc: str, order: str, level: str, value: str, name: str) -> DataFrame:
-    """``name``: the ``value`` of the nearest later row of the same or a smaller level."""
+def next_as_shallow(rows: DataFrame, doc: str, order: str, level: str, value: str, name: str, levels: Iterable[int] | None = None) -> DataFrame:
+    """``name``: the ``value`` of the nearest later row of the same or a smaller level; ``levels`` as in :func:`nearest_shallower`."""
+    if levels is not None:
+        return _by_level(rows, doc, F.col(order).desc(), level, levels, value, name, lambda own: F.col(level) <= own)
 
     def make():
         below: list[tuple] = []

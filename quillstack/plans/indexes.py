@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..functions import markdown
 from ..operators import edits, impact, pages, relations, rules, sketches, stored, tools
 from ..staging import fresh_path
@@ -260,6 +261,15 @@ def home_page(spark, d):
     return _digest(pages.home_page(catalog(spark, d)))
 
 
+# a second catalog
+
+
+@query(BOOKS + "SELECT publisher, count(*) AS n, count(s_suppkey) AS favorites FROM books LEFT JOIN supplier ON s_suppkey = id GROUP BY publisher")
+def attached_catalog(spark, d):
+    sources.attach(spark, d, "personal", ["supplier"])
+    return spark.sql("SELECT publisher, count(*) AS n, count(s_suppkey) AS favorites FROM {books} b LEFT JOIN personal.supplier f ON f.s_suppkey = b.id GROUP BY publisher", books=catalog(spark, d))
+
+
 # formatted texts
 
 

@@ -63,7 +63,7 @@ def query_keywords(spark, d):
 
 @query(f"WITH {HEADINGS} SELECT h.doc_id, h.ord, (SELECT max(b.ord) FROM headings b WHERE b.doc_id = h.doc_id AND b.ord < h.ord AND b.level < h.level) AS parent FROM headings h")
 def parent_of(spark, d):
-    return documents.parents(headings(spark, d)).select("doc_id", "ord", "parent")
+    return documents.parents(headings(spark, d), levels=range(1, 5)).select("doc_id", "ord", "parent")
 
 
 @query(
@@ -71,7 +71,7 @@ def parent_of(spark, d):
 SELECT n.doc_id, n.ord, n.page, greatest(n.page, coalesce(b.page - 1, 9999)) AS end_page FROM n LEFT JOIN headings b ON b.doc_id = n.doc_id AND b.ord = n.nx"""
 )
 def toc_ranges(spark, d):
-    return documents.section_ends(headings(spark, d), F.lit(9999)).select("doc_id", "ord", "page", "end_page")
+    return documents.section_ends(headings(spark, d), F.lit(9999), levels=range(1, 5)).select("doc_id", "ord", "page", "end_page")
 
 
 @query(f"WITH {HEADINGS} SELECT doc_id, ord, CAST(sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS section_no FROM headings")

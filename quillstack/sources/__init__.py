@@ -24,6 +24,16 @@ def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     return out
 
 
+def attach(spark: SparkSession, folder: str, catalog: str, names: list[str]) -> dict[str, DataFrame]:
+    """Parquet tables of a further catalog by name, in SQL as ``catalog.name`` beside those of other catalogs. They are views, so
+    queries prune and push filters down into the files, and nothing can be inserted. Names are letters, digits and ``_``."""
+    quoted = lambda x: "`" + x.replace("`", "``") + "`"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(catalog)}")
+    for n in names:
+        spark.sql(f"CREATE OR REPLACE VIEW {quoted(catalog)}.{quoted(n)} AS SELECT * FROM parquet.{quoted(f'{folder}/{n}.parquet')}")
+    return {n: spark.table(f"{quoted(catalog)}.{quoted(n)}") for n in names}
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """JSON lines; blank and malformed lines give no row."""
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)

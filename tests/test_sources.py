@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from quillstack import sources, streaming
 
 
@@ -13,6 +15,20 @@ def test_jsonl(spark, tmp_path):
     assert {r["id"]: r["name"] for r in last} == {"1": "z", "2": "y"}
 
 
+def test_attached_catalogs(spark, tmp_path):
+    for name, rows in (("own", [(1, "a"), (2, "b")]), ("other", [(2, "x"), (3, "y")])):
+        spark.createDataFrame(rows, "id long, v string").write.parquet(str(tmp_path / name / "items.parquet"))
+    sources.attach(spark, str(tmp_path / "own"), "cat_own", ["items"])
+    other = sources.attach(spark, str(tmp_path / "other"), "cat_other", ["items"])["items"]
+    got = spark.sql("SELECT a.id, a.v, b.v AS w FROM cat_own.items a JOIN cat_other.items b USING (id)").collect()
+    assert [tuple(r) for r in got] == [(2, "b", "x")]
+    assert "PushedFilters: [IsNotNull(id), GreaterThan(id,2)]" in other.where("id > 2").select("id")._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="(?i)view"):
+        spark.sql("INSERT INTO cat_own.items VALUES (9, 'z')")
+    sources.attach(spark, str(tmp_path / "other"), "cat_own", ["items"])  # attached again: the new folder counts
+    assert {r["id"] for r in spark.table("cat_own.items").collect()} == {2, 3}
+
+
 def test_list_files(spark, tmp_path):
     for name in ("a/x.pdf", "a/._x.pdf", "__MACOSX/y.pdf", "b.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)

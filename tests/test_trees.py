@@ -45,6 +45,22 @@ def test_levels_of_any_size_against_plain_python(spark):
         down[doc, i] = max(page, nxt[1] - 1 if nxt else 999)
     assert {(r["doc_id"], r["ord"]): r["parent"] for r in documents.parents(table).collect()} == up
     assert {(r["doc_id"], r["ord"]): r["end_page"] for r in documents.section_ends(table, F.lit(999)).collect()} == down
+    # the same by windows where the levels are stated; one that isn't is no silent null
+    levels = [-2, 1, 2, 3, 7, 9, 40]
+    by_window = documents.parents(table, levels=levels)
+    assert {(r["doc_id"], r["ord"]): r["parent"] for r in by_window.collect()} == up
+    assert "MapInArrow" not in by_window._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["ord"]): r["end_page"] for r in documents.section_ends(table, F.lit(999), levels=levels).collect()} == down
+    assert documents.parents(table.limit(0), levels=levels).count() == 0
+    with pytest.raises(Exception, match="isn't among the stated ones"):
+        documents.parents(table, levels=levels[:-1]).collect()
+
+
+def test_next_row_without_a_value_counts(spark):
+    table = spark.createDataFrame([(1, 0, 1, 5), (1, 1, 1, None), (1, 2, 1, 9)], "doc_id long, ord long, level long, page long")
+    for levels in (None, [1]):
+        got = trees.next_as_shallow(table, "doc_id", "ord", "level", "page", "next_page", levels)
+        assert {r["ord"]: r["next_page"] for r in got.collect()} == {0: None, 1: 9, 2: None}
 
 
 def test_links_of_any_length_and_circles(spark):
