@@ -96,6 +96,17 @@ def test_top_k_sets_with_one_element_in_all(spark, monkeypatch, levels):
     assert {(r["a"], r["b"], r["shared"], r["place"]) for r in got} == best_sets({a: s for a, s in sets.items() if a % 50 == 0}, sets, 3, 1.0, "shared")
 
 
+def test_copies_of_a_set_are_joined_once(spark):
+    sets = [["x", "y"], ["y", "x", "z"], ["hot"], ["hot", "x"]]
+    rows = spark.createDataFrame([(i, sets[i % 4]) for i in range(400)] + [(900, [])], "id long, tags array<string>")
+    classes, members = setjoin._classes(rows)
+    assert (classes.count(), members.count()) == (4, 400)
+    own = {i: set(sets[i % 4]) for i in range(400)}
+    for measure, least in (("jaccard", 0.1), ("shared", 1.0)):
+        got = setjoin.top_k(rows, rows, 5, least, measure).collect()
+        assert {(r["a"], r["b"], r["shared"], r["place"]) for r in got} == best_sets(own, own, 5, least, measure)
+
+
 BOOK = "id long, series string, tags array<string>, is_old_version boolean, is_draft boolean, is_duplicate boolean"
 
 
