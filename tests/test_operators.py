@@ -205,3 +205,10 @@ def test_greedy_pairs(spark):
 def test_inline_tags(spark):
     rows = spark.createDataFrame([(1, "{@spell x} {@odd y}")], "id long, text string")
     assert [r["tag"] for r in documents.inline_tags(rows, "text", ["spell"]).collect()] == ["odd"]
+
+
+def test_common_tags_are_put_aside_before_tags_are_shuffled(spark):
+    books = spark.createDataFrame([(i, ["hot", f"t{i // 2}"], False, False, False) for i in range(40)], "id long, tags array<string>, is_old_version boolean, is_draft boolean, is_duplicate boolean")
+    found = relations.jaccard_relations(books, most_common=10)
+    assert "BroadcastHashJoin" in (plan := found._jdf.queryExecution().toString()) and "LeftAnti, BuildRight" in plan
+    assert sorted((r["a"], r["b"], r["shared"]) for r in found.collect()) == sorted((i, i ^ 1, 1) for i in range(40))
