@@ -9,10 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import discard, fresh_path, shared_dir, staged  # noqa: F401
+from ..staging import discard, fresh_path, shared_dir, small_batches, staged  # noqa: F401
 
 #: Bytes of text that one round of vectorised work takes, so few that its arrays stay in a core's cache; a longer document is
 #: taken alone.
@@ -33,13 +33,6 @@ def fresh_worker() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows in this session: texts are long, and a task holds a few batches at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, str(rows))
-
-
 def narrowed(rows: DataFrame, keys: DataFrame, key: str, bits: int = 25) -> DataFrame:
     """``rows`` less most of those whose ``key`` isn't in ``keys``; none that is there gets lost.
 

@@ -185,3 +185,15 @@ def test_since_and_people(spark):
     now = F.lit("2024-01-02 12:00:00").cast("timestamp")
     ids = lambda v: {r["id"] for r in sessions.since(rows, v, now).collect()}
     assert ids("1d") == {1, 3} and ids("48h") == {1, 2, 3} and ids("2024-01-01 12:00:00") == {1, 3} and ids("soon") == {1, 2, 3}
+
+
+def test_nodes_leave_python_in_small_frames(spark):
+    from quillstack.operators import documents
+
+    rows = [(i, json.dumps({"data": [{"type": "section", "name": "n", "entries": ["x"] * 999}]})) for i in range(12)] + [(99, "no")]
+    docs = spark.createDataFrame(rows, "doc_id long, body string").coalesce(1)
+    for make in (documents.flatten_documents, typed.typed_nodes):
+        assert make(docs).count() == 12_000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    frames = list(documents.node_frames(([tuple(range(9))] * n for n in (5000, 1, 0, 4001)), lambda rows: len(rows)))
+    assert sum(frames) == 9002 and max(frames) <= documents.FRAME
