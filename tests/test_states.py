@@ -236,6 +236,17 @@ def test_stored_searches_find_what_each_alone_would(spark):
     assert len(got) == len(want) and {(r["query_id"], r["id"]) for r in got} == want
 
 
+def test_searches_and_rows_that_are_alike_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(stored, "LIST", 7)  # so that lists are cut
+    books = spark.createDataFrame([(i, "Dark Castle" if i % 2 else "Field_x", "p", "5e", None, None, ["horror"], False, False, False, 1, 5) for i in range(50)], BOOK)
+    lines = ["sys:5e castle", "sys:5e d_x", "castle", "tag:none"] * 6
+    queries = stored.from_commands(spark.createDataFrame(list(enumerate(lines)), "query_id long, text string"))
+    kinds, members = stored._kinds(queries, "query_id", "searches")
+    assert (kinds.count(), members.count()) == (4, 24)
+    got = stored.matched(queries, books).collect()
+    assert sorted((r["query_id"], r["id"]) for r in got) == [(q, i) for q in range(24) for i in range(50) if q % 4 < 3 and i % 2 == (q % 4 != 1)]
+
+
 def test_intents_search_by_words(spark):
     books = [(1, "Dark Castle", "p", "5e", None, None, ["horror"], False, False, False, 1, 4), (2, "Castle", "p", "5e", None, None, [], False, False, False, 1, 4)]
     rows = spark.createDataFrame([(7, '{"tags": ["horror"], "keywords": "castle dark"}'), (8, '{"keywords": "Castle", "level_min": 5}'), (9, '{"keywords": "castle", "level_max": 2}')], "query_id long, answer string").withColumn("intent", stored.intent(F.col("answer"), F.lit("")))
