@@ -184,7 +184,7 @@ def missing_folders(spark, d):
     return inventory.missing_folders(f, f.where(F.startswith(F.col("path"), F.lit("/m."))).select(F.concat(F.lit("/"), F.split("path", "/")[1]).alias("folder")))
 
 
-@query("SELECT id, CASE WHEN size >= 1024 THEN printf('%.1f', size / 1024.0) || ' KB' ELSE size || ' B' END AS human FROM (SELECT page_id AS id, length(html) AS size FROM pages)")
+@query("SELECT id, CASE WHEN size >= 1099511627776 THEN printf('%.1f', size / 1099511627776.0) || ' TB' WHEN size >= 1073741824 THEN printf('%.1f', size / 1073741824.0) || ' GB' WHEN size >= 1048576 THEN printf('%.1f', size / 1048576.0) || ' MB' WHEN size >= 1024 THEN printf('%.1f', size / 1024.0) || ' KB' ELSE size || ' B' END AS human FROM (SELECT page_id AS id, length(html) AS size FROM pages)")
 def human_sizes(spark, d):
     return files(spark, d).select("id", fn.human_bytes(F.col("size")).alias("human"))
 

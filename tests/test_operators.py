@@ -212,3 +212,8 @@ def test_common_tags_are_put_aside_before_tags_are_shuffled(spark):
     found = relations.jaccard_relations(books, most_common=10)
     assert "BroadcastHashJoin" in (plan := found._jdf.queryExecution().toString()) and "LeftAnti, BuildRight" in plan
     assert sorted((r["a"], r["b"], r["shared"]) for r in found.collect()) == sorted((i, i ^ 1, 1) for i in range(40))
+
+
+def test_human_sizes_round_halves_to_even(spark):
+    rows = spark.createDataFrame([(1023,), (1280,), (1792,), (1536,), (5 << 20,), (3 << 30,)], "size long")
+    assert [r["x"] for r in rows.select(fn.human_bytes(F.col("size")).alias("x")).collect()] == ["1023 B", "1.2 KB", "1.8 KB", "1.5 KB", "5.0 MB", "3.0 GB"]
