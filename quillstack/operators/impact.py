@@ -35,18 +35,22 @@ def write(docs: DataFrame, key: str, columns: list[str], path: str, block: int =
     """
     spark = docs.sparkSession
     base = f"{path.rstrip('/')}/postings"
-    fulltext.postings(docs, key, columns).write.mode("overwrite").parquet(base)
+    # texts are dealt by document, so that words are counted and summed where they are and only postings move once more, by term
+    dealt = fulltext.postings(docs.select(key, *columns).repartition(key), key, columns)
+    dealt.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc"))).write.mode("overwrite").parquet(base)
     index = spark.read.parquet(base)
-    lengths = fulltext.lengths(index)
+    lengths = index.groupBy("doc").agg(F.first("dl").alias("dl"))
     facts = lengths.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean"))
     facts.withColumn("meta", F.lit(json.dumps({"k1": k1, "b": b, "folders": folders}))).write.mode("overwrite").parquet(f"{path.rstrip('/')}/facts")
     mean = spark.read.parquet(f"{path.rstrip('/')}/facts").first()["mean"]
-    frequency = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # terms of several strands have over ``strand`` documents each, so they are few; others are counted where they lie
+    often = index.groupBy("term").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > strand)
     impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
-    rows = index.join(lengths, "doc").join(frequency, "term").withColumn("impact", impact)
-    rows = rows.withColumn("strand", F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("df") / strand))))
-    place = F.row_number().over(Window.partitionBy("term", "strand").orderBy(F.desc("impact"), "doc"))
-    cut = rows.withColumn("block", F.floor((place - 1) / block))
+    rows = index.join(F.broadcast(often), "term", "left").withColumn("impact", impact)
+    rows = rows.withColumn("strand", F.pmod(F.xxhash64("doc"), F.ceil(F.coalesce("often", F.lit(1)) / strand)))
+    own = Window.partitionBy("term", "strand")
+    place = F.row_number().over(own.orderBy(F.desc("impact"), "doc"))
+    cut = rows.withColumn("df", F.coalesce("often", F.count(F.lit(1)).over(own))).withColumn("block", F.floor((place - 1) / block))
     # the posting is kept with its impact first, so that a block's list is in impact order
     entry = F.struct(F.negate("impact").alias("order"), "doc", "tf", "dl")
     blocks = cut.groupBy("term", "strand", "block").agg(F.max("impact").alias("bound"), F.first("df").alias("df"), F.array_sort(F.collect_list(entry)).alias("p"))

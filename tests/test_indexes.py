@@ -270,3 +270,10 @@ def test_one_long_document_is_cut_over_many_tasks(spark):
     # no task holds more than a block
     parts = found.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert len(parts) > 1 and max(r["count"] for r in parts) < n
+
+
+def test_an_index_counts_where_postings_lie(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b" if i % 2 else "a a") for i in range(20)] + [(1, "c")], "doc_id long, text string")
+    impact.write(docs, "doc_id", ["text"], str(tmp_path), block=3, folders=2, strand=4)
+    assert {(r["doc"], r["dl"]) for r in spark.read.parquet(f"{tmp_path}/postings").collect()} == {(i, 3 if i == 1 else 2) for i in range(20)}
+    assert {(r["term"], r["df"]) for r in spark.read.parquet(f"{tmp_path}/blocks").collect()} == {("a", 20), ("b", 10), ("c", 1)}
