@@ -107,6 +107,30 @@ def test_copies_of_a_set_are_joined_once(spark):
         assert {(r["a"], r["b"], r["shared"], r["place"]) for r in got} == best_sets(own, own, 5, least, measure)
 
 
+@pytest.mark.parametrize("small", [0, 3, 8])
+@pytest.mark.parametrize("measure,least,k", [("jaccard", 0.1, 4), ("shared", 1.0, 1), ("shared", 1.0, 5)])
+def test_sets_meet_by_subsets_or_by_lists(spark, monkeypatch, small, measure, least, k):
+    monkeypatch.setattr(setjoin, "SMALL", small)
+    rng = np.random.default_rng(3)
+    sets = {i: {f"t{t}" for t in rng.integers(0, 14, rng.integers(1, 8))} for i in range(200)}
+    probes = {i: s | ({"unknown"} if i % 2 else set()) for i, s in sets.items() if i % 3 == 0} | {700: {"unknown"}}
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, tags array<string>")
+    asked = spark.createDataFrame([(i, sorted(s)) for i, s in probes.items()], "id long, tags array<string>")
+    got = setjoin.top_k(asked, rows, k, least, measure).collect()
+    assert {(r["a"], r["b"], r["shared"], r["place"]) for r in got} == best_sets(probes, sets, k, least, measure)
+
+
+@pytest.mark.parametrize("measure,least", [("jaccard", 0.1), ("shared", 1.0)])
+def test_sets_of_few_elements_meet_few_others(spark, monkeypatch, measure, least):
+    # 1,600 classes, each with 78 others that differ in one element
+    rows = spark.range(1600).select("id", F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.concat(F.lit("x"), F.col("id") % 40), F.concat(F.lit("y"), F.floor(F.col("id") / 40))).alias("tags"))
+    seen, first_of = [], setjoin.first_of
+    monkeypatch.setattr(setjoin, "first_of", lambda pairs, k: seen.append(pairs.count()) or first_of(pairs, k))
+    found = setjoin.top_k(rows, rows, 2, least, measure)
+    assert found.count() == 3200 and found.where("shared = 4").count() == 3200
+    assert max(seen) <= 1600 * 5 * 3
+
+
 BOOK = "id long, series string, tags array<string>, is_old_version boolean, is_draft boolean, is_duplicate boolean"
 
 
