@@ -162,10 +162,11 @@ UNION ALL SELECT g.doc_id, l.n, list_append(g.used, arg_min(s.right_ord, (-s.sco
 SELECT doc_id, left_ord, right_ord, s.score FROM g JOIN s USING (doc_id, left_ord, right_ord)"""
 )
 def heading_matches(spark, d):
-    h = headings(spark, d).select("doc_id", "ord", "title", "level")
-    left = h.where("level = 1").select("doc_id", F.col("ord").alias("left_ord"), F.col("title").alias("l"), F.posexplode(F.sequence(F.col("ord") - 3, F.col("ord") + 3)).alias("x", "right_ord"))
-    both = left.join(h.where("level > 1").select("doc_id", F.col("ord").alias("right_ord"), F.col("title").alias("r")), ["doc_id", "right_ord"])
-    scored = both.select("doc_id", "left_ord", "right_ord", fn.token_overlap(F.col("l"), F.col("r"), ["the", "of"]).alias("score"))
+    # the words of a heading are told once, not for each pair
+    h = headings(spark, d).select("doc_id", "ord", fn.word_set(F.col("title"), ["the", "of"]).alias("words"), "level")
+    left = h.where("level = 1").select("doc_id", F.col("ord").alias("left_ord"), F.col("words").alias("l"), F.posexplode(F.sequence(F.col("ord") - 3, F.col("ord") + 3)).alias("x", "right_ord"))
+    both = left.join(h.where("level > 1").select("doc_id", F.col("ord").alias("right_ord"), F.col("words").alias("r")), ["doc_id", "right_ord"])
+    scored = both.select("doc_id", "left_ord", "right_ord", fn.word_overlap(F.col("l"), F.col("r")).alias("score"))
     return documents.greedy_pairs(scored, least=0.05)
 
 

@@ -242,6 +242,33 @@ def test_greedy_pairs_are_those_of_a_loop(spark):
     assert len(got) == len(want) and {(r["doc_id"], r["left_ord"], r["right_ord"]) for r in got} == want
 
 
+@pytest.mark.parametrize("lefts", [1, 3, 1024])
+def test_greedy_pairs_over_blocks_are_those_of_a_loop(spark, monkeypatch, lefts):
+    monkeypatch.setattr(documents, "LEFTS", lefts)
+    rng = random.Random(7)
+    rows = [(d, i, j, rng.randint(1, 6) / 6) for d in ("a", "b", None) for i in range(9) for j in range(i - 2, i + 3) if rng.random() < 0.8]
+    want = set()
+    for d in ("a", "b", None):
+        used = set()
+        for i in range(9):
+            free = sorted((-s, j) for e, k, j, s in rows if e == d and k == i and j not in used and s >= 0.3)
+            if free:
+                used.add(free[0][1])
+                want.add((d, i, free[0][1], -free[0][0]))
+    got = documents.greedy_pairs(spark.createDataFrame(rows, "doc_id string, left_ord long, right_ord long, score double").repartition(3)).collect()
+    assert len(got) == len(want) and {tuple(r[c] for c in ("doc_id", "left_ord", "right_ord", "score")) for r in got} == want
+
+
+def test_a_chain_of_lefts_takes_no_round_each(spark, monkeypatch):
+    # every left wants the right that the one before falls back to
+    rows = [(1, 0, 0, 1.0)] + [x for i in range(1, 40) for x in ((1, i, i - 1, 1.0), (1, i, i, 0.5))]
+    written, staged = [], documents.staged
+    monkeypatch.setattr(documents, "staged", lambda df, name: written.append(name) or staged(df, name))
+    got = documents.greedy_pairs(spark.createDataFrame(rows, "doc_id long, left_ord long, right_ord long, score double")).collect()
+    assert sorted((r["left_ord"], r["right_ord"]) for r in got) == [(i, i) for i in range(40)]
+    assert len(written) <= 5
+
+
 def bins_of(sizes, limit):
     out, used, now = [], 0, 0
     for n in sizes:
