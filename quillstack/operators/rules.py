@@ -24,6 +24,8 @@ def condition_holds(value, operator, pattern):
 
 #: Characters of a literal's piece by which rules are looked up.
 GRAM = 3
+#: Kinds that are broadcast; more are joined by a shuffle.
+FEW_KINDS = 100_000
 
 
 def _gram_keys(field: Column, text: Column) -> Column:
@@ -56,14 +58,20 @@ def anchors(conditions: DataFrame) -> DataFrame:
     """rule and key of the rules that have one: of the keys that its conditions ask for, the one that fewest rules ask for."""
     keys = conditions.select("rule", F.explode(condition_keys(F.col("field"), F.col("operator"), F.col("pattern"))).alias("key")).distinct()
     asked = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return keys.join(asked, "key").groupBy("rule").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+    return keys.join(asked.hint("merge"), "key").groupBy("rule").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+
+
+def _beside(table: DataFrame, few: int) -> DataFrame:
+    """``table``, staged, for a join with many rows: broadcast if it has ``few`` rows at most. The size of a file tells little of the memory
+    that a driver needs to broadcast it."""
+    return F.broadcast(table) if table.count() <= few else table.hint("merge")
 
 
 def _kinds(rules: DataFrame, conditions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rules that ask for the same (tools and conditions) are one kind: rule, action, message and kind of the rules that have
     conditions; kind, tools and conditions of the kinds. A hash of what is asked for stands for the kind."""
     each = conditions.groupBy("rule").agg(F.array_sort(F.collect_set(F.struct("field", "operator", "pattern"))).alias("conditions"))
-    known = staged(rules.join(each, "rule").withColumn("kind", F.xxhash64(F.to_json(F.struct("tools", "conditions")))), "rules")
+    known = staged(rules.join(each.hint("merge"), "rule").withColumn("kind", F.xxhash64(F.to_json(F.struct("tools", "conditions")))), "rules")
     kinds = staged(known.groupBy("kind").agg(F.first("tools").alias("tools"), F.first("conditions").alias("conditions")), "rule-kinds")
     return known.select("rule", "action", "message", "kind"), kinds
 
@@ -82,10 +90,10 @@ def _met(events: DataFrame, kinds: DataFrame, fields: list[str], key: str, tool:
     holds = F.forall("conditions", lambda c: condition_holds(F.try_element_at(F.col("values"), c["field"]), c["operator"], c["pattern"]))
     keys = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.concat(F.array(_equal_key(F.lit(f), F.col("values")[f])), _gram_keys(F.lit(f), F.col("values")[f])), F.array().cast("array<bigint>")) for f in fields])))
     asked = kinds.select(F.col("kind").alias("rule"), F.explode("conditions").alias("c")).select("rule", "c.*")
-    held = staged(anchors(asked).withColumnRenamed("rule", "kind"), "rule-anchors")
+    held = staged(anchors(asked).withColumnRenamed("rule", "kind").join(kinds.select("kind", "tools").hint("merge"), "kind"), "rule-anchors")
     # a kind has one key, and a row has a key once
-    some = rows.select("row", "tool", F.explode(keys).alias("key")).join(held.join(kinds.select("kind", "tools"), "kind"), "key").where(fits).select("row", "kind")
-    found = rows.join(some, "row").join(kinds, "kind").where(holds).select("row", "kind")
+    some = rows.select("row", "tool", F.explode(keys).alias("key")).join(_beside(held, FEW_KINDS), "key").where(fits).select("row", "kind")
+    found = rows.join(some.hint("merge"), "row").join(_beside(kinds, FEW_KINDS), "kind").where(holds).select("row", "kind")
 
     rest = staged(kinds.join(held, "kind", "left_anti"), "rule-rest")
     batches = -(-rest.count() // batch)
@@ -109,7 +117,7 @@ def matches(events: DataFrame, rules: DataFrame, conditions: DataFrame, fields:
     """
     known, kinds = _kinds(rules, conditions)
     own, met = _met(events, kinds, fields, key, tool, batch)
-    return own.join(met, "row").join(known, "kind").select(F.col("event").alias(key), "rule", "action", "message")
+    return own.join(met.hint("merge"), "row").join(known.hint("merge"), "kind").select(F.col("event").alias(key), "rule", "action", "message")
 
 
 def judged(events: DataFrame, rules: DataFrame, conditions: DataFrame, fields: list[str], key: str = "event_id", tool: str = "tool", batch: int = 10_000) -> DataFrame:
@@ -120,7 +128,7 @@ def judged(events: DataFrame, rules: DataFrame, conditions: DataFrame, fields: l
     sets = met.groupBy("row").agg(F.array_sort(F.collect_list("kind")).alias("kinds")).withColumn("set", F.xxhash64("kinds"))
     sets = staged(sets, "rule-sets")
     # an event of several rows has the matches of all of them
-    marks = own.join(sets.select("row", "set"), "row").groupBy("event").agg(F.array_sort(F.collect_list("set")).alias("sets"))
+    marks = own.join(sets.select("row", "set").hint("merge"), "row").groupBy("event").agg(F.array_sort(F.collect_list("set")).alias("sets"))
     marks = staged(marks.withColumn("mark", F.xxhash64("sets")), "rule-marks")
     lists = known.groupBy("kind", "action").agg(F.collect_list(F.struct("rule", "message")).alias("list"))
     of_sets = sets.groupBy("set").agg(F.first("kinds").alias("kinds")).select("set", F.explode("kinds").alias("kind"))

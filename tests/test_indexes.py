@@ -223,6 +223,17 @@ def test_rules_that_ask_for_the_same_are_told_once(spark):
     assert rules.judged(events, known, asked, ["command"]).where(F.length("messages") == 2 * 20_000 - 1).count() == 3000
 
 
+def test_rows_of_events_are_not_broadcast(spark):
+    # small in a file, large in the memory of a driver
+    known = spark.createDataFrame([(1, "*", "warn", "m")], "rule long, tools string, action string, message string")
+    asked = spark.createDataFrame([(1, "command", "contains", "key")], "rule long, field string, operator string, pattern string")
+    events = spark.range(2000).select(F.col("id").alias("event_id"), F.lit("Bash").alias("tool"), F.concat(F.lit("a key "), F.col("id")).alias("command"))
+    _, met = rules._met(events, rules._kinds(known, asked)[1], ["command"], "event_id", "tool", 10_000)
+    assert "SortMergeJoin [row" in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 2000
+    assert rules.judged(events, known, asked, ["command"]).count() == 2000
+
+
 # greedy pairs and sequential bins
 
 
