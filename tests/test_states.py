@@ -247,6 +247,23 @@ def test_searches_and_rows_that_are_alike_meet_once(spark, monkeypatch):
     assert sorted((r["query_id"], r["id"]) for r in got) == [(q, i) for q in range(24) for i in range(50) if q % 4 < 3 and i % 2 == (q % 4 != 1)]
 
 
+def test_found_rows_are_not_shuffled(spark, monkeypatch):
+    for name, n in (("LIST", 3), ("CELL", 4), ("MEMBERS", 5)):
+        monkeypatch.setattr(stored, name, n, raising=False)
+    books = spark.createDataFrame([(i, f"Castle {i % 4}", "pq"[i % 2], "5e", None, None, ["horror"], False, False, False, 1, 5) for i in range(60)], BOOK)
+    lines = ["sys:5e castle", "pub:q 3", "castle", "tag:horror pub:p"] * 6
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = stored.matched(stored.from_commands(spark.createDataFrame(list(enumerate(lines)), "query_id long, text string")), books)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # searches and rows meet last, and what they give is filled in there
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin [key")]
+    fits = (lambda i: True, lambda i: i % 4 == 3, lambda i: True, lambda i: i % 2 == 0)
+    assert sorted((r["query_id"], r["id"]) for r in found.collect()) == [(q, i) for q in range(24) for i in range(60) if fits[q % 4](i)]
+
+
 def test_intents_search_by_words(spark):
     books = [(1, "Dark Castle", "p", "5e", None, None, ["horror"], False, False, False, 1, 4), (2, "Castle", "p", "5e", None, None, [], False, False, False, 1, 4)]
     rows = spark.createDataFrame([(7, '{"tags": ["horror"], "keywords": "castle dark"}'), (8, '{"keywords": "Castle", "level_min": 5}'), (9, '{"keywords": "castle", "level_max": 2}')], "query_id long, answer string").withColumn("intent", stored.intent(F.col("answer"), F.lit("")))
