@@ -176,28 +176,34 @@ def topic_sample(spark, d):
     return facets.sample_of_topic(catalog(spark, d), F.col("publisher") == "Brand#2").select("id", "page_count")
 
 
-RELATIONS = """, own AS (SELECT id, list_distinct(tags) AS tags, len(list_distinct(tags)) AS size FROM visible), tagged AS (SELECT id, size, unnest(tags) AS tag FROM own),
-rare AS (SELECT tag FROM tagged GROUP BY tag HAVING count(*) BETWEEN 2 AND 500), kept AS (SELECT * FROM tagged WHERE tag IN (SELECT tag FROM rare)),
+def _relations(kept: str) -> str:
+    return f""", own AS (SELECT id, list_distinct(tags) AS tags, len(list_distinct(tags)) AS size FROM visible), tagged AS (SELECT id, size, unnest(tags) AS tag FROM own),
+{kept},
 pairs AS (SELECT l.id AS a, r.id AS b, l.size AS na, r.size AS nb, count(*) AS shared FROM kept l JOIN kept r ON l.tag = r.tag AND l.id < r.id GROUP BY ALL),
 scored AS (SELECT a, b, shared / (na + nb - shared) AS score, shared FROM pairs WHERE shared / (na + nb - shared) >= 0.1),
 relations AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM (SELECT a, b, score, shared FROM scored UNION ALL SELECT b, a, score, shared FROM scored)) WHERE place <= 10)
 """
 
 
+RELATIONS = _relations("kept AS (SELECT * FROM tagged)")
+# with the catalog's cut: tags of more than 500 titles don't count
+CUT_RELATIONS = _relations("rare AS (SELECT tag FROM tagged GROUP BY tag HAVING count(*) BETWEEN 2 AND 500), kept AS (SELECT * FROM tagged WHERE tag IN (SELECT tag FROM rare))")
+
+
 @query(BOOKS + RELATIONS + "SELECT a, b, round(score, 6) AS score, shared, CAST(place AS INTEGER) AS place FROM relations")
 def jaccard_topk(spark, d):
-    return relations.jaccard_relations(catalog(spark, d), most_common=500).select("a", "b", F.round("score", 6).alias("score"), "shared", "place")
+    return relations.jaccard_relations(catalog(spark, d)).select("a", "b", F.round("score", 6).alias("score"), "shared", "place")
 
 
 @query(BOOKS + RELATIONS + ", seen AS (SELECT a, b, display_title, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS nth FROM relations JOIN visible ON id = b) SELECT a, b, display_title, CAST(nth AS INTEGER) AS nth FROM seen WHERE nth <= 6")
 def related_precomputed(spark, d):
     books = catalog(spark, d)
-    return relations.related(relations.jaccard_relations(books, most_common=500), books).select("a", "b", "display_title", "nth")
+    return relations.related(relations.jaccard_relations(books), books).select("a", "b", "display_title", "nth")
 
 
 @query(
     BOOKS
-    + RELATIONS
+    + CUT_RELATIONS
     + """, chosen AS (SELECT * FROM books WHERE id NOT IN (SELECT a FROM relations WHERE score >= 0.5)), w AS (SELECT l.id AS a, r.id AS b, 1 AS w FROM (SELECT id, unnest(list_distinct(tags)) AS tag FROM chosen) l JOIN (SELECT id, unnest(list_distinct(tags)) AS tag FROM visible) r USING (tag) WHERE l.id <> r.id
 UNION ALL SELECT c.id, v.id, 10 FROM chosen c JOIN visible v ON c.series = v.series WHERE c.id <> v.id), s AS (SELECT a, b, CAST(sum(w) AS BIGINT) AS weight FROM w GROUP BY a, b)
 SELECT a, b, weight, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS nth FROM s) WHERE nth <= 6"""
@@ -214,21 +220,21 @@ GRAPH = """, best AS (SELECT a, b, score FROM relations WHERE a < b AND score >=
 @query(BOOKS + RELATIONS + GRAPH + "SELECT a, b, round(score, 6) AS score FROM best WHERE a IN (SELECT id FROM nodes) AND b IN (SELECT id FROM nodes)")
 def similarity_graph(spark, d):
     books = catalog(spark, d)
-    _, edges = relations.graph(relations.jaccard_relations(books, most_common=500), books)
+    _, edges = relations.graph(relations.jaccard_relations(books), books)
     return edges.select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(BOOKS + RELATIONS + ", best AS (SELECT a, b, score FROM relations WHERE a < b AND score >= 0.25 AND a IN (SELECT id FROM books WHERE game_system IN ('PROMO', 'SMALL')) AND b IN (SELECT id FROM books WHERE game_system IN ('PROMO', 'SMALL')) ORDER BY score DESC, a, b LIMIT 900), nodes AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM best UNION ALL SELECT b FROM best) GROUP BY id ORDER BY degree DESC, id LIMIT 300) SELECT a, b, round(score, 6) AS score FROM best WHERE a IN (SELECT id FROM nodes) AND b IN (SELECT id FROM nodes)")
 def similarity_graph_of_systems(spark, d):
     books = catalog(spark, d)
-    _, edges = relations.graph(relations.jaccard_relations(books, most_common=500), books, systems=["PROMO", "SMALL"])
+    _, edges = relations.graph(relations.jaccard_relations(books), books, systems=["PROMO", "SMALL"])
     return edges.select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(BOOKS + RELATIONS + GRAPH + "SELECT id, degree FROM nodes")
 def similarity_graph_nodes(spark, d):
     books = catalog(spark, d)
-    return relations.graph(relations.jaccard_relations(books, most_common=500), books)[0]
+    return relations.graph(relations.jaccard_relations(books), books)[0]
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY coalesce(text, ''), n_chars, coalesce(lang, '') ORDER BY doc_id) AS nth FROM documents) WHERE nth > 1")

@@ -42,6 +42,16 @@ def test_query(name, spark, db, sf_dir):
     assert rows(found) == rows(expected)
 
 
+@pytest.mark.parametrize("name", ["jaccard_topk", "related_precomputed", "similarity_graph", "similarity_graph_of_systems", "similarity_graph_nodes"])
+def test_tags_of_very_many_titles_count(name, spark, tmp_path):
+    part = [(i, f"only{i} one{i}", f"Brand#{i}", "PROMO", 7, 1.0) for i in range(1, 701)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    found = plans.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert len(found) > 0 and rows(found) == rows(con.execute(plans.ORACLE_SQL[name]).df())
+
+
 def test_facet_total_is_search_total(spark, sf_dir):
     facets = plans.QUERIES["facets_all"](spark, sf_dir).toPandas()
     total = facets[facets.dim == "total"].n.sum()
